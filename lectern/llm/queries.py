@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import simhash_dedup
+from lectern.llm import chat_format, pattern_packing, simhash_dedup, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_chat_format": chat_format.op2,
         "op4_simhash_dedup": simhash_dedup.op4,
+        "op6_pattern_packing": pattern_packing.op6,
+        "op7_warc": warc.op7,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat_format": chat_format.OP2_SQL}
