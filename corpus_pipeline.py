@@ -1,22 +1,59 @@
-"""A corpus pipeline: near-duplicate removal (further stages follow)."""
+"""A corpus pipeline over ``documents``: quality, near copies, benchmark leaks, secrets, packing.
+
+Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a
+DataFrame; all but the last return the columns of ``documents``. ``run`` writes each stage's result
+to the shared folder and reads it again, so a lost executor costs no more than one stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import simhash_dedup
+from lectern.llm import decontam, pattern_packing, quality, secret_scan, simhash_dedup
+from lectern.llm.common import written
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest doc_id."""
     return simhash_dedup.one_of_each(docs)
 
 
-STAGES = [("simhash", simhash)]
+def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced by a placeholder."""
+    return secret_scan.redacted(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces and their places in training sequences."""
+    return pattern_packing.packed(docs, pattern_packing.public_tokenizer())
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("simhash near-dedup", keep_one_copy),
+    ("benchmark decontamination", keep_uncontaminated),
+    ("secret scans", redact_secrets),
+    ("best-fit packing", pack),
+]
+
+#: Trained and iterative stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"stage{k}")
     return docs
