@@ -156,14 +156,16 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that contain no item; decided in one pass per block, nothing is shuffled."""
     spark = docs.sparkSession
     for block in blocks(items):
-        shared = spark.sparkContext.broadcast(block)
+        docs = docs.where(~_leaks(spark.sparkContext.broadcast(block))(docs["text"].cast("string")))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def leaks(texts: pd.Series, shared=shared) -> pd.Series:
-            return texts.map(lambda t: bool(shared.value.find(t))).astype(bool)
 
-        docs = docs.where(~leaks(docs["text"].cast("string")))
-    return docs
+def _leaks(shared):
+    @F.pandas_udf("boolean")
+    def leaks(texts: pd.Series) -> pd.Series:
+        return pd.Series([bool(shared.value.find(t)) for t in texts], dtype=bool)
+
+    return leaks
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
