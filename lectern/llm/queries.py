@@ -6,20 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import chat_format, decontam, pattern_packing, quality, secret_scan, simhash_dedup, warc
+from lectern.llm import chat_format, decontam, embedding_dedup, pattern_packing, pii, quality, secret_scan, simhash_dedup, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_embedding_dedup": embedding_dedup.op1,
         "op2_chat_format": chat_format.op2,
         "op4_simhash_dedup": simhash_dedup.op4,
         "op5_secret_scan": secret_scan.op5,
         "op6_pattern_packing": pattern_packing.op6,
         "op7_warc": warc.op7,
+        "op8_pii": pii.op8,
         "op9_decontam": decontam.op9,
         "op10_quality": quality.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat_format.OP2_SQL, "op9_decontam": decontam.OP9_SQL}
+    return {"op1_embedding_dedup": embedding_dedup.OP1_SQL, "op2_chat_format": chat_format.OP2_SQL, "op9_decontam": decontam.OP9_SQL}
