@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import chat_format, decontam, embedding_dedup, pattern_packing, pii, quality, secret_scan, simhash_dedup, warc
+from lectern.llm import chat_format, decontam, embedding_dedup, katz_lm, pattern_packing, pii, quality, secret_scan, simhash_dedup, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_dedup": embedding_dedup.op1,
         "op2_chat_format": chat_format.op2,
+        "op3_katz_lm": katz_lm.op3,
         "op4_simhash_dedup": simhash_dedup.op4,
         "op5_secret_scan": secret_scan.op5,
         "op6_pattern_packing": pattern_packing.op6,
