@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from lectern.llm.common import words_of
 
 #: Most labelled documents learned from, and most bytes of text among them.
-TRAIN_ROWS, TRAIN_BYTES = 6000, 48 << 20
+TRAIN_ROWS, TRAIN_BYTES = 4000, 24 << 20
 WORDS, SHAPES, DIM, NONZERO, REACH = 16_000, 400, 64, 8, 2
 HIDDEN, EPOCHS, RATE, DECAY, MEMO = 32, 300, 0.01, 1e-4, 400_000
 HELD_OUT = (3, 1)
@@ -139,16 +139,20 @@ def train(texts: list[bytes], labels: np.ndarray) -> Model:
     model.share = (float(labels.sum()) + 1) / (n + 2)
     if n < 4 or labels.min() == labels.max():
         return model
-    split = [[w for part in words_of(t) for w in part] for t in texts]
-    lower, shapes = pd.Series([w.lower() for d in split for w in d]), pd.Series([shape(w) for d in split for w in d])
-    common = lower.value_counts()
-    common = sorted(common[common > 1].items(), key=lambda x: (-x[1], x[0]))[:WORDS]
+    # texts as numbers of distinct words, so that words are held once
+    known: dict[bytes, int] = {}
+    docs = [np.array([known.setdefault(w, len(known)) for part in words_of(t) for w in part], np.int32) for t in texts]
+    counts = np.bincount(np.concatenate(docs), minlength=len(known))
+    lower, shapes = pd.Series([w.lower() for w in known]), pd.Series([shape(w) for w in known])
+    of_lower, of_shape = pd.Series(counts).groupby(lower).sum(), pd.Series(counts).groupby(shapes).sum()
+    common = sorted(of_lower[of_lower > 1].items(), key=lambda x: (-x[1], x[0]))[:WORDS]
     model.words = {w: k for k, (w, _) in enumerate(common)}
-    model.shapes = {s: k + 1 for k, (s, _) in enumerate(sorted(shapes.value_counts().items(), key=lambda x: (-x[1], x[0]))[:SHAPES])}
+    model.shapes = {s: k + 1 for k, (s, _) in enumerate(sorted(of_shape.items(), key=lambda x: (-x[1], x[0]))[:SHAPES])}
     # a word stands in the contexts as itself if known, else as its shape
     width = len(model.shapes) + 1
     row = lower.map(model.words).add(width).fillna(shapes.map(model.shapes).fillna(0)).to_numpy(np.int64)
-    docs = np.split(row, np.cumsum([len(d) for d in split])[:-1])
+    docs = [row[d] for d in docs]
+    del known, lower, shapes
     names = [b"\x00other", *(b"\x00" + s for s in model.shapes), *model.words]
     vectors = context_vectors(docs, names)
     model.shape_vectors, model.word_vectors = vectors[:width].astype(np.float64), vectors[width:]
