@@ -58,9 +58,8 @@ def available(formats: Column) -> Column:
 def engine_name(name: Column) -> Column:
     """A speech engine by name or alias; null if there is none."""
     key = F.lower(strip(name))
-    for alias, engine in ALIASES.items():
-        key = F.when(key == alias, engine).otherwise(key)
-    return F.when(key.isin(*ENGINES), key)
+    known = F.create_map(*[F.lit(x) for pair in (ALIASES | {e: e for e in ENGINES}).items() for x in pair])
+    return F.try_element_at(known, key)
 
 
 def voice_display(name: Column, locale: Column, gender: Column, tags: Column) -> Column:
