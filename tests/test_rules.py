@@ -33,7 +33,7 @@ def apply(spark, fn, values, kind="string"):
         (T.slug, {"The Art, of War!": "the_art_of_war", "": "book", "!!!": "book"}),
         (T.topic_slug, {"The history of the marine chronometer": "history_marine_chronometer", "of the": "of_the", "": "research"}),
         (C.author_name, {"Austen, Jane": "Jane Austen", "Marcus Aurelius, Emperor of Rome": "Marcus Aurelius, Emperor of Rome", "A, B, C": "A, B, C", "Plato": "Plato"}),
-        (M.escaped_meta, {"a=b;c#d\\e\nf": r"a\=b;c\#d\\e f"}),
+        (M.escaped_meta, {"a=b;c#d\\e\nf": "a\\=b\\;c\\#d\\\\e f"}),
         (C.engine_name, {" Google ": "google-cloud", "kokoro": "mlx", "nobody": None}),
     ],
 )
