@@ -8,7 +8,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts longer than this many bytes are split into words piece by piece.
@@ -95,3 +97,33 @@ def components(edges: DataFrame) -> DataFrame:
         step = hop.select(F.col("a").alias("root"), F.col("g"))
         out = out.join(step, "root", "left").select("node", F.coalesce("g", "root").alias("root"))
     return out
+
+
+#: Bits of a map per id, most bits of a map (16 MB), and hashes per id.
+BITS_PER_ID, MOST_BITS, HASHES = 16, 1 << 27, 3
+
+
+def possible(ids: DataFrame, value: Column) -> Column:
+    """False where ``value`` (long) surely isn't among ``ids`` (one long column); never false where it is.
+
+    A Bloom filter of bounded size: beyond MOST_BITS it lets more values pass, it misses none.
+    """
+    spark, (name,) = ids.sparkSession, ids.columns
+    bits = min(MOST_BITS, 1 << max(10, int(ids.count() * BITS_PER_ID).bit_length()))
+    places = lambda c: [F.pmod(F.xxhash64(c, F.lit(k)), F.lit(bits)) for k in range(HASHES)]
+    at = ids.select(F.explode(F.array(*places(F.col(name)))).alias("p"))
+    words = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("b")).toArrow()
+    table = np.zeros(bits // 64, np.uint64)
+    table[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
+    shared = spark.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def passes(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        out = np.ones(len(a), bool)
+        for p in (a, b, c):
+            p = p.to_numpy(np.int64)
+            out &= (shared.value[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1
+        return pd.Series(out)
+
+    # xxhash64 passes over nulls, so they are told apart here
+    return value.isNotNull() & passes(*places(value))

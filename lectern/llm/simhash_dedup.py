@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import components, words_of, written
+from lectern.llm.common import components, possible, words_of, written
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Bit bands; RADIUS // len(BANDS) is the radius inside a band.
@@ -204,16 +204,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near copies: the one with the smallest doc_id.
 
-    Rows without doc_id stay. Of repeated rows of one doc_id, one stays.
+    Rows without doc_id stay. Of repeated rows of one doc_id, one stays. Whole rows are shuffled
+    only if a bit map of the ids to look at (rejected or repeated ones) doesn't clear them.
     """
     found = written(near_duplicates(docs).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("_id"), "component_id"), "members")
-    columns = [docs[c] for c in docs.columns]
     gone = found.where("_id <> component_id").select("_id").distinct()
     again = found.groupBy("_id").count().where("count > 1").select("_id")
-    is_id = docs["doc_id"].cast("long") == F.col("_id")
-    kept = docs.join(gone, is_id, "left_anti")
-    once = kept.join(again, is_id, "left_anti").select(*columns)
-    return once.unionByName(kept.join(again, is_id, "left_semi").select(*columns).dropDuplicates(["doc_id"]))
+    is_id = docs["doc_id"].cast("long")
+    suspect = possible(gone.unionByName(again), is_id)
+    looked_at = docs.where(suspect).join(gone, is_id == F.col("_id"), "left_anti").dropDuplicates(["doc_id"])
+    return docs.where(~suspect).unionByName(looked_at)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
