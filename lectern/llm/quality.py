@@ -2,10 +2,11 @@
 
 Every word has a sparse ternary index vector derived from its hash. A word's context vector is the
 sum of the index vectors of its neighbours in the training texts; a document is the mean of its
-words' context vectors. Words are known by themselves if frequent in training, and always by their
-shape (runs of capitals, small letters and digits, other characters as they are), so that unseen
-words still count. A network of two layers in numpy turns the pooled vector into a logit, and a
-temperature fitted on held-back training rows calibrates the probability.
+words' context vectors, with the share of distinct words beside it. A text's length is no input,
+so short texts aren't held against. Words are known by themselves if frequent in training, and
+always by their shape (runs of capitals, small letters and digits, other characters as they are),
+so that unseen words still count. A network of two layers in numpy turns the pooled vector into a
+logit, and a temperature fitted on held-back training rows calibrates the probability.
 
 Only labels and texts of training rows are learned from; the score sees the text alone. Training is
 bounded: at most ``TRAIN_ROWS`` labelled documents, those with the smallest hash of the doc_id,
@@ -92,7 +93,7 @@ class Model:
                 total += self.word_vectors[own].sum(0, dtype=np.float64)
             n += len(words)
             seen += len(set(words))
-        return np.concatenate([total / max(n, 1), [np.log1p(n) / 10, seen / max(n, 1)]])
+        return np.append(total / max(n, 1), seen / max(n, 1))
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         w1, b1, w2, b2 = self.net
