@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from lectern.llm.common import new_path, words_of, written
 
 #: Greatest count that is discounted, share of tokens from which a history is hot, tokens in a chunk, text in a partition.
-K, HOT, CHUNK_TOKENS, PART_BYTES = 5, 0.002, 1 << 22, 16 << 20
+K, HOT, CHUNK_TOKENS, PART_BYTES = 5, 0.002, 1 << 21, 16 << 20
 HELD_OUT = (5, 1)
 END, START = b"\n", b"\n\n"  # no words, which hold no white space
 START_ID = (1 << 32) - 1
@@ -259,7 +259,9 @@ class Bigrams:
         before[starts] = first
         # distinct bigrams; those of known histories are asked for, by partition, then number of history and word
         code, self.of_token = np.unique(before.astype(np.int64) * len(order) + ids, return_inverse=True)
-        self.history, self.word = code // len(order), code % len(order)
+        self.of_token = self.of_token.astype(np.int32)
+        self.history, self.word = (code // len(order)).astype(np.int32), (code % len(order)).astype(np.int32)
+        del ids, before
         self.number = number
         h, w = number[self.history], number[self.word]
         self.askable = np.flatnonzero(known[self.history])
