@@ -31,8 +31,9 @@ def recurring_edges(edges: DataFrame) -> DataFrame:
     return counts.join(pages, "doc_id").where(enough).select("doc_id", "key").distinct()
 
 
-def _is_artifact(key: Column, recurs: Column) -> Column:
-    return recurs | key.rlike(PAGE_NUMBER)
+def _is_artifact(text: Column, recurs: Column) -> Column:
+    """The whole block is a page number; its key, which is cut, only tells whether it recurs."""
+    return recurs | strip(text).rlike(PAGE_NUMBER)
 
 
 def marked(blocks: DataFrame) -> DataFrame:
@@ -41,7 +42,7 @@ def marked(blocks: DataFrame) -> DataFrame:
     enough = edges.groupBy("doc_id").agg(F.countDistinct("page").alias("pages")).where(F.col("pages") >= LEAST_PAGES).select("doc_id")
     recurring = recurring_edges(edges).withColumn("recurs", F.lit(True))
     found = edges.join(enough, "doc_id", "left_semi").join(recurring, ["doc_id", "key"], "left")
-    found = found.where(_is_artifact(F.col("key"), F.coalesce("recurs", F.lit(False)))).select("doc_id", "block_idx", F.lit(True).alias("_hit")).distinct()
+    found = found.where(_is_artifact(F.col("text"), F.coalesce("recurs", F.lit(False)))).select("doc_id", "block_idx", F.lit(True).alias("_hit")).distinct()
     out = blocks.join(found, ["doc_id", "block_idx"], "left")
     kind = F.when(F.col("_hit"), "page_artifact").otherwise(F.col("kind"))
     return out.select(*[kind.alias("kind") if c == "kind" else F.col(c) for c in blocks.columns])

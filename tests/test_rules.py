@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lectern.functions import catalog as C
 from lectern.functions import media as M
 from lectern.functions import text as T
+from lectern.operators import artifacts as A
 from lectern.operators import blocks as B
 from lectern.operators import media as OM
 from lectern.operators import script as S
@@ -186,3 +187,10 @@ def test_failed_segments_keep_their_message(spark):
 
     u = spark.createDataFrame([(1, 0, "a"), (1, 1, "x")], "doc_id long, idx int, text string")
     assert [r.error for r in synthesized(u, Broken(), backoff_s=0).orderBy("idx").collect()] == [None, "no x"]
+
+
+def test_long_leaders_before_prose_are_no_page_number(spark):
+    texts = {1: "." * 130 + " and so the story began", 2: "1 " * 70 + "goats", 3: " 12 ", 4: "- " * 90 + "xiv"}
+    rows = [(1, 10 * page + i, "paragraph", t, page) for page, edge in texts.items() for i, t in enumerate((f"opening {page}", "body", edge))]
+    b = spark.createDataFrame(rows, "doc_id long, block_idx int, kind string, text string, page int")
+    assert {r.block_idx for r in A.marked(b).where("kind = 'page_artifact'").collect()} == {32, 42}
