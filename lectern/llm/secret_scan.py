@@ -1,9 +1,10 @@
 r"""Secret scans with rules and character Markov models, from DataFrame functions only.
 
 Base rules find assignments, access keys and hexadecimal strings. The method adds spans of kind
-``markov``: runs of 20 and more of ``A-Z a-z 0-9 + / _ = -`` that overlap no base span and that a
-character Markov model of random strings explains better than one of ordinary identifiers: the
-log-likelihood ratio of their first-order transitions exceeds ``THRESHOLD`` nats.
+``markov``: runs of ``A-Z a-z 0-9 + / _ = -``, cut at base spans into stretches of which those of 20
+and more signs count, that a character Markov model of random strings explains better than one of
+ordinary identifiers: the log-likelihood ratio of their first-order transitions exceeds
+``THRESHOLD`` nats.
 
 Both models are trained from labelled samples, a table (token, random). ``labelled_samples`` makes
 one: random strings in hexadecimal and base-64 from SHA-256 digests, and identifiers (plain,
@@ -32,9 +33,9 @@ from pyspark.sql import functions as F
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A key or hexadecimal run too short for its rule ends with its run, so the least length can stand in the pattern.
 ACCESS, HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
-LEAST_VALUE = 6
+LEAST_VALUE, LEAST_RUN = 6, 20
 KINDS = ("assign", "access", "hex", "markov")
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
+RUN = rf"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}"
 SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SAMPLE_DOCS, RANDOM_STRINGS = 1000, 4000
 THRESHOLD, SMOOTHING = 8.0, 0.5
@@ -100,15 +101,30 @@ def ratio(token: Column, model: np.ndarray) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda acc, i: acc + F.element_at(table, (sign(i) - 1) * len(SIGNS) + sign(i + 1)))
 
 
+def stretches(run: Column, base: Column) -> Column:
+    """What the base spans (by start) leave of a run: spans of LEAST_RUN and more code points."""
+    touching = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    stop = F.array(F.struct(run["end"].alias("start"), run["rank"].alias("rank"), run["end"].alias("end")))
+    start = F.struct(run["start"].alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+
+    def step(acc: Column, b: Column) -> Column:
+        left = F.array(F.struct(acc["at"].alias("start"), run["rank"].alias("rank"), b["start"].alias("end")))
+        out = F.when(b["start"] - acc["at"] >= LEAST_RUN, F.concat(acc["out"], left)).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), out.alias("out"))
+
+    return F.aggregate(F.concat(touching, stop), start, step, lambda a: a["out"])
+
+
 def located(docs: DataFrame, model: np.ndarray, text: str = "text") -> DataFrame:
     """``docs`` with ``_base`` and ``_spans``: the base spans and all spans, by start, then kind."""
     whole = F.coalesce(docs[text], F.lit(""))
     base = F.array_sort(F.concat(places(whole, ASSIGN, 0, 1, LEAST_VALUE), places(whole, ACCESS, 1), places(whole, HEX, 2)))
     out = docs.withColumn("_base", base).withColumn("_runs", places(whole, RUN, 3))
+    apart = F.flatten(F.transform("_runs", lambda run: stretches(run, F.col("_base"))))
+    out = out.withColumn("_runs", F.when((F.size("_runs") > 0) & (F.size("_base") > 0), apart).otherwise(F.col("_runs")))
 
     def likely(span: Column) -> Column:
-        apart = ~F.exists(F.col("_base"), lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
-        return apart & (ratio(F.substring(whole, span["start"] + 1, span["end"] - span["start"]), model) > THRESHOLD)
+        return ratio(F.substring(whole, span["start"] + 1, span["end"] - span["start"]), model) > THRESHOLD
 
     added = F.when(F.size("_runs") > 0, F.filter("_runs", likely)).otherwise(F.col("_runs"))
     return out.withColumn("_spans", F.array_sort(F.concat("_base", added))).drop("_runs")

@@ -212,6 +212,23 @@ def test_markov_models_tell_random_strings_from_identifiers(spark, sf):
     assert ratio(secret_scan.identifiers(docs, 10_000)) < 0.001
 
 
+def test_random_rest_of_a_run_with_a_base_span_is_found(spark, sf):
+    key, token = "q7Rz0KfW3xLp9VbT2mYc8HdNs5JgE1uAoX4iZ6Bw", "Zt5Qx9Lr2Wv8Kp4Jh7Nd3Bf6"
+    texts = {
+        1: f"AKIA{'Q7' * 8}/{key} end",
+        2: f"x {'0f' * 16}-{token}",
+        3: f"{token}/{'0f' * 16}/{token}",
+        4: f"AKIA{'Q7' * 8}/tooShort1x {'0f' * 16}-some_long_snake_case_identifier",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    samples = secret_scan.labelled_samples(spark.read.parquet(f"{sf}/documents.parquet"))
+    got = {r.doc_id: r.spans for r in secret_scan.secrets(df, samples).collect()}
+    assert got == {1: "access:0:20,markov:20:61", 2: "hex:2:34,markov:34:59", 3: "markov:0:25,hex:25:57,markov:57:82", 4: "access:0:20,hex:32:64"}
+    clean = {r.doc_id: r.text for r in secret_scan.redacted(df, samples).collect()}
+    assert not any(x in t for t in clean.values() for x in (key, token))
+    assert clean[4] == "[SECRET]/tooShort1x [SECRET]-some_long_snake_case_identifier"
+
+
 # -- personal data -----------------------------------------------------------------------------
 
 MAIL, IP, CARD, PHONE = (re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"))
