@@ -31,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.common import components, possible, words_of, written
@@ -188,8 +188,8 @@ def links(fps: DataFrame, n: int) -> DataFrame:
     return met.groupBy("leaf", "lo", "hi").applyInPandas(_leaf_stars, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fp (long), component_id (smallest doc_id reachable)."""
+def _grouped(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fp, component_id and root, which tells groups apart."""
     marks = written(fingerprints(docs), "fingerprints")
     classes = written(marks.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     found = components(links(classes.select("fp"), classes.count()))
@@ -197,23 +197,44 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         classes.join(found, F.col("node") == F.col("fp"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first"), "rooted"
     )
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    member = rooted.join(least, "root").select("fp", "component_id")
-    return marks.join(member, "fp", "left").select("doc_id", "fp", "component_id")
+    member = rooted.join(least, "root").select("fp", "component_id", "root")
+    return marks.join(member, "fp", "left").select("doc_id", "fp", "component_id", "root")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fp (long), component_id (smallest doc_id reachable)."""
+    return _grouped(docs).select("doc_id", "fp", "component_id")
+
+
+def _marked(text: Column) -> Column:
+    """The fingerprint of each text, as ``fingerprints`` gives it."""
+
+    @F.pandas_udf("long")
+    def marks(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64))
+
+    return marks(text.cast("binary"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near copies: the one with the smallest doc_id.
 
-    Rows without doc_id stay. Of repeated rows of one doc_id, one stays. Whole rows are shuffled
-    only if a bit map of the ids to look at (rejected or repeated ones) doesn't clear them.
+    Rows without doc_id stay. A doc_id that several rows have is decided row by row: of each group
+    whose smallest doc_id it is, one row stays, that of the smallest fingerprint. Whole rows are
+    shuffled only if a bit map of the ids to look at (rejected or repeated ones) doesn't clear them.
     """
-    found = written(near_duplicates(docs).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("_id"), "component_id"), "members")
-    gone = found.where("_id <> component_id").select("_id").distinct()
-    again = found.groupBy("_id").count().where("count > 1").select("_id")
+    found = written(_grouped(docs).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("_id"), "fp", "component_id", "root"), "members")
+    again = written(found.groupBy("_id").count().where("count > 1").select("_id"), "repeated")
+    apart = found.where("_id <> component_id").select("_id").unionByName(again).distinct()
     is_id = docs["doc_id"].cast("long")
-    suspect = possible(gone.unionByName(again), is_id)
-    looked_at = docs.where(suspect).join(gone, is_id == F.col("_id"), "left_anti").dropDuplicates(["doc_id"])
-    return docs.where(~suspect).unionByName(looked_at)
+    suspect = possible(apart, is_id)
+    kept = docs.where(~suspect).unionByName(docs.where(suspect).join(apart, is_id == F.col("_id"), "left_anti"))
+    if again.isEmpty():
+        return kept
+    first = found.where("_id = component_id").join(again, "_id", "left_semi").groupBy("root", "_id").agg(F.min("fp").alias("_first"))
+    rows = docs.where(possible(again, is_id)).withColumn("_fp", _marked(docs["text"]))
+    rows = rows.join(first, (is_id == F.col("_id")) & (F.col("_fp") == F.col("_first")), "left_semi")
+    return kept.unionByName(rows.dropDuplicates(["doc_id", "_fp"]).drop("_fp"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

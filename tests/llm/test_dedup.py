@@ -89,6 +89,16 @@ def test_simhash_groups_and_edges(spark):
     assert S.near_duplicates(docs.limit(0)).count() == 0 and S.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_one_row_of_each_group_where_ids_repeat(spark):
+    a, b, c, z = (" ".join(f"{sign}{k}" for k in range(300)) for sign in "abcz")
+    fps = [S.fingerprint(x.encode()) for x in (a, b, c, z)]
+    assert all((x ^ y).bit_count() > S.RADIUS for k, x in enumerate(fps) for y in fps[:k])
+    rows = [(3, a), (5, a), (5, b), (5, b.upper()), (5, c), (6, c), (3, z), (7, z), (8, "single text of one row only"), (None, a), (None, a)]
+    kept = S.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted(((r.doc_id, r.text.lower()) for r in kept), key=str)
+    assert got == sorted([(3, a), (5, b), (5, c), (3, z), (8, "single text of one row only"), (None, a), (None, a)], key=str)
+
+
 def brute_vectors(x):
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     hit = x @ x.T >= 0.95
