@@ -31,10 +31,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import components, possible, words_of, written
+from lectern.llm.common import components, possible, scratch, settled, spread_join, unused, words_of, written
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Bit bands; RADIUS // len(BANDS) is the radius inside a band.
@@ -78,15 +79,17 @@ def _votes(words: list[bytes]) -> np.ndarray:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    row = TaskContext.get().partitionId() << 36
     for batch in batches:
         marks = np.fromiter((fingerprint(x.as_py()) for x in batch.column(1)), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks.view(np.int64)), pa.array(np.arange(row, row + len(marks)))], ["doc_id", "fp", "row"])
+        row += len(marks)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row of ``docs``."""
+    """(doc_id, fp, row) of every row of ``docs``; row tells repeated rows apart."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    return rows.mapInArrow(_fingerprints, "doc_id long, fp long, row long")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -179,7 +182,7 @@ def links(fps: DataFrame, n: int) -> DataFrame:
     routed = written(fps.select("fp").mapInArrow(_routed(trees), "leaf long, fp long"), "shards")
     large = routed.groupBy("leaf").count().where(F.col("count") > BLOCK)
     large = large.select("leaf", F.ceil(F.col("count") / (BLOCK // 2)).cast("int").alias("blocks"))
-    rows = routed.join(large, "leaf", "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    rows = spread_join(routed, large, "leaf", routed.count(), "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.coalesce("blocks", F.lit(1))).cast("int"))
     others = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     met = rows.withColumn("other", F.explode(others))
     met = met.select("leaf", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp")
@@ -189,16 +192,19 @@ def links(fps: DataFrame, n: int) -> DataFrame:
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fp, component_id and root, which tells groups apart."""
-    marks = written(fingerprints(docs), "fingerprints")
-    classes = written(marks.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    found = components(links(classes.select("fp"), classes.count()))
-    rooted = written(
-        classes.join(found, F.col("node") == F.col("fp"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first"), "rooted"
-    )
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    member = rooted.join(least, "root").select("fp", "component_id", "root")
-    return marks.join(member, "fp", "left").select("doc_id", "fp", "component_id", "root")
+    """One row per row of ``docs``: doc_id, fp, component_id and root, which tells groups apart; a written table."""
+    with scratch(docs.sparkSession):
+        marks = written(fingerprints(docs), "fingerprints")
+        classes = written(marks.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+        n = classes.count()
+        found = components(written(links(classes.select("fp"), n), "links"))
+        rooted = written(
+            classes.join(found, F.col("node") == F.col("fp"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first"), "rooted"
+        )
+        least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+        member = spread_join(rooted, least, "root", n).select("fp", "component_id", "root")
+        out = spread_join(marks, written(member, "member"), "fp", marks.count(), "left")
+        return settled(out.select("doc_id", "fp", "component_id", "root"), "grouped")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -220,21 +226,25 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near copies: the one with the smallest doc_id.
 
     Rows without doc_id stay. A doc_id that several rows have is decided row by row: of each group
-    whose smallest doc_id it is, one row stays, that of the smallest fingerprint. Whole rows are
-    shuffled only if a bit map of the ids to look at (rejected or repeated ones) doesn't clear them.
+    whose smallest doc_id it is, one row stays, that of the smallest fingerprint; so a text that is
+    nobody's copy stays, whatever other texts its id has. Other columns, of any name, are carried
+    along. Whole rows are shuffled only if a bit map of the ids to look at (rejected or repeated
+    ones) doesn't clear them.
     """
-    found = written(_grouped(docs).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("_id"), "fp", "component_id", "root"), "members")
-    again = written(found.groupBy("_id").count().where("count > 1").select("_id"), "repeated")
-    apart = found.where("_id <> component_id").select("_id").unionByName(again).distinct()
+    key, low, mark = (unused(docs, c) for c in ("id", "low", "mark"))
+    found = _grouped(docs).where("doc_id is not null").select(F.col("doc_id").cast("long").alias(key), "fp", "component_id", "root")
+    again = written(found.groupBy(key).count().where("count > 1").select(key), "repeated")
+    apart = written(found.where(F.col(key) != F.col("component_id")).select(key).unionByName(again).distinct(), "apart")
     is_id = docs["doc_id"].cast("long")
     suspect = possible(apart, is_id)
-    kept = docs.where(~suspect).unionByName(docs.where(suspect).join(apart, is_id == F.col("_id"), "left_anti"))
+    kept = docs.where(~suspect).unionByName(docs.where(suspect).join(apart, is_id == F.col(key), "left_anti"))
     if again.isEmpty():
         return kept
-    first = found.where("_id = component_id").join(again, "_id", "left_semi").groupBy("root", "_id").agg(F.min("fp").alias("_first"))
-    rows = docs.where(possible(again, is_id)).withColumn("_fp", _marked(docs["text"]))
-    rows = rows.join(first, (is_id == F.col("_id")) & (F.col("_fp") == F.col("_first")), "left_semi")
-    return kept.unionByName(rows.dropDuplicates(["doc_id", "_fp"]).drop("_fp"))
+    # a row of each group, and each text of it once: equal fingerprints of an id are one text as far as copies go
+    first = found.where(F.col(key) == F.col("component_id")).join(again, key, "left_semi").groupBy("root", key).agg(F.min("fp").alias(low)).drop("root")
+    rows = docs.where(possible(again, is_id)).withColumn(mark, _marked(docs["text"]))
+    rows = rows.join(first, (is_id == F.col(key)) & (F.col(mark) == F.col(low)), "left_semi")
+    return kept.unionByName(rows.dropDuplicates(["doc_id", mark]).drop(mark))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

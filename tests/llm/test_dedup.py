@@ -5,10 +5,11 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lectern.llm import embedding_dedup as E
 from lectern.llm import simhash_dedup as S
-from lectern.llm.common import components, words_of
+from lectern.llm.common import components, hot_keys, scratch, settled, shared_dir, spread_join, words_of, written
 
 
 def roots(ids, linked):
@@ -134,3 +135,41 @@ def test_threshold_is_decided_in_double_precision(spark, shift):
 def test_repeated_vectors_are_linked(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0])] * 2 + [(2, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert [(r.vec_id, r.n_links, r.component_id) for r in E.near_duplicates(df).orderBy("vec_id").collect()] == [(1, 2, 1), (1, 2, 1), (2, 2, 1)]
+
+
+def test_components_of_a_star_and_a_long_chain(spark):
+    star = spark.range(1, 1_000_001).select(F.lit(7_000_000).alias("a"), F.col("id").alias("b"))
+    chain = spark.range(2_000_000, 2_000_700).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = components(star.unionByName(chain)).groupBy("root").agg(F.count("*").alias("n"), F.max("node").alias("last")).orderBy("root").collect()
+    assert [tuple(r) for r in got] == [(1, 1_000_001, 7_000_000), (2_000_000, 701, 2_000_700)]
+
+
+def test_hot_keys_meet_in_several_tasks(spark):
+    many = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    one = spark.range(30_000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    got = spread_join(many, one, "k", 20_000)
+    assert got.count() == 20_000 and got.where("w <> 2 * k").count() == 0
+    assert spread_join(many, one.where("k > 10"), "k", 20_000, "left").where("w is null").count() == many.where("k <= 10").count()
+    (hot,) = hot_keys(many.groupBy("k").count(), 20_000).collect()
+    assert hot["k"] == 5 and hot["_pieces"] > 20
+
+
+def test_scratch_tables_are_removed(spark):
+    import os
+
+    at = f"{shared_dir(spark)}/lectern"
+    before = set(os.listdir(at)) if os.path.isdir(at) else set()
+    with scratch(spark):
+        inner = settled(written(spark.range(5), "a").where("id > 2"), "b")
+        with scratch(spark):
+            own = settled(written(inner, "c"), "d")
+        assert own.count() == 2
+    assert set(os.listdir(at)) - before == {inner.inputFiles()[0].split("/")[-2]}
+
+
+def test_one_of_each_takes_any_extra_column(spark):
+    a, b = (" ".join(f"{sign}{k}" for k in range(200)) for sign in "ab")
+    rows = [(1, a, "p", 1, 2), (5, a, "q", 3, 4), (5, b, "r", 5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id string, _id int, mark int")
+    for _ in range(2):
+        assert sorted(tuple(r) for r in S.one_of_each(docs).collect()) == [rows[0], rows[2]]
