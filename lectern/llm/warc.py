@@ -16,8 +16,10 @@ Files are reached through ``pyarrow.fs``, so a folder may be local and shared, o
 Behaviour at the edges: null payloads count as empty, null urls leave out the header, control
 characters in urls are percent-encoded; null page ids are written as such and read back as null.
 Of rows with equal payloads the one with the largest page_id is the response and others revisit
-it; rows repeating that page_id are responses too, and if nobody has an id all are responses. Other columns are
-ignored; an empty table gives an archive without records.
+it; rows repeating that page_id are responses too, and if nobody has an id all are responses. Headers
+may be of any length. A member whose size in ``SL`` is none that a member can have, or that ends
+early, is an error; one without the end of its headers is no record. Other columns are ignored; an
+empty table gives an archive without records.
 """
 
 from __future__ import annotations
@@ -38,10 +40,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from lectern.llm.common import new_path
+from lectern.llm.common import hot_keys, new_path, scratch, spread_join, written
 
 FILE_BYTES, PARTITION_BYTES, BATCH_BYTES, WINDOW = 256 << 20, 64 << 20, 8 << 20, 4 << 20
 MANIFEST = "_manifest.json"
+#: Bytes of the header of a member with an extra field SL, and of the least member of that kind.
+HEAD_BYTES, LEAST_MEMBER = 24, 34
 SCHEMA = "record_type string, record_id string, target_uri string, payload_digest string, refers_to string, full_length long, headers map<string,string>, payload binary, actual_digest string"
 ARROW = pa.schema([(c, pa.string()) for c in ("record_type", "record_id", "target_uri", "payload_digest", "refers_to")] + [("full_length", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary()), ("actual_digest", pa.string())])
 #: Columns that are headers, and so can be decided before the payload is touched.
@@ -198,22 +202,47 @@ def _plain(window: Window, at: int, wants, with_payload: bool):
     return body + length + 4, found
 
 
-def _head_first(inflate, data: bytes):
-    """The headers, what of the block is inflated with them, and the rest that isn't yet."""
-    head = inflate.decompress(data, 2048)
-    while (end := head.find(b"\r\n\r\n")) < 0 and inflate.unconsumed_tail:
-        head += inflate.decompress(inflate.unconsumed_tail, 2048)
-    return parsed_headers(head[:end]), head[end + 4 :]
+class Member:
+    """The plain bytes of a gzip member of known size, inflated as far as they are asked for."""
+
+    def __init__(self, window: Window, at: int, size: int):
+        if size < LEAST_MEMBER or at + size > window.size:
+            raise ValueError(f"gzip member at {at} can't have {size} bytes")
+        self.window, self.at, self.end = window, at + HEAD_BYTES, at + size - 8
+        self.inflate, self.waiting = zlib.decompressobj(-15), b""
+
+    def more(self, most: int) -> bytes:
+        """Up to ``most`` further bytes, none at the member's end."""
+        while not self.inflate.eof:
+            if not self.waiting:
+                n = min(4096 if most <= 4096 else WINDOW, self.end - self.at)
+                self.waiting = self.window.read(n, self.at)
+                self.at += n
+                if not n:
+                    raise ValueError("gzip member ends early")
+            out = self.inflate.decompress(self.waiting, most)
+            self.waiting = self.inflate.unconsumed_tail
+            if out:
+                return out
+        return b""
+
+    def rest(self) -> bytes:
+        return b"".join(iter(lambda: self.more(WINDOW), b""))
 
 
 def _sized(window: Window, at: int, size: int, wants, with_payload: bool):
-    inflate, near = zlib.decompressobj(-15), min(size, 4096)
-    headers, block = _head_first(inflate, window.read(near, at)[24:])
+    member, head, end = Member(window, at, size), bytearray(), -1
+    while end < 0 and (part := member.more(2048)):
+        head += part
+        end = head.find(b"\r\n\r\n", max(0, len(head) - len(part) - 3))
+    if end < 0:  # no record
+        return at + size, None
+    headers = parsed_headers(bytes(head[:end]))
     if not wants(headers):
         return at + size, None
     if not with_payload:
         return at + size, (headers, None)
-    block += inflate.decompress(inflate.unconsumed_tail) + (inflate.decompress(window.read(size - near, at + near)) if near < size else b"")
+    block = bytes(head[end + 4 :]) + member.rest()
     return at + size, (headers, payload_of(headers, block[: int(headers.get("content-length", 0))]))
 
 
@@ -328,15 +357,23 @@ def write_pages(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     """Archives ``pages`` (page_id, url, html), equal payloads of ``min_bytes`` or more as revisits."""
     register(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha1("payload"))
-    shared = rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    rows = rows.join(shared.select("digest", "first"), "digest", "left")
+    counts = rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
+    with scratch(pages.sparkSession):
+        # digests of several pages only; a page with many copies is dealt out to several tasks
+        shared = written(counts.where("n > 1 and first is not null"), "shared")
+        n = pages.count()
+        hot = hot_keys(shared.select("digest", "n"), n)
+        _archived(spread_join(rows, shared.drop("n"), "digest", n, "left", hot=hot)).write.format("warc").mode("append").save(path)
+
+
+def _archived(rows: DataFrame) -> DataFrame:
+    """The rows that the writer takes, of pages with ``first``, the page that their payload stays with."""
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     page = lambda c: F.concat(F.lit(PAGE), F.coalesce(F.col(c).cast("string"), F.lit("")))
-    out = rows.select(
+    return rows.select(
         F.when(revisit, "revisit").otherwise("response").alias("record_type"), page("page_id").alias("record_id"), F.col("url").cast("string").alias("target_uri"),
         F.when(~revisit, F.col("payload")).alias("payload"), F.col("digest").alias("payload_digest"), F.octet_length("payload").cast("long").alias("full_length"), F.when(revisit, page("first")).alias("refers_to"),
     )
-    out.write.format("warc").mode("append").save(path)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
