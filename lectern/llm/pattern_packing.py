@@ -8,10 +8,11 @@ and the remaining lengths are packed by best fit decreasing, again as counts per
 finds its place from its length and its rank among pieces of that length: ranks come from counts
 per partition and length, so no length, however common, is gathered in one task.
 
-Ids are those of the ``tokenizers`` library for the given file. Byte-pair merging never crosses the
-borders of the file's pre-tokens, so the ids of each run between spaces are kept in a bounded memo;
-runs not in it go through the same vocabulary in ``tiktoken``'s merge loop, and very long runs
-through ``tokenizers`` itself.
+Ids are those of the ``tokenizers`` library for the given file as it is loaded: the strings of its
+added tokens (``<|endoftext|>``) become their one id; ``added=False`` takes them for ordinary text.
+Byte-pair merging never crosses the borders of the file's pre-tokens, so the ids of each run between
+spaces are kept in a bounded memo; runs not in it go through the same vocabulary in ``tiktoken``'s
+merge loop, and very long runs through ``tokenizers`` itself.
 
 Behaviour at the edges: a null text counts as empty and gives one piece, the end id; a null doc_id
 stays null; repeated rows are packed each for itself; other columns are ignored; an empty table
@@ -47,15 +48,24 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part i
 
 
 class RunIds(dict):
-    """Ids (little-endian uint32 bytes) of runs of text, computed on first use."""
+    """Ids (little-endian uint32 bytes) of runs of text, computed on first use.
 
-    def __init__(self, path: str):
+    ``added`` tells whether strings of added tokens in a text become their ids.
+    """
+
+    def __init__(self, path: str, added: bool = False):
         import tiktoken
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.exact = Tokenizer.from_file(path)
+        tokens = self.exact.get_added_tokens_decoder()
+        special = {t.content for t in tokens.values()}
+        # plain ones part a text wherever they stand; others are left to the library, text by text
+        self.of_added = {t.content: np.array([k], "<u4").tobytes() for k, t in tokens.items()} if added else {}
+        self.split_at = re.compile("(" + "|".join(map(re.escape, sorted(self.of_added, key=len, reverse=True))) + ")") if self.of_added else None
+        self.plain = not any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in tokens.values())
+        self.untouched = Tokenizer.from_file(path)
         self.exact.encode_special_tokens = True
-        special = {t.content for t in self.exact.get_added_tokens_decoder().values()}
         to_byte = _byte_of_symbol(sorted(pre_tokenizers.ByteLevel.alphabet()))
         vocab = {bytes(to_byte[c] for c in token): k for token, k in self.exact.get_vocab().items() if token not in special}
         pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -71,6 +81,14 @@ class RunIds(dict):
         return packed
 
     def ids(self, text: str) -> bytes:
+        if self.split_at is None or not self.split_at.search(text):
+            return self._ordinary(text)
+        if not self.plain:
+            return np.array(self.untouched.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        parts = self.split_at.split(text)
+        return b"".join([self.of_added[x] if k % 2 else self._ordinary(x) for k, x in enumerate(parts)])
+
+    def _ordinary(self, text: str) -> bytes:
         return b"".join(self._segment(x) for x in segments(text))
 
     def _segment(self, text: str) -> bytes:
@@ -101,12 +119,12 @@ def segments(text: str) -> Iterator[str]:
     yield text[at:]
 
 
-_RUNS: dict[str, RunIds] = {}
+_RUNS: dict[tuple[str, bool], RunIds] = {}
 
 
-def _pieces(path: str, length: int, end_id: int):
+def _pieces(path: str, length: int, end_id: int, added: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = _RUNS.get(path) or _RUNS.setdefault(path, RunIds(path))
+        runs = _RUNS[path, added] if (path, added) in _RUNS else _RUNS.setdefault((path, added), RunIds(path, added))
         part, seen, end = TaskContext.get().partitionId(), np.zeros(length + 1, np.int64), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "nth")}
@@ -222,24 +240,27 @@ class Slots:
         return self.base[k] + at - self.before[k], self.offset[k]
 
 
-def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, added: bool = True) -> DataFrame:
     """One row per piece of ``docs``: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    pieces = written(rows.mapInArrow(_pieces(tokenizer, length, end_id), PIECE), "pieces")
+    pieces = written(rows.mapInArrow(_pieces(tokenizer, length, end_id, added), PIECE), "pieces")
     per_part = written(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "lengths")
     counts = np.zeros(length + 1, np.int64)
     for row in per_part.groupBy("length").agg(F.sum("n").alias("n")).collect():  # a row per length
         counts[row.length] = row.n
     slots = Slots(plan(counts), length)
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = per_part.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    before = per_part.select("part", F.struct("length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")).alias("at"))
+    # a row per task that cut pieces, of a number per length, joined by merging: nothing here is broadcast
+    ranks = before.groupBy("part").agg(F.map_from_entries(F.collect_list("at")).alias("ranks")).hint("merge")
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(size: pd.Series, rank: pd.Series) -> pd.DataFrame:
         sequence, offset = slots.place(size.to_numpy(), rank.to_numpy())
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
-    out = pieces.join(before, ["part", "length"]).withColumn("slot", place("length", F.col("nth") + F.col("before")))
+    known = pieces.join(ranks, "part").withColumn("rank", F.col("nth") + F.element_at("ranks", F.col("length"))).drop("ranks")
+    out = known.withColumn("slot", place("length", "rank"))
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "slot.sequence_id", "slot.offset")
 
 
