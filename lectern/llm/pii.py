@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from itertools import product
@@ -106,17 +107,32 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans by start, overlapping ones as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
 def wide_spans(text: str, base: list[Span]) -> list[Span]:
-    """Candidates of the added kinds that overlap no base span and no candidate before them."""
-    taken, out = sorted((a, b) for _, a, b in base), []
+    """Candidates of the added kinds that overlap no base span and no candidate of a kind before them."""
+    taken, out = joined([(a, b) for _, a, b in base]), []
     some = {"spelt_email": "at" in text and ("[" in text or "(" in text), "name": ". " in text}
     digit = bool(_DIGIT.search(text))
     for name in ADDED:
         if some.get(name, digit):
+            free = []
             for m in _WIDE[name].finditer(text):
-                if all(m.end() <= a or b <= m.start() for a, b in taken):
-                    out.append((KINDS.index(name), m.start(), m.end()))
-                    taken.append(m.span())
+                # the only span that can overlap is the last that starts before the candidate's end
+                k = bisect_left(taken, (m.end(),)) - 1
+                if k < 0 or taken[k][1] <= m.start():
+                    free.append(m.span())
+            out += [(KINDS.index(name), *s) for s in free]
+            taken = joined(taken + free)
     return out
 
 

@@ -426,3 +426,81 @@ def test_pipeline_keeps_clean_documents(spark, sf):
         else:
             assert kept[name] == kept["benchmark decontamination"]
     assert corpus_pipeline.run(spark, sf).count() == docs.count()
+
+
+# -- long and odd inputs -----------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("size", [3000, 6000, 20_000, 100_000])
+def test_headers_of_any_length(spark, size):
+    rng = np.random.default_rng(size)
+    url = "http://x/" + "".join(chr(c) for c in rng.integers(33, 127, size))
+    df = spark.createDataFrame([(1, url, "payload " * 2000), (2, url, "payload " * 2000), (3, "u", "other")], "page_id long, url string, html string")
+    path = new_path(spark, "w")
+    warc.write_pages(df, path)
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_pages(spark, path).collect())
+    assert got == [(1, 16_000, "revisit", 2), (2, 16_000, "response", None), (3, 5, "response", None)]
+    found = spark.read.format("warc").load(path)
+    assert [r.target_uri for r in found.where("record_id = 'urn:page:2'").collect()] == [url]
+
+
+def test_archive_members_of_impossible_size_are_errors(tmp_path):
+    import struct
+
+    import pyarrow as pa
+
+    good = warc.member(warc.record("response", "urn:page:1", "u", b"p" * 5000, warc.base32_sha1(b""), 1, None, "d"))
+    everything = lambda headers: True
+    assert len(list(warc.records(pa.BufferReader(good * 3), everything, True))) == 3
+    for size in (0, 5, len(good) + 1):
+        bad = good[:16] + struct.pack("<I", size) + good[20:]
+        with pytest.raises(ValueError, match="can't have"):
+            list(warc.records(pa.BufferReader(bad), everything, True))
+    assert list(warc.records(pa.BufferReader(warc.member(b"WARC/1.1 no headers' end") + good), everything, False))[0][0]["warc-type"] == "response"
+
+
+def test_ids_equal_the_untouched_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    path = pattern_packing.public_tokenizer()
+    exact, runs = Tokenizer.from_file(path), pattern_packing.RunIds(path, added=True)
+    cases = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> x", "x\n<|endoftext|>\n y", "a  <|endoftext|>  b", "<|endoftext", "<|<|endoftext|>|>", *TRICKY]
+    for text in cases:
+        assert np.frombuffer(runs.ids(text), "<u4").tolist() == exact.encode(text, add_special_tokens=False).ids
+
+    @settings(max_examples=200, deadline=None)
+    @given(st.lists(st.sampled_from(["<|endoftext|>", " ", "a", "\n", "é1", "<|"]), max_size=12))
+    def check(parts):
+        text = "".join(parts)
+        assert np.frombuffer(runs.ids(text), "<u4").tolist() == exact.encode(text, add_special_tokens=False).ids
+
+    check()
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r.doc_id: r.ids_crc32 for r in pattern_packing.packed(docs, path).where("start = 0 and length < 1024").collect()}
+    for k, text in enumerate(cases):
+        ids = exact.encode(text, add_special_tokens=False).ids + [2]
+        assert k not in got or len(ids) > 1024 or got[k] == zlib.crc32(np.array(ids, "<u4").tobytes())
+    assert len(got) >= len(cases) - 1
+
+
+def test_personal_candidates_of_one_text_take_linear_time():
+    import time
+
+    text = "call 555-123-4567 or 10.1.2.3, 123-45-6789; " * 30_000
+    began = time.perf_counter()
+    base = pii.base_spans(text)
+    found = pii.wide_spans(text, base)
+    assert len(base) == 30_000 and len(found) == 60_000 and time.perf_counter() - began < 20
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="01239-. ()+at[]dotMr.AB", max_size=60))
+def test_personal_candidates_overlap_nothing_before_them(text):
+    base = pii.base_spans(text)
+    taken, want = [(a, b) for _, a, b in base], []
+    for name in pii.ADDED:
+        for m in pii._WIDE[name].finditer(text):
+            if all(m.end() <= a or b <= m.start() for a, b in taken):
+                want.append((pii.KINDS.index(name), *m.span()))
+                taken.append(m.span())
+    assert pii.wide_spans(text, base) == want
