@@ -14,7 +14,11 @@ in Spark; what reaches the driver is one number per pair of characters.
 
 Spark has no function for the places of all matches. They follow from what a text is split into:
 ``regexp_extract_all`` gives the matches, ``split`` by the same pattern the text between them, and
-running sums of their lengths the places. Texts without a match are told by one ``rlike``.
+running sums of their lengths the places. Running sums and maxima are taken block by block (an
+array of n in blocks of its root), runs are scored character by character in pieces of bounded
+size, and what stands between spans is cut out of a copy of the text in four bytes per character:
+no step's work is the square of a text's length, of a run's or of the number of matches. Texts
+without a match are told by one ``rlike``.
 
 Behaviour at the edges: a null text counts as empty and has no spans; offsets are code points, end
 exclusive; spans of different base kinds may overlap and are all kept; a null doc_id stays null;
@@ -25,10 +29,14 @@ an identifier is equally likely.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.llm.common import unused
+
 #: Fixed patterns of the base rules.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A key or hexadecimal run too short for its rule ends with its run, so the least length can stand in the pattern.
@@ -39,24 +47,78 @@ RUN = rf"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}"
 SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SAMPLE_DOCS, RANDOM_STRINGS = 1000, 4000
 THRESHOLD, SMOOTHING = 8.0, 0.5
-SPAN = "struct<start:int,rank:int,end:int>"
+SPAN, SPAN_OF_TEXT = "struct<start:int,rank:int,end:int>", "struct<start:int,rank:int,end:int,m:string>"
+#: Characters of a run that are scored at once.
+PIECE = 1 << 16
 REDACTED = "[SECRET]"
 
 
-def places(text: Column, pattern: str, rank: int, value_group: int = 0, least: int = 0) -> Column:
-    """Spans (array of struct start, rank, end) of the matches whose value group has ``least`` code points."""
-    matches, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    parts = F.arrays_zip(matches.alias("m"), F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)).alias("v"), F.slice(between, 1, F.size(matches)).alias("g"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, ``value`` being computed once, also where lambdas refer to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each of ``values`` (array of int, at least one) ``op`` over those before it, 0 for none.
+
+    Appending to an array copies it, so blocks of about the root of their number are run over one by
+    one, from where a run over the blocks' totals leaves them.
+    """
+    zero, none = F.lit(0), F.array().cast("array<int>")
+
+    def run(block: Column, start: Column) -> Column:
+        step = lambda acc, x: F.struct(op(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(block, F.struct(start.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def of(v: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(v))).cast("int")
+        cut = lambda w: F.transform(F.sequence(zero, F.floor((F.size(v) - 1) / w).cast("int")), lambda k: F.slice(v, k * w + 1, w))
+        totals = lambda blocks: F.transform(blocks, lambda b: F.aggregate(b, zero, op))
+        return let(let(width, cut), lambda blocks: F.flatten(F.zip_with(blocks, run(totals(blocks), zero), run)))
+
+    return let(values, of)
+
+
+def places(text: Column, pattern: str, rank: int, value_group: int = 0, least: int = 0, with_text: bool = False) -> Column:
+    """Spans (array of struct start, rank, end) of the matches whose value group has ``least`` code points.
+
+    With ``with_text``, structs hold the match too, as ``m``.
+    """
+    found = lambda group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    kind = f"array<{SPAN_OF_TEXT if with_text else SPAN}>"
+
+    def of(matches: Column) -> Column:
+        sizes = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m")))
+        return let(sizes, lambda z: spans(z, matches, running(F.transform(z, lambda x: x["g"] + x["m"]), lambda a, b: a + b)))
+
+    def spans(sizes: Column, matches: Column, before: Column) -> Column:
+        values = F.transform(found(value_group), F.length) if least else F.transform(matches, lambda m: F.lit(0))
+        rows = F.arrays_zip(sizes.alias("z"), before.alias("at"), values.alias("v"), matches.alias("m"))
+        if least:
+            rows = F.filter(rows, lambda r: r["v"] >= least)
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["g"])
-        end = begin + F.length(x["m"])
-        span = F.array(F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(F.length(x["v"]) >= least, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        def span(r: Column) -> Column:
+            start = r["at"] + r["z"]["g"]
+            own = [start.alias("start"), F.lit(rank).alias("rank"), (start + r["z"]["m"]).alias("end")]
+            return F.struct(*own, r["m"].alias("m")) if with_text else F.struct(*own)
 
-    none = F.array().cast(f"array<{SPAN}>")
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, step, lambda a: a["out"])).otherwise(none)
+        return F.transform(rows, span)
+
+    return F.when(text.rlike(pattern), let(found(0), of).cast(kind)).otherwise(F.array().cast(kind))
+
+
+def between(text: Column, spans: Column, told: Callable[[Column, Column], Column]) -> Column:
+    """``text`` with each of its spans (by start, at least one) replaced by ``told(span, reached)``,
+    reached being the end of all spans before it; what no span covers stays."""
+    wide = F.encode(text, "UTF-32")  # four bytes per code point, so that cutting need not count from the start
+    cut = lambda w, a, b: F.decode(F.substring(w, 4 * a + 1, 4 * F.greatest(b - a, F.lit(0))), "UTF-32")
+
+    def of(s: Column) -> Column:
+        reached = running(F.transform(s, lambda x: x["end"]), lambda a, b: F.greatest(a, b))
+        parts = lambda w: F.zip_with(s, reached, lambda x, at: F.concat(cut(w, at, x["start"]), told(x, at)))
+        return let(wide, lambda w: F.concat(F.array_join(parts(w), ""), cut(w, F.array_max(F.transform(s, lambda x: x["end"])), F.length(text))))
+
+    return let(spans, of)
 
 
 def random_strings(spark: SparkSession, n: int = RANDOM_STRINGS) -> DataFrame:
@@ -96,38 +158,31 @@ def train(samples: DataFrame) -> np.ndarray:
 
 def ratio(token: Column, model: np.ndarray) -> Column:
     """The log-likelihood ratio of a token made of SIGNS."""
-    table = F.split(F.lit(",".join(f"{x:.6f}" for x in model.ravel())), ",").cast("array<double>")
-    sign = lambda i: F.instr(F.lit(SIGNS), F.substring(token, i, F.lit(1)))
-    return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda acc, i: acc + F.element_at(table, (sign(i) - 1) * len(SIGNS) + sign(i + 1)))
-
-
-def stretches(run: Column, base: Column) -> Column:
-    """What the base spans (by start) leave of a run: spans of LEAST_RUN and more code points."""
-    touching = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
-    stop = F.array(F.struct(run["end"].alias("start"), run["rank"].alias("rank"), run["end"].alias("end")))
-    start = F.struct(run["start"].alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    wide = np.zeros((128, 128))
+    codes = [ord(c) for c in SIGNS]
+    wide[np.ix_(codes, codes)] = model
+    table = F.split(F.lit(",".join(f"{x:.6f}" for x in wide.ravel())), ",").cast("array<double>")
 
-    def step(acc: Column, b: Column) -> Column:
-        left = F.array(F.struct(acc["at"].alias("start"), run["rank"].alias("rank"), b["start"].alias("end")))
-        out = F.when(b["start"] - acc["at"] >= LEAST_RUN, F.concat(acc["out"], left)).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), out.alias("out"))
+    def piece(text: Column) -> Column:
+        codes = F.transform(F.split(text, ""), F.ascii)
+        steps = lambda c: F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda a, b: F.element_at(table, a * 128 + b + 1))
+        return let(codes, lambda c: F.aggregate(steps(c), F.lit(0.0), lambda acc, x: acc + x))
 
-    return F.aggregate(F.concat(touching, stop), start, step, lambda a: a["out"])
+    # pieces share a sign, so that each transition is in one
+    starts = F.sequence(F.lit(0), F.floor(F.greatest(F.length(token) - 2, F.lit(0)) / PIECE).cast("int"))
+    return F.aggregate(F.transform(starts, lambda k: piece(F.substring(token, k * PIECE + 1, F.lit(PIECE + 1)))), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def located(docs: DataFrame, model: np.ndarray, text: str = "text") -> DataFrame:
-    """``docs`` with ``_base`` and ``_spans``: the base spans and all spans, by start, then kind."""
+def located(docs: DataFrame, model: np.ndarray, base: str, spans: str, text: str = "text") -> DataFrame:
+    """``docs`` with two more columns, named ``base`` and ``spans``: the base spans and all spans, by start, then kind."""
     whole = F.coalesce(docs[text], F.lit(""))
-    base = F.array_sort(F.concat(places(whole, ASSIGN, 0, 1, LEAST_VALUE), places(whole, ACCESS, 1), places(whole, HEX, 2)))
-    out = docs.withColumn("_base", base).withColumn("_runs", places(whole, RUN, 3))
-    apart = F.flatten(F.transform("_runs", lambda run: stretches(run, F.col("_base"))))
-    out = out.withColumn("_runs", F.when((F.size("_runs") > 0) & (F.size("_base") > 0), apart).otherwise(F.col("_runs")))
-
-    def likely(span: Column) -> Column:
-        return ratio(F.substring(whole, span["start"] + 1, span["end"] - span["start"]), model) > THRESHOLD
-
-    added = F.when(F.size("_runs") > 0, F.filter("_runs", likely)).otherwise(F.col("_runs"))
-    return out.withColumn("_spans", F.array_sort(F.concat("_base", added))).drop("_runs")
+    out = docs.withColumn(base, F.array_sort(F.concat(places(whole, ASSIGN, 0, 1, LEAST_VALUE), places(whole, ACCESS, 1), places(whole, HEX, 2))))
+    # what base spans leave of the runs are the runs of the text with base spans blanked out
+    blank = lambda s, reached: F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], reached), F.lit(0)))
+    masked = F.when((F.size(base) > 0) & whole.rlike(RUN), between(whole, F.col(base), blank)).otherwise(whole)
+    likely = F.filter(let(masked, lambda t: places(t, RUN, 3, with_text=True)), lambda s: ratio(s["m"], model) > THRESHOLD)
+    added = F.transform(likely, lambda s: F.struct(s["start"], s["rank"], s["end"]))
+    return out.withColumn(spans, F.array_sort(F.concat(base, added.cast(f"array<{SPAN}>"))))
 
 
 def listed(spans: Column) -> Column:
@@ -138,35 +193,23 @@ def listed(spans: Column) -> Column:
 def secrets(docs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, counts of the base kinds, base_sha256 and spans."""
     model = train(labelled_samples(docs) if samples is None else samples)
-    rows = located(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model)
-    of_kind = lambda k: F.size(F.filter("_base", lambda s: s["rank"] == k)).cast("long")
+    rows = located(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model, "base", "all")
+    of_kind = lambda k: F.size(F.filter("base", lambda s: s["rank"] == k)).cast("long")
     n = [of_kind(k).alias(f"n_{KINDS[k]}") for k in range(3)]
-    return rows.select("doc_id", *n, F.sha2(listed(F.col("_base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("_spans")).alias("spans"))
-
-
-def merged(spans: Column) -> Column:
-    """Sorted spans with overlapping ones joined."""
-
-    def step(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), last["rank"].alias("rank"), F.greatest(last["end"], s["end"]).alias("end"))))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] > s["start"]), joined).otherwise(F.concat(acc, F.array(s)))
-
-    return F.aggregate(spans, F.array().cast(f"array<{SPAN}>"), step)
+    return rows.select("doc_id", *n, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("all")).alias("spans"))
 
 
 def redacted(docs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
-    """``docs`` with every secret replaced by REDACTED, ``n_chars`` (if there) following; nothing else changes."""
-    rows = located(docs, train(labelled_samples(docs) if samples is None else samples)).withColumn("_spans", merged(F.col("_spans")))
-    text, spans = F.col("text"), F.col("_spans")
-    before = F.transform(spans, lambda s, i: F.struct(F.when(i == 0, F.lit(0)).otherwise(F.try_element_at(spans, i)["end"]).alias("from"), s["start"].alias("to")))
-    kept = F.transform(before, lambda b: F.concat(F.substring(text, b["from"] + 1, b["to"] - b["from"]), F.lit(REDACTED)))
-    last = F.try_element_at(spans, F.lit(-1))["end"]
-    new = F.when(F.size(spans) > 0, F.concat(F.concat_ws("", kept), F.substring(text, last + 1, F.length(text)))).otherwise(text)
-    rows = rows.withColumn("_new", new)
-    out = {"text": F.col("_new")}
+    """``docs`` with every secret replaced by REDACTED, spans that overlap by one, ``n_chars`` (if
+    there) following; nothing else changes, and other columns may have any name."""
+    base, spans, new = (unused(docs, c) for c in ("base", "spans", "new"))
+    rows = located(docs, train(labelled_samples(docs) if samples is None else samples), base, spans)
+    once = lambda s, reached: F.when(s["start"] >= reached, REDACTED).otherwise("")
+    some = F.size(spans) > 0
+    rows = rows.withColumn(new, F.when(some, between(rows["text"], F.col(spans), once)).otherwise(rows["text"]))
+    out = {"text": F.col(new)}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.size("_spans") > 0, F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        out["n_chars"] = F.when(some, F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(rows["n_chars"])
     return rows.select(*[out.get(c, rows[c]).alias(c) for c in docs.columns])
 
 

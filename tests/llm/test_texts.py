@@ -504,3 +504,82 @@ def test_personal_candidates_overlap_nothing_before_them(text):
                 want.append((pii.KINDS.index(name), *m.span()))
                 taken.append(m.span())
     assert pii.wide_spans(text, base) == want
+
+
+def test_secret_scan_of_long_runs_and_many_matches(spark, sf):
+    import random
+    import string
+    import time
+
+    rng = random.Random(4)
+    signs = string.ascii_letters + string.digits + "+/"
+    run = "".join(rng.choice(signs) for _ in range(1_000_000))
+    hexes = " some, ".join(["token=abcdef1", "0f" * 16] * 50_000)
+    cut = "-".join(["q7Rz0KfW3xLp9VbT2mYc8HdNs5JgE1uA", "0f" * 16] * 3000)
+    samples = secret_scan.labelled_samples(spark.read.parquet(f"{sf}/documents.parquet"))
+    began = time.perf_counter()
+    df = spark.createDataFrame([(1, run), (2, hexes), (3, cut), (4, "🙂" * 10 + run[:200])], "doc_id long, text string").repartition(4, "doc_id")
+    got = {r.doc_id: r for r in secret_scan.secrets(df, samples).collect()}
+    assert got[1].spans == "markov:0:1000000" and got[4].spans == "markov:10:210"
+    assert (got[2].n_assign, got[2].n_hex) == (50_000, 50_000) and got[2].base_sha256 == base_secrets(hexes)[1]
+    assert got[3].n_hex == 3000 and got[3].spans.count("markov") == 3000
+    clean = {r.doc_id: r.text for r in secret_scan.redacted(df, samples).collect()}
+    assert clean == {1: "[SECRET]", 2: " some, ".join(["[SECRET]"] * 100_000), 3: "[SECRET]" * 6000, 4: "🙂" * 10 + "[SECRET]"}
+    assert time.perf_counter() - began < 90
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(-5, 50), min_size=1, max_size=40))
+def test_running_sums(spark, values):
+    got = spark.sql("SELECT array({}) AS v".format(",".join(map(str, values)))).select(secret_scan.running(F.col("v"), lambda a, b: a + b).alias("r")).first().r
+    assert got == [sum(values[:k]) for k in range(len(values))]
+
+
+def test_recall_of_planted_random_tokens(spark, sf):
+    """Tokens of other makes than the training samples: base62, prefixed, url-safe, dashed."""
+    import random
+    import string
+
+    rng = random.Random(9)
+    base62, url = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "-_"
+    make = [lambda n: "".join(rng.choices(base62, k=n)), lambda n: "ghp_" + "".join(rng.choices(base62, k=n)), lambda n: "".join(rng.choices(url, k=n)), lambda n: "sk-live-" + "".join(rng.choices(base62, k=n)), lambda n: "".join(rng.choices(string.ascii_lowercase + string.digits, k=n)) + "X9"]
+    rows, at = [], {}
+    for doc_id, text in documents(sf):
+        token, words = make[doc_id % 5](rng.randint(28, 48)), text.split(" ")
+        place = rng.randrange(len(words) + 1)
+        before = " ".join([*words[:place], ""])
+        at[doc_id] = len(before), len(before) + len(token)
+        rows.append((doc_id, before + token + " " + " ".join(words[place:])))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    samples = secret_scan.labelled_samples(docs)
+    found = {r.doc_id: r.spans for r in secret_scan.secrets(spark.createDataFrame(rows, "doc_id long, text string"), samples).collect()}
+    hit = sum(any(int(a) <= at[i][0] and int(b) >= at[i][1] - 2 for _, a, b in (s.split(":") for s in found[i].split(",") if s)) for i in at)
+    assert hit / len(at) >= 0.9, hit / len(at)
+    # words of the corpus itself are hardly ever taken for random
+    plain = secret_scan.secrets(docs, samples)
+    assert plain.where("spans like '%markov%'").count() <= 0.05 * docs.count()
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "token=abcdef x", 14, "s", "b", "r")], "doc_id long, text string, n_chars int, _spans string, base string, spans string")
+    samples = secret_scan.random_strings(spark, 50)
+    assert [tuple(r) for r in secret_scan.redacted(df, samples).collect()] == [(1, "[SECRET] x", 10, "s", "b", "r")]
+
+
+def test_recall_of_planted_personal_data(spark, sf):
+    import random
+
+    rng = random.Random(5)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    iban = lambda: (lambda body: f"DE{98 - int(body + '131400') % 97:02d}{body}")(digits(18))
+    make = {
+        "spelt_email": lambda: f"write to jane{digits(2)} [at] mail{digits(1)} [dot] com for more",
+        "local_phone": lambda: f"call {rng.randint(200, 999)}-{rng.randint(200, 999)}-{digits(4)} now",
+        "social": lambda: f"social security {rng.randint(100, 600)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)} on file",
+        "account": lambda: f"iban {iban()} please",
+        "name": lambda: f"dear Mr. {rng.choice(['John', 'Peter', 'Paul'])} {rng.choice(['Smith', 'Miller', 'Brown'])} said",
+    }
+    rows = [(i, f"{t} {make[pii.ADDED[i % 5]]()} {t[:50]}") for i, t in documents(sf)]
+    got = {r.doc_id: r.spans for r in pii.personal(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    share = {k: sum(k in got[i] for i in got if pii.ADDED[i % 5] == k) / sum(pii.ADDED[i % 5] == k for i in got) for k in pii.ADDED}
+    assert min(share.values()) >= 0.9, share
