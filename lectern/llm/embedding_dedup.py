@@ -4,13 +4,17 @@ Vectors at cosine ``THRESHOLD`` or more are linked; groups are the connected com
 links and the smallest vec_id of a group is kept.
 
 Equal vectors are first folded into one, with a count. Spherical k-means on a bounded sample gives
-cell centres; every vector belongs to the cell of its nearest centre. Angles are a metric, so two
-vectors of cells A and B can be linked only if the angle between the centres is no more than the
-cells' radii and the threshold angle together, and one vector needs cell B only if its own angle to
-B's centre is no more than B's radius and the threshold angle. What these bounds leave is compared
-block by block: cells are cut into blocks of about ``BLOCK`` vectors, so no cell, however full, is
-one task. Where vectors don't cluster (in high dimensions a random vector is far from every
-centre), the bounds leave most pairs of cells and the blocks compare nearly everything.
+cell centres, whose number grows with the vectors; every vector belongs to the cell of its nearest
+centre. A vector x of cell A can be linked to a vector of cell B only if it lies near the plane
+between the two centres: as y of B is no nearer to a than to b, and x and y are no farther apart
+than the threshold's chord, x.a - x.b is at most chord times |a - b|. Cells are gathered into
+bundles of at most ``BLOCK`` vectors (a fuller cell is cut into several bundles); a vector stays in
+its own bundle and is sent, once, to each later bundle with a cell that the bound leaves, where it
+meets only that cell's vectors. Visitors of a bundle are cut into slices of about ``BLOCK`` too, so
+no cell, however full, is one task. Where vectors don't cluster (in 64 dimensions a random vector
+is far from every centre), the bound leaves most cells and nearly everything is compared: the work
+is then quadratic, and a vector is sent about once per ``BLOCK`` others. Beyond ``MOST_CELLS`` times
+``CELL`` vectors of one length cells fill up and the work per vector grows.
 
 Products are taken in single precision; those near the threshold again in double precision, which
 decides. Blocks return sums per vector and a spanning star per group, never pairs.
@@ -28,20 +32,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import components, written
+from lectern.llm.common import components, hot_keys, scratch, settled, spread_join, written
 
 THRESHOLD = 0.95
-#: Vectors that k-means learns from, vectors in an average cell and most cells, vectors in a block.
-SAMPLE, CELL, MOST_CELLS, BLOCK, ROUNDS = 4096, 4096, 256, 4096, 8
-#: Added to bounds on angles, far above their rounding errors.
-SLACK = 1e-6
+#: Vectors in an average cell, most cells, vectors that k-means learns from (at least, and per cell), vectors in a block.
+CELL, MOST_CELLS, SAMPLE, PER_CELL, BLOCK, ROUNDS = 1024, 16_384, 4096, 4, 16_384, 8
+#: Components of a block at most, so that long vectors make smaller blocks.
+BLOCK_SIZE = 1 << 21
+#: The distance of unit vectors at the threshold, and what is added to the bound, far above its rounding errors.
+CHORD, SLACK = float(np.sqrt(2 - 2 * THRESHOLD)), 1e-6
 _KEY = 1 << 16  # cells of one length of vectors
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of very small or large components would be 0 or infinite
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -57,10 +64,6 @@ def spherical_kmeans(x: np.ndarray, k: int) -> np.ndarray:
     return centres
 
 
-def angles(cosines: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(cosines, -1, 1))
-
-
 def by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(positions, matrix of unit vectors) for each length of the lists of ``column``."""
     if isinstance(column, pa.ChunkedArray):
@@ -74,12 +77,12 @@ def by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def centres_of(classes: DataFrame, n: int) -> dict[int, np.ndarray]:
-    sample = classes.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow()
+    cells = int(np.clip(-(-n // CELL), 1, MOST_CELLS))
+    sample = classes.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(SAMPLE, PER_CELL * cells)).select("embedding").toArrow()
     out = {}
     if sample.num_rows:
         for at, x in by_length(sample["embedding"]):
-            k = int(np.clip(np.ceil(n * len(at) / sample.num_rows / CELL), 1, min(MOST_CELLS, len(at))))
-            out[x.shape[1]] = spherical_kmeans(x, k)
+            out[x.shape[1]] = spherical_kmeans(x, int(np.clip(cells * len(at) // sample.num_rows, 1, len(at))))
     return out
 
 
@@ -90,39 +93,101 @@ def _centres(centres: dict[int, np.ndarray], length: int) -> np.ndarray:
 def _assigned(centres: dict[int, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cell, angle = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            cell = np.zeros(batch.num_rows, np.int64)
+            for at, x in by_length(batch.column(2)):
+                for k in range(0, len(x), 512):
+                    cell[at[k : k + 512]] = x.shape[1] * _KEY + np.argmax(x[k : k + 512] @ _centres(centres, x.shape[1]).T, axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], ["vec_id", "n", "embedding", "cell"])
+
+    return run
+
+
+def near_plane(x: np.ndarray, own: np.ndarray, centres: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Whether each of ``x``, of cells ``own``, may be linked to a vector of each of ``cells``."""
+    a, b = centres[own], centres[cells]
+    apart = np.sqrt(np.maximum(0, 2 - 2 * (a @ b.T)))
+    return np.einsum("ij,ij->i", x, a)[:, None] - x @ b.T <= CHORD * apart + SLACK
+
+
+class Bundles:
+    """Cells gathered into, or cut into, bundles of at most a block; their numbers ascend."""
+
+    def __init__(self, cells: dict[int, int]):
+        self.first: dict[int, int] = {}
+        self.pieces: dict[int, int] = {}
+        self.count, room, of_length = 0, 0, -1
+        for cell, n in sorted(cells.items()):
+            length = cell // _KEY
+            block = max(1, min(BLOCK, BLOCK_SIZE // max(1, length)))
+            if n > room or length != of_length:
+                self.count, room, of_length = self.count + 1, block, length
+            self.first[cell], self.pieces[cell] = self.count - 1, -(-n // block)
+            self.count += self.pieces[cell] - 1
+            room = room - n if n <= room else 0
+        # by length: number of a cell's first bundle and of its bundles, by the cell's place among the centres
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for length in {c // _KEY for c in cells}:
+            size = max(c % _KEY for c in cells if c // _KEY == length) + 1
+            first, pieces = np.zeros(size, np.int64), np.zeros(size, np.int64)
+            for c in cells:
+                if c // _KEY == length:
+                    first[c % _KEY], pieces[c % _KEY] = self.first[c], self.pieces[c]
+            self.tables[length] = first, pieces
+
+    def home(self, length: int, own: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        first, pieces = self.tables[length]
+        return first[own] + _spread(ids) % pieces[own]
+
+    def visits(self, length: int, x: np.ndarray, own: np.ndarray, home: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows of ``x``, bundles) of the visits to be made, each once."""
+        first, pieces = self.tables[length]
+        rows, bundles = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in range(0, len(x), 512):
+            r, c = np.nonzero(near_plane(x[k : k + 512], own[k : k + 512], centres, np.arange(len(first))) & (pieces > 0))
+            n = pieces[c]
+            r, to = np.repeat(r + k, n), np.repeat(first[c], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            pairs = np.unique((r * self.count + to)[to > home[r]])
+            rows.append(pairs // self.count)
+            bundles.append(pairs % self.count)
+        return np.concatenate(rows), np.concatenate(bundles)
+
+
+def _counted(centres: dict[int, np.ndarray], bundles: Bundles):
+    """How many visitors each bundle gets from a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, ids, cell = np.zeros(bundles.count, np.int64), batch.column(0).to_numpy(), batch.column(3).to_numpy()
             for at, x in by_length(batch.column(2)):
-                cos = x @ _centres(centres, x.shape[1]).T
-                own = np.argmax(cos, axis=1)
-                cell[at], angle[at] = x.shape[1] * _KEY + own, angles(cos[np.arange(len(x)), own])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(angle)], ["vec_id", "n", "embedding", "cell", "angle"])
+                own = cell[at] % _KEY
+                _, to = bundles.visits(x.shape[1], x, own, bundles.home(x.shape[1], own, ids[at]), _centres(centres, x.shape[1]))
+                n += np.bincount(to, minlength=bundles.count)
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["bundle", "n"])
 
     return run
 
 
-def _routed(centres: dict[int, np.ndarray], cells: dict[int, tuple[int, float]]):
-    """Sends a vector to every pair of its block and a block of a cell that may hold a link of it."""
-    theta = float(np.arccos(THRESHOLD)) + SLACK
-    blocks = {c: -(-n // BLOCK) for c, (n, _) in cells.items()}
+def _routed(centres: dict[int, np.ndarray], bundles: Bundles, slices: np.ndarray):
+    """Vectors at home, in every slice of their bundle, and as visitors, in one slice of each other's."""
+    names = ["bundle", "slice", "visitor", "vec_id", "n", "embedding", "cell"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            home, ids = batch.column(3).to_numpy(), batch.column(0).to_numpy()
+            ids, cell = batch.column(0).to_numpy(), batch.column(3).to_numpy()
             for at, x in by_length(batch.column(2)):
-                length = x.shape[1]
-                near = angles(x @ _centres(centres, length).T)
-                own = home[at]
-                mine = _spread(ids[at]) % np.array([blocks[c] for c in own])
-                for cell, (_, radius) in cells.items():
-                    if cell // _KEY != length:
-                        continue
-                    go = np.flatnonzero((own == cell) | (near[:, cell % _KEY] <= radius + theta))
-                    for block in range(blocks[cell]):
-                        first = (own[go] < cell) | ((own[go] == cell) & (mine[go] <= block))
-                        a, i = np.where(first, own[go], cell), np.where(first, mine[go], block)
-                        b, j = np.where(first, cell, own[go]), np.where(first, block, mine[go])
-                        rows = batch.take(pa.array(at[go]))
-                        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (a, i, b, j)] + [pa.array(first), *rows.columns[:3]], ["a", "i", "b", "j", "first", "vec_id", "n", "embedding"])
+                own = cell[at] % _KEY
+                home = bundles.home(x.shape[1], own, ids[at])
+                n = slices[home]
+                rows = np.repeat(np.arange(len(at)), n)
+                yield told(batch, at[rows], home[rows], np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), False)
+                rows, to = bundles.visits(x.shape[1], x, own, home, _centres(centres, x.shape[1]))
+                for k in range(0, len(rows), 1 << 14):
+                    r, b = rows[k : k + (1 << 14)], to[k : k + (1 << 14)]
+                    yield told(batch, at[r], b, (_spread(ids[at[r]]) >> 7) % slices[b], True)
+
+    def told(batch: pa.RecordBatch, at: np.ndarray, bundle: np.ndarray, piece: np.ndarray, visitor: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(bundle), pa.array(piece), pa.array(np.full(len(at), visitor)), *batch.take(pa.array(at)).columns], names)
 
     return run
 
@@ -148,28 +213,45 @@ def links_in_block(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, np.ndarr
 OUT = "node long, other long, links long"
 
 
-def _compared(table: pa.Table) -> pa.Table:
-    """Links between the two blocks of a group (or inside the one): sums per vector, then stars."""
-    key = [table[c][0].as_py() for c in ("a", "i", "b", "j")]
-    ids, n, first = table["vec_id"].to_numpy(), table["n"].to_numpy(), table["first"].to_numpy().astype(bool)
-    _, x = next(by_length(table["embedding"]))
-    alone = key[:2] == key[2:]
-    left, right = (np.arange(len(ids)),) * 2 if alone else (np.flatnonzero(first), np.flatnonzero(~first))
-    total, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
-    for at, hit in links_in_block(x[left], x[right]):
-        rows = left[at : at + len(hit)]
-        if alone:
-            hit[np.arange(len(hit)), rows] = False
-        else:
-            total[right] += n[rows] @ hit
-        total[rows] += hit @ n[right]
-        for k in np.flatnonzero(hit.any(1)):
-            own = np.append(label[right[hit[k]]], label[rows[k]])
-            if (own != own[0]).any():
-                label[np.isin(label, own)] = own.min()
-    linked, far = np.flatnonzero(total), np.flatnonzero(label != np.arange(len(ids)))
-    node, other = np.concatenate([ids[linked], ids[label[far]]]), pa.array(np.concatenate([ids[linked], ids[far]]), mask=np.arange(len(linked) + len(far)) < len(linked))
-    return pa.table({"node": node, "other": other, "links": np.concatenate([total[linked], np.zeros(len(far), np.int64)])})
+def _compared(centres: dict[int, np.ndarray]):
+    """Links inside a bundle (once, in its first slice) and with its visitors: sums per vector, then stars."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, n, cell, visitor = (table[c].to_numpy() for c in ("vec_id", "n", "cell", "visitor"))
+        _, x = next(by_length(table["embedding"]))
+        own, centre = cell % _KEY, _centres(centres, x.shape[1])
+        total, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+
+        def meet(left: np.ndarray, right: np.ndarray, alone: bool) -> None:
+            for at, hit in links_in_block(x[left], x[right]):
+                rows = left[at : at + len(hit)]
+                if alone:
+                    hit[np.arange(len(hit)), np.arange(at, at + len(hit))] = False
+                else:
+                    total[right] += n[rows] @ hit
+                total[rows] += hit @ n[right]
+                for k in np.flatnonzero(hit.any(1)):
+                    group = np.append(label[right[hit[k]]], label[rows[k]])
+                    if (group != group[0]).any():
+                        label[np.isin(label, group)] = group.min()
+
+        inside = table["slice"][0].as_py() == 0
+        for c in np.unique(own[~visitor]):
+            here = np.flatnonzero((own == c) & ~visitor)
+            if inside:
+                meet(here, here, True)
+            others = np.flatnonzero(visitor | ((own > c) & inside))
+            # visitors of this very cell come from another bundle of it, within the bound as any of the cell
+            for k in range(0, len(others), 4096):
+                near = others[k : k + 4096]
+                near = near[near_plane(x[near], own[near], centre, np.array([c]))[:, 0]]
+                if len(near):
+                    meet(near, here, False)
+        linked, far = np.flatnonzero(total), np.flatnonzero(label != np.arange(len(ids)))
+        node, other = np.concatenate([ids[linked], ids[label[far]]]), pa.array(np.concatenate([ids[linked], ids[far]]), mask=np.arange(len(linked) + len(far)) < len(linked))
+        return pa.table({"node": node, "other": other, "links": np.concatenate([total[linked], np.zeros(len(far), np.int64)])})
+
+    return run
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
@@ -179,19 +261,33 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     sound = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", bad) & F.exists("embedding", lambda v: v != 0)
     sound = F.coalesce(sound, F.lit(False))
     kind = rows.schema["embedding"].dataType.simpleString()
-    classes = written(rows.where(sound).groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")).select("vec_id", "n", "embedding"), "vectors")
-    centres = centres_of(classes, classes.count())
-    assigned = written(classes.mapInArrow(_assigned(centres), f"vec_id long, n long, embedding {kind}, cell long, angle double"), "cells")
-    cells = {r["cell"]: (r["n"], r["radius"]) for r in assigned.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()}
-    pairs = assigned.mapInArrow(_routed(centres, cells), f"a long, i long, b long, j long, first boolean, vec_id long, n long, embedding {kind}")
-    found = written(pairs.groupBy("a", "i", "b", "j").applyInArrow(_compared, OUT), "links")
-    direct = found.where("other is null").groupBy(F.col("node").alias("rep")).agg(F.sum("links").alias("direct"))
-    root = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    told = classes.withColumnRenamed("vec_id", "rep").join(direct, "rep", "left").join(root.withColumnRenamed("node", "rep"), "rep", "left")
-    told = told.select(F.col("embedding").alias("e"), (F.col("n") - 1 + F.coalesce("direct", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    out = rows.join(told, sound & (F.col("embedding") == F.col("e")), "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    with scratch(rows.sparkSession):
+        classes = rows.where(sound).groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")).select("vec_id", "n", "embedding")
+        classes = written(classes, "vectors")
+        centres = centres_of(classes, classes.count())
+        assigned = written(classes.mapInArrow(_assigned(centres), f"vec_id long, n long, embedding {kind}, cell long"), "cells")
+        # a row per cell and per bundle
+        bundles = Bundles({r["cell"]: r["count"] for r in assigned.groupBy("cell").count().collect()})
+        slices = np.ones(max(1, bundles.count), np.int64)
+        for r in assigned.mapInArrow(_counted(centres, bundles), "bundle long, n long").groupBy("bundle").agg(F.sum("n").alias("n")).collect():
+            slices[r["bundle"]] = -(-r["n"] // BLOCK)
+        pairs = assigned.mapInArrow(_routed(centres, bundles, slices), f"bundle long, slice long, visitor boolean, vec_id long, n long, embedding {kind}, cell long")
+        found = written(pairs.groupBy("bundle", "slice").applyInArrow(_compared(centres), OUT), "links")
+        direct = found.where("other is null").groupBy(F.col("node").alias("rep")).agg(F.sum("links").alias("direct"))
+        root = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
+        told = classes.withColumnRenamed("vec_id", "rep").join(direct, "rep", "left").join(root.withColumnRenamed("node", "rep"), "rep", "left")
+        told = told.select(F.col("embedding").alias("e"), (F.col("n") - 1 + F.coalesce("direct", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"), "n")
+        told = settled(told, "told")
+    return _joined(rows, told, sound)
+
+
+def _joined(rows: DataFrame, told: DataFrame, sound: Column) -> DataFrame:
+    """Every row with what is ``told`` of its vector; copies of a common vector are dealt out to several tasks."""
+    n = rows.count()
+    keyed = rows.withColumn("e", F.when(sound, F.col("embedding"))).select("vec_id", F.col("e").alias("e"))
+    out = spread_join(keyed.where("e is not null"), told.drop("n"), "e", n, "left", hot=hot_keys(told.select("e", "n"), n)).drop("e")
+    odd = keyed.where("e is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return out.unionByName(odd).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

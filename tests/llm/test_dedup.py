@@ -173,3 +173,23 @@ def test_one_of_each_takes_any_extra_column(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, id string, _id int, mark int")
     for _ in range(2):
         assert sorted(tuple(r) for r in S.one_of_each(docs).collect()) == [rows[0], rows[2]]
+
+
+def test_tiny_and_huge_components(spark):
+    rows = [(1, [1e-200, 0.0]), (2, [3e-200, 1e-210]), (3, [1e300, 1e299]), (4, [1e-300, 1e-301]), (5, [0.0, 5e-324])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5)}
+
+
+@pytest.mark.parametrize("block", [16, 200])
+def test_bundles_of_cells_lose_no_link(spark, monkeypatch, block):
+    monkeypatch.setattr(E, "BLOCK", block)
+    monkeypatch.setattr(E, "CELL", 8)
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(60, 12))
+    x = np.concatenate([base[rng.integers(0, 60, 500)] + rng.normal(size=(500, 12)) * 0.2, rng.normal(size=(150, 12)), base[:1] + rng.normal(size=(150, 12)) * 0.1])
+    df = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in E.near_duplicates(df).collect()}
+    hit = brute_vectors(x)
+    want = roots(list(range(len(x))), lambda k: np.flatnonzero(hit[k]).tolist())
+    assert got == {k: (hit[k].sum(), want[k]) for k in range(len(x))}
