@@ -4,12 +4,16 @@ A benchmark item is found in a document if at least ``THRESHOLD`` of the item's
 shingles occur in the document. Words are the runs of letters and digits of the lower-cased text;
 an item of fewer than five words is one shingle, its whole word sequence.
 
-Search is by MinHash sketches of the items, the short side. Items are partitioned by their number
-of shingles ``n``; in a partition the sketch is the ``n - ceil(THRESHOLD * n) + 1`` shingles of
-smallest hash. Whichever shingles a document may lack, one that holds enough of an item holds one
-of its sketch, so, unlike banded signatures of whole documents, which a long document drowns, the
-search misses nothing. Documents are not sketched: each of their shingles is looked up among the
-sketches, and items hit are verified by exact shingle containment on the words themselves.
+Search is by MinHash, over items partitioned by size. A partition holds the items of ``n`` shingles
+with ``low <= n < 2 * low`` and has one sketch size ``s`` (what its largest item may lack at the
+threshold, times ``SURPLUS``, and one more): an item's sketch is its ``s`` smallest shingle hashes.
+The partition's greatest sketched hash bounds the hashes that matter; those of a document that are
+no greater are the document's sketch for that partition, whose length follows the document's, so
+that a long one doesn't drown a short item as it would in a signature of fixed length. An item is a
+candidate if its sketch and the document's share as many hashes as an item at the threshold must:
+of ``n`` shingles at most ``n - needed(n)`` are lacking, so at least ``s - (n - needed(n))`` sketched
+ones are there. The estimate thus errs to one side only and nothing is missed; candidates are
+verified by exact shingle containment on the words themselves.
 
 Items are handled in blocks of bounded size, each shipped to the tasks and matched against all
 documents; words outside a block's vocabulary are skipped by one dictionary lookup.
@@ -35,6 +39,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE, THRESHOLD = 5, 0.8
+#: Sketched hashes for each shingle that an item may lack: more make candidates fewer and sketches longer.
+SURPLUS = 2
 #: Code points of item texts in a block, and of a document's text that are split into words at once.
 BLOCK_CHARS, SEGMENT = 8 << 20, 4 << 20
 PAIRS = "doc_id long, item_id long, n_shingles long, n_found long, containment double"
@@ -59,6 +65,39 @@ def needed(n: int) -> int:
     return next(k for k in range(math.ceil(THRESHOLD * n) - 1, n + 1) if k / n >= THRESHOLD)
 
 
+class Partition:
+    """Items of similar size (places among a block's items) and the index of their sketches."""
+
+    def __init__(self, hashes: dict[int, np.ndarray], shingles: list[set]):
+        largest = max(len(shingles[k]) for k in hashes)
+        self.sketch = SURPLUS * (largest - needed(largest)) + 1
+        keys, owners, self.least = [], [], {}
+        for k, own in hashes.items():
+            lacking, mine = len(shingles[k]) - needed(len(shingles[k])), np.sort(own)[: self.sketch]
+            keys.append(mine)
+            owners.append(np.full(len(mine), k))
+            self.least[k] = len(mine) - lacking
+        flat, of = np.concatenate(keys), np.concatenate(owners)
+        order = np.argsort(flat, kind="stable")
+        self.keys, self.owners = flat[order], of[order]
+        self.greatest = self.keys[-1]
+
+    def sketched(self, keys: np.ndarray) -> np.ndarray:
+        """The hashes of a document's sketch that are in the index; ``keys`` are its shingles' hashes."""
+        small = keys[keys <= self.greatest]
+        return np.unique(small[self.keys[np.searchsorted(self.keys, small)] == small])
+
+    def candidates(self, keys: list[np.ndarray]) -> list[int]:
+        """Items whose sketches share enough hashes with a document's (given in parts)."""
+        found = np.unique(np.concatenate(keys))
+        if not len(found):
+            return []
+        a, b = np.searchsorted(self.keys, found), np.searchsorted(self.keys, found, "right")
+        owners = self.owners[np.repeat(a, b - a) + np.arange((b - a).sum()) - np.repeat(np.cumsum(b - a) - (b - a), b - a)]
+        items, shared = np.unique(owners, return_counts=True)
+        return [k for k, n in zip(items.tolist(), shared.tolist()) if n >= self.least[k]]
+
+
 class Block:
     """A block of items, ready to be looked for in documents."""
 
@@ -72,15 +111,13 @@ class Block:
                 self.shingles.append({tuple(w[k : k + width]) for k in range(len(w) - width + 1)})
                 for x in w:
                     self.vocabulary.setdefault(x, xxhash.xxh64_intdigest(x.encode()) | 1)
-        self.widths = sorted({len(next(iter(s))) for s in self.shingles})
-        keys, owners = [], []
+        by_size: dict[tuple[int, int], dict[int, np.ndarray]] = {}
         for k, own in enumerate(self.shingles):
-            mine = sorted(self._key(np.array([[self.vocabulary[x] for x in s] for s in own], np.uint64)).tolist())
-            sketch = mine[: len(mine) - needed(len(mine)) + 1]
-            keys += sketch
-            owners += [k] * len(sketch)
-        order = np.argsort(np.array(keys, np.uint64), kind="stable")
-        self.keys, self.owners = np.array(keys, np.uint64)[order], np.array(owners, np.int64)[order]
+            hashes = self._key(np.array([[self.vocabulary[x] for x in s] for s in own], np.uint64))
+            by_size.setdefault((len(next(iter(own))), len(own).bit_length()), {})[k] = np.unique(hashes)
+        self.partitions: dict[int, list[Partition]] = {}
+        for width, size in sorted(by_size):
+            self.partitions.setdefault(width, []).append(Partition(by_size[width, size], self.shingles))
 
     @staticmethod
     def _key(columns: np.ndarray) -> np.ndarray:
@@ -93,29 +130,26 @@ class Block:
 
     def find(self, text: str | None) -> list[tuple[int | None, int, int]]:
         """(item_id, shingles of the item, those found) of the items contained in the text."""
-        hit: set[int] = set()
+        sketches: dict[tuple[int, int], list[np.ndarray]] = {}
         held: set[tuple[str, ...]] = set()
         tail: list[str] = []
         for part in words(text):
             w = tail + part
             known = np.fromiter(map(self.vocabulary.get, w, repeat(0)), np.uint64, len(w))
             runs = np.concatenate([[0], np.cumsum(known != 0)])
-            for width in self.widths:
+            for width, partitions in self.partitions.items():
                 if len(w) < width:
                     continue
                 at = np.flatnonzero(runs[width:] - runs[:-width] == width)
                 if not len(at):
                     continue
                 keys = self._key(known[at[:, None] + np.arange(width)])
-                found = np.searchsorted(self.keys, keys)
-                found[found == len(self.keys)] = 0
-                for key in np.unique(keys[self.keys[found] == keys]):
-                    a, b = np.searchsorted(self.keys, key), np.searchsorted(self.keys, key, "right")
-                    hit.update(self.owners[a:b].tolist())
+                for k, own in enumerate(partitions):
+                    sketches.setdefault((width, k), []).append(own.sketched(keys))
                 held.update(tuple(w[k : k + width]) for k in at.tolist())
             tail = w[len(w) - SHINGLE + 1 :] if len(w) >= SHINGLE else w
         out = []
-        for k in sorted(hit):
+        for k in sorted(k for (width, p), parts in sketches.items() for k in self.partitions[width][p].candidates(parts)):
             n, found = len(self.shingles[k]), len(self.shingles[k] & held)
             if found / n >= THRESHOLD:
                 out.append((self.ids[k], n, found))

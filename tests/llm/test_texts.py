@@ -583,3 +583,20 @@ def test_recall_of_planted_personal_data(spark, sf):
     got = {r.doc_id: r.spans for r in pii.personal(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     share = {k: sum(k in got[i] for i in got if pii.ADDED[i % 5] == k) / sum(pii.ADDED[i % 5] == k for i in got) for k in pii.ADDED}
     assert min(share.values()) >= 0.9, share
+
+
+def test_items_are_partitioned_by_size():
+    rng = np.random.default_rng(8)
+    items = [(n, " ".join(f"u{n}x{k}" for k in range(n))) for n in (1, 3, 4, 5, 6, 20, 21, 23, 200, 230, 1500)]
+    block = decontam.Block(items)
+    assert [len(p) for p in block.partitions.values()] == [1, 1, 1, 5]
+    for own in block.partitions[5]:
+        sizes = [len(block.shingles[k]) for k in own.least]
+        assert max(sizes) < 2 * min(sizes) and all(1 <= own.least[k] <= own.sketch for k in own.least)
+    long = " ".join(f"z{k}" for k in rng.integers(0, 9000, 20_000))
+    for n, text in items:
+        assert [x[0] for x in block.find(f"{long} {text} {long}")] == [n]
+        if n > 5:  # each fifth shingle that is lacking is one that may be
+            lacking = text.split(" ")[: 4 + decontam.needed(n - 4)]
+            assert [x[0] for x in block.find(f"{long} {' '.join(lacking)} {long}")] == [n]
+            assert block.find(f"{long} {' '.join(lacking[:-1])} {long}") == []
