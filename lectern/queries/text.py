@@ -41,7 +41,13 @@ def _nested(x: str, *steps: tuple[str, str]) -> str:
 
 SPEAK_SQL = "trim(" + _nested("translate(" + _nested(FOOT.format("text"), (r"\.{3,}|(?:\.\s){2,}\.", "…"), (r"[\s\x{A0}]*(?:—|–|--+)[\s\x{A0}]*", ", ")) + ", '\xa0“”’‘\xad', ' \"\"''''')", (r"[ \t]{2,}", " ")) + f", {WS})"
 PAIR = "|".join(f"{m}(\\S(?:.*?\\S)?){m}" for m in (r"\*\*\*", r"\*\*", r"\*", "___", "__", "_"))
-MARKUP_SQL = "trim(" + _nested("text", (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", r"\1"), (r"\[\^[^\]]+\]", ""), (r"`([^`]+)`", r"\1"), (PAIR, r"\1\2\3\4\5\6"), (r"</?[a-zA-Z][^>]*>", "")) + f", {WS})"
+
+
+def _markup(x: str) -> str:
+    return "trim(" + _nested(x, (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", r"\1"), (r"\[\^[^\]]+\]", ""), (r"`([^`]+)`", r"\1"), (PAIR, r"\1\2\3\4\5\6"), (r"</?[a-zA-Z][^>]*>", "")) + f", {WS})"
+
+
+MARKUP_SQL = _markup("text")
 UNWRAP = "array_to_string(list_filter(list_transform(string_split(regexp_replace({}, '\\r\\n|[\\r\\x0b\\x0c\\x1c-\\x1e]', chr(10), 'g'), chr(10)), lambda x: trim(x, " + WS + ")), lambda x: x <> ''), ' ')"
 HEADING = rf"""(strpos({{0}}, chr(10)) = 0 AND length({{0}}) BETWEEN 4 AND 60 AND NOT regexp_matches({{0}}, '[.!?,;:]$')
     AND (regexp_full_match(regexp_replace({{0}}, '[^\p{{{{L}}}}]', '', 'g'), '\p{{{{Lu}}}}+') OR (regexp_matches({{0}}, '^(?i:{T.DIVISIONS})\b') AND regexp_matches({{0}}, '\p{{{{L}}}}'))))"""
@@ -115,7 +121,18 @@ def _html(spark, sf):
     return B.html_blocks(p).select("doc_id", F.col("block_idx").cast("long").alias("block_idx"), "kind", "text", F.col("level").cast("long").alias("level"))
 
 
-MD = """SELECT doc_id, replace(replace(replace(text, chr(10), chr(10) || '- item' || chr(10) || 'lazy' || chr(10) || chr(10) || '> quoted' || chr(10) || '| a | b |' || chr(10)), '. ', '.' || chr(10) || chr(10) || '## Heading ##' || chr(10)), ', ', ',' || chr(10)) || chr(10) || '---' || chr(10) || '```' || chr(10) || 'code' AS text FROM {documents}"""
+#: Markdown put into the texts: what each sort of line does after each other.
+MD_ENDS = (
+    ("---", "```", "code"),
+    ("", "Name", "of *it*", "===", "---", "***", "![x](y)", "==", "~~~", "# no", "", "  deep", "```", "after", "- - -", "w"),
+    ("* * *", "1. one", "2) [two](u)", "> q", "---", "z", "--", "  ___", "#not", "### ", "---", "y"),
+    ("", "---", "--", "--", "| t |", "---", "| u |", "==", "| v |", "- - -", "***", "", "```", "", "```", "x `y`", "![i](j)"),
+)
+MD = (
+    "SELECT doc_id, replace(replace(replace(text, chr(10), chr(10) || '- item' || chr(10) || 'lazy **b**' || chr(10) || chr(10) || '> quoted' || chr(10) || '| a | b |' || chr(10)), '. ', '.' || chr(10) || chr(10) || '## Heading ##' || chr(10)), ', ', ',' || chr(10)) || CASE doc_id % 4 "
+    + " ".join(f"WHEN {k} THEN " + " || ".join(f"chr(10) || '{x}'" for x in end) for k, end in enumerate(MD_ENDS))
+    + " END AS text FROM {documents}"
+)
 
 
 def _markdown(spark, sf):
@@ -137,6 +154,31 @@ c AS (SELECT *, CASE WHEN s > 0 AND strpos(substr(text, s), chr(10) || chr(10))
 k AS (SELECT doc_id, mentions, CASE WHEN mentions > 5 THEN CASE WHEN b > 0 AND any_e > 0 THEN substr(text, b, greatest(e - b, 0)) END ELSE text END AS kept FROM c)
 SELECT doc_id, mentions, kept, kept IS NULL AS rejected FROM k
 """
+ATX = r"^(#{1,6})\s+(.*?)\s*#*\s*$"
+#: What is open before a line is told by the last sign of a string that a fold over the lines appends to.
+MD_SQL = rf"""
+WITH d AS ({_d(MD)}), a AS (SELECT doc_id, regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]') AS ls FROM d),
+k AS (SELECT *, list_transform(ls, lambda x: CASE WHEN regexp_matches(x, '^\s*(```|~~~)') THEN 'F--' WHEN trim(x, {WS}) = '' THEN 'B--'
+    WHEN regexp_matches(x, '{ATX}') THEN 'A--' WHEN regexp_matches(x, '^\s*!\[[^\]]*\]\([^)]*\)\s*$') THEN 'I--' ELSE
+    CASE WHEN regexp_matches(x, '^\s*\|.*\|\s*$') THEN 't' WHEN regexp_matches(x, '^\s*>\s?') THEN 'q' WHEN regexp_matches(x, '^\s*(?:[-*+]|\d{{1,3}}[.)])\s+') THEN 'l' ELSE 'p' END
+    || CASE WHEN regexp_matches(x, '^\s*(?:[-*_]\s*){{3,}}$') THEN 'r' ELSE '-' END || CASE WHEN regexp_matches(x, '^=+\s*$') THEN '1' WHEN regexp_matches(x, '^-{{2,}}\s*$') THEN '2' ELSE '-' END END) AS ks FROM a),
+f AS (SELECT *, list_reduce(ks, lambda s, x: s || CASE WHEN x[1] = 'F' THEN CASE WHEN s[-1] = 'c' THEN 'n' ELSE 'c' END WHEN s[-1] = 'c' THEN 'c' WHEN x[1] IN ('B', 'A', 'I') THEN 'n'
+    WHEN x[2] = 'r' AND s[-1] = 'n' THEN 'n' WHEN x[3] <> '-' AND s[-1] = 'p' THEN 'n' WHEN x[1] <> 'p' THEN x[1] WHEN s[-1] IN ('q', 'l') THEN s[-1] ELSE 'p' END, 'n') AS states FROM k),
+l AS (SELECT doc_id, states, unnest(ls) AS x, unnest(ks) AS sort, generate_subscripts(ls, 1) AS i FROM f),
+m AS (SELECT *, substr(states, i, 1) AS was, substr(states, i + 1, 1) AS now FROM l),
+n AS (SELECT *, sort[1] IN ('A', 'I') AND was <> 'c' AS alone FROM m),
+o AS (SELECT *, sum(CASE WHEN alone OR (now <> was AND now <> 'n') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS b,
+    CASE WHEN was = 'c' THEN sort[1] <> 'F' ELSE alone OR (now <> 'n' AND sort[1] <> 'F') END AS part,
+    CASE WHEN was = 'p' AND now = 'n' AND sort[3] <> '-' THEN sort[3] ELSE '' END AS under FROM n),
+g AS (SELECT doc_id, b, first(now ORDER BY i) AS now, first(alone ORDER BY i) AS alone, first(sort[1] ORDER BY i) AS sort, first(x ORDER BY i) AS head, max(under) AS under,
+    coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (part), '') AS raw,
+    coalesce(string_agg(trim(CASE WHEN now = 'q' THEN regexp_replace(x, '^\s*>\s?', '') WHEN now = 'l' THEN regexp_replace(x, '^\s*(?:[-*+]|\d{{1,3}}[.)])\s+', '') ELSE x END, {WS}), ' ' ORDER BY i) FILTER (part), '') AS words
+    FROM o WHERE b > 0 GROUP BY doc_id, b),
+e AS (SELECT doc_id, b, CASE WHEN sort = 'I' AND alone THEN 'figure' WHEN alone OR under <> '' THEN 'heading' ELSE CASE now WHEN 'c' THEN 'code' WHEN 't' THEN 'table' WHEN 'q' THEN 'quote' WHEN 'l' THEN 'list' ELSE 'paragraph' END END AS kind,
+    CASE WHEN sort = 'I' AND alone THEN trim(head, {WS}) WHEN alone THEN {_markup(f"regexp_extract(head, '{ATX}', 2)")} WHEN now IN ('c', 't') THEN trim(raw, {WS}) ELSE {_markup("words")} END AS text,
+    CASE WHEN sort = 'A' AND alone THEN length(regexp_extract(head, '{ATX}', 1)) WHEN under <> '' THEN CAST(under AS INT) ELSE 0 END AS level FROM g)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY b) - 1 AS block_idx, kind, text, CAST(level AS BIGINT) AS level FROM e WHERE text <> ''
+"""
 BLOCKS_SQL = rf"""
 WITH d AS ({_d(BLOCKS)}), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM d),
 b AS (SELECT *, CASE WHEN strpos(text, 'LICENSE') > 0 THEN 'heading' ELSE 'paragraph' END AS kind FROM l),
@@ -185,7 +227,7 @@ QUERIES = {
     "guarded_rewrite_counts": (_guard_counts, f"{GUARD_CTE} SELECT reason, count(*) AS n FROM r GROUP BY reason"),
     "slug_variants": (_slugs, SLUG_SQL),
     "sparse_escalation": (_sparse, f"WITH a AS (SELECT conv_id AS doc_id, count(DISTINCT turn) AS pages, CAST(coalesce(sum(length(text)) FILTER (role <> 'system' AND trim(text, {WS}) <> ''), 0) AS BIGINT) AS spoken_chars FROM conversations GROUP BY conv_id) SELECT *, pages > 0 AND spoken_chars / pages < 200 AS escalate FROM a"),
-    "markdown_blocks": (_markdown, None),
+    "markdown_blocks": (_markdown, MD_SQL),
     "html_blocks": (_html, None),
     "html_h1": (
         lambda spark, sf: table(spark, sf, "pages").select("page_id", B.first_h1(F.col("html")).alias("h1")),

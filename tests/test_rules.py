@@ -60,12 +60,16 @@ MARKDOWN = {
     "```\ncode # x\n": [("code", "code # x", 0)],
     "| a |\n|---|\nafter\n![x](y)\n---\n": [("table", "| a |\n|---|", 0), ("paragraph", "after", 0), ("figure", "![x](y)", 0)],
     "": [],
+    "~~~\n\n a\n```\nx\n---\ny\n---\n---\n- - -\n* * *\nz\n- - -\nw": [("code", "a", 0), ("heading", "x", 2), ("heading", "y", 2), ("paragraph", "z", 0), ("list", "- - w", 0)],
+    "==\n==\n--\np\n***\n\n***\n>a\n---\n--\n": [("heading", "==", 1), ("paragraph", "-- p *", 0), ("quote", "a --- --", 0)],
+    "# `only` **markup**\n#none\n### \n```\n```\n![a](b)\n1. x\n2) y": [("heading", "only markup", 1), ("paragraph", "#none", 0), ("figure", "![a](b)", 0), ("list", "x y", 0)],
 }
 
 
 @pytest.mark.parametrize(("text", "want"), MARKDOWN.items())
-def test_markdown(text, want):
-    assert B.markdown_items(text) == want
+def test_markdown(spark, text, want):
+    (got,) = apply(spark, B.markdown_structs, [text])
+    assert [tuple(x) for x in got] == want
 
 
 def test_html_closes_paragraphs_and_skips_scripts():
