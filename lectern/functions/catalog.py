@@ -15,9 +15,9 @@ FORMATS = {
     "cover": ("image/jpeg", "image/png"),
 }
 EPITHETS = (
-    "of the and emperor empress king queen prince princess saint st sir dame lord lady pope bishop captain "
-    "president dr mrs mr ms baron count countess duke pseud jr sr active approximately"
-).split()
+    "of", "the", "and", "emperor", "empress", "king", "queen", "prince", "princess", "saint", "st", "sir", "dame", "lord", "lady", "pope",
+    "bishop", "captain", "president", "dr", "mrs", "mr", "ms", "baron", "count", "countess", "duke", "pseud", "jr", "sr", "active", "approximately",
+)
 ENGINES = ("edge", "gemini", "google-cloud", "mlx")
 ALIASES = {"google": "google-cloud", "cloud": "google-cloud", "gcp": "google-cloud", "local": "mlx", "kokoro": "mlx", "mlx-audio": "mlx", "edge-tts": "edge"}
 LANGUAGE_OF_PREFIX = {"a": ("en", "US"), "b": ("en", "GB"), "e": ("es", ""), "f": ("fr", ""), "h": ("hi", ""), "i": ("it", ""), "j": ("ja", ""), "p": ("pt", "BR"), "z": ("zh", "")}

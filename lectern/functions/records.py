@@ -80,8 +80,3 @@ def voice_line(name: Column, gender: Column, tags: Column) -> Column:
     """A voice as a line of the voice list; language and locale come from the name."""
     parts = F.split(name, "-", -1)
     return F.concat(F.concat_ws(",", name, F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), gender), F.lit(',"'), F.array_join(tags, ","), F.lit('"'))
-
-
-def annotation(kind: Column, text: Column, note: Column) -> Column:
-    """A PDF annotation: highlights (8) and underlines (9) with their text, others with the note alone."""
-    return F.struct(F.when(kind.isin(8, 9), text).alias("text"), note.alias("note"))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.functions import media as M
 from lectern.functions import text as T
 from lectern.functions.catalog import MAX_CHARS
-from lectern.operators import artifacts, media, resume, script
+from lectern.operators import artifacts, library, media, resume, script
 from lectern.operators import blocks as B
-from lectern.plugins import Engine, synthesized
+from lectern.plugins import Engine, candidates, require, synthesized
 from lectern.sources import files
 
 
@@ -38,14 +41,52 @@ def rewritten(utterances: DataFrame, candidate: Column, failed: Column | None =
     return utterances.withColumns({"reason": reason, "text": text})
 
 
-def media_plan(utterances: DataFrame, engine: Engine, done: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(segments, chapter marks): synthesizes what has no usable segment yet."""
-    from pyspark.sql import Window
+def kept_once(df: DataFrame) -> DataFrame:
+    """``df``, computed now and once: written to the shared checkpoint folder, which only a local session may lack."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        at = sc.getConf().get("spark.checkpoint.dir")
+        if not at and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="lectern-"))
+    return df.checkpoint()
+
 
+def media_plan(utterances: DataFrame, engine: Engine, done: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(segments, chapter marks): synthesizes what has no usable segment yet, each text once, however often either is read."""
+    require(engine.name, engine)
     order = Window.partitionBy("doc_id").orderBy("chapter_idx", "utt_idx")
     rows = utterances.withColumn("idx", (F.row_number().over(order) - 1).cast("int"))
     todo = rows if done is None else resume.outstanding(rows, done)
-    new = synthesized(todo, engine)
+    new = kept_once(synthesized(todo, engine))
     segments = new if done is None else new.unionByName(resume.usable(done).select(*new.columns))
     marks = media.chapter_marks(segments.join(rows.select("doc_id", "idx", "chapter_idx"), ["doc_id", "idx"]))
     return segments, marks
+
+
+def narrated(spark: SparkSession, folder: str, engine: Engine, model=None, container: str = "mp3", speed: float | None = None, **options) -> dict[str, DataFrame]:
+    """From a folder to all that assembling needs: utterances, segments, marks, complete, files, outputs.
+
+    With a rewriting model, which must be available, utterances are rewritten where the guard accepts it.
+    """
+    if model is not None:
+        require("the rewriting model", model)
+    docs = files.documents(spark, folder)
+    utterances = of_folder(spark, folder, **options)
+    if model is not None:
+        told = utterances.withColumn("_c", candidates(F.col("text"), model))
+        utterances = kept_once(rewritten(told, F.col("_c.candidate"), F.col("_c.failed")).drop("_c", "reason"))
+    segments, marks = media_plan(utterances, engine)
+    indexed = utterances.withColumn("idx", (F.row_number().over(Window.partitionBy("doc_id").orderBy("chapter_idx", "utt_idx")) - 1).cast("int"))
+    by_doc = segments.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)))).alias("suffixes"))
+    outputs = docs.join(by_doc, "doc_id").select("doc_id", library.output_path(F.col("path"), container).alias("output"), M.codec(F.lit(container), F.col("suffixes"), F.lit(speed).cast("double")).alias("codec"))
+    return {"utterances": utterances, "segments": segments, "marks": marks, "complete": resume.completeness(indexed, segments), "rejected": files.rejected(docs, files.blocks(docs)), "outputs": outputs}
+
+
+def preview(spark: SparkSession, voices: list[str], engine: Engine, text: str, folder: str) -> DataFrame:
+    """A short text spoken by each of some voices: voice, path, duration_ms, error; a path is the same for the same voice always."""
+    require(engine.name, engine)
+    rows = spark.createDataFrame([(v,) for v in voices], "voice string")
+    rows = rows.select("voice", F.xxhash64("voice").alias("doc_id"), F.lit(0).alias("idx"), F.lit(text).alias("text"), library.preview_path(F.lit(engine.name), F.col("voice"), folder).alias("path"))
+    spoken = kept_once(synthesized(rows, engine)).drop("path", "idx", "size")
+    return rows.select("voice", "doc_id", "path").join(spoken, "doc_id").drop("doc_id")

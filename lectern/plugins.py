@@ -42,26 +42,85 @@ def extracted(docs: DataFrame, extractor: Callable[[object], list[tuple[str, str
 
 
 def candidates(text: Column, model: Callable[[str], str | None]) -> Column:
-    """A model's rewrites (struct candidate, failed), in Arrow batches."""
+    """A model's rewrites (struct candidate, failed), in Arrow batches.
+
+    A model with a method ``rewrite_all`` gets a batch of texts at once and returns as many rewrites;
+    if that raises, or for other models, texts go one by one and only those that raise have failed.
+    """
 
     @F.pandas_udf("candidate string, failed boolean")
     def run(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
+        rows = None
+        if hasattr(model, "rewrite_all"):
             try:
-                rows.append((model(t), False))
-            except Exception:  # whatever the model raises is a failed candidate
-                rows.append((None, True))
+                found = list(model.rewrite_all(texts.tolist()))
+                rows = [(x, False) for x in found] if len(found) == len(texts) else None
+            except Exception:  # one text's fault is not the batch's
+                rows = None
+        if rows is None:
+            rows = []
+            for t in texts:
+                try:
+                    rows.append((model(t), False))
+                except Exception:  # whatever the model raises is a failed candidate
+                    rows.append((None, True))
         return pd.DataFrame(rows, columns=["candidate", "failed"])
 
     return run(text)
 
 
+def require(name: str, plugin: object) -> None:
+    """Raises before any work if a plug-in says that it can't run (method ``is_available``: (ok, reason))."""
+    ok, reason = plugin.is_available() if hasattr(plugin, "is_available") else (True, "")
+    if not ok:
+        raise RuntimeError(f"{name} is not available: {reason}")
+
+
+def states(plugins: dict[str, Callable[[], object]]) -> list[tuple[str, bool, str]]:
+    """(name, available, reason) of plug-ins by their makers, as ``library.availability`` takes them; what can't be made is left out."""
+    out = []
+    for name, make in plugins.items():
+        try:
+            plugin = make()
+        except Exception:  # a broken optional import shouldn't hide the rest
+            continue
+        ok, reason = plugin.is_available() if hasattr(plugin, "is_available") else (True, "")
+        out.append((name, ok, reason))
+    return out
+
+
+def page_texts(pages: DataFrame, layout: Callable | None = None, plain: Callable | None = None, ocr: Callable | None = None) -> DataFrame:
+    """Pages (doc_id, page, content) through up to three readers of a page's content, as ``pages.tiers`` takes them.
+
+    A layout reader returns Markdown, the others text. OCR's failures are told; others give null.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for doc_id, page, content in zip(part["doc_id"], part["page"], part["content"]):
+                texts: list[str | None] = []
+                error = None
+                for reader in (layout, plain, ocr):
+                    try:
+                        texts.append(reader(content) if reader else None)
+                    except Exception as failed:  # a reader's failure is data
+                        texts.append(None)
+                        error = str(failed) if reader is ocr else error
+                rows.append((doc_id, page, *texts, error))
+            yield pd.DataFrame(rows, columns=["doc_id", "page", "layout", "plain", "ocr", "ocr_error"])
+
+    return pages.select("doc_id", "page", "content").mapInPandas(run, "doc_id long, page int, layout string, plain string, ocr string, ocr_error string")
+
+
 def synthesized(utterances: DataFrame, engine: Engine, attempts: int = 3, backoff_s: float = 2.0) -> DataFrame:
     """Segments of utterances (doc_id, idx, text) in as many tasks as the engine takes at once.
 
-    All are tried; what fails after ``attempts`` keeps its message.
+    All are tried; what fails after ``attempts`` keeps its message. A text whose file the engine has
+    already (method ``existing``, returning as ``synthesize`` does, or null) isn't spoken again, so
+    a task that is run again after a loss goes on where the first one ended.
     """
+    existing = getattr(engine, "existing", None) or (lambda text, name: None)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -69,7 +128,8 @@ def synthesized(utterances: DataFrame, engine: Engine, attempts: int = 3, backof
             for doc_id, idx, text in zip(part["doc_id"], part["idx"], part["text"]):
                 for attempt in range(1, attempts + 1):
                     try:
-                        rows.append((doc_id, idx, *engine.synthesize(text, f"{doc_id}/chunk_{idx:05d}"), None))
+                        name = f"{doc_id}/chunk_{idx:05d}"
+                        rows.append((doc_id, idx, *(existing(text, name) or engine.synthesize(text, name)), None))
                         break
                     except Exception as error:  # an engine's failure is data
                         if attempt == attempts:

@@ -53,7 +53,7 @@ def epub_items(content: bytes) -> list[tuple[str, str, int]]:
 
 
 def epub_blocks(docs: DataFrame) -> DataFrame:
-    """Blocks of EPUBs (doc_id, content); an archive that can't be read gives none."""
+    """Blocks of EPUBs (doc_id, content); an archive that can't be read, for whatever reason, gives none."""
 
     def run(parts):
         for part in parts:
@@ -61,32 +61,50 @@ def epub_blocks(docs: DataFrame) -> DataFrame:
             for doc_id, content in zip(part["doc_id"], part["content"]):
                 try:
                     rows += [(doc_id, k, *item, None) for k, item in enumerate(epub_items(content))]
-                except (zipfile.BadZipFile, KeyError, StopIteration, ElementTree.ParseError):
+                except Exception:  # a damaged archive is data; ``rejected`` tells why
                     continue
             yield pd.DataFrame(rows, columns=["doc_id", "block_idx", "kind", "text", "level", "page"]).astype({"page": "Int32"})
 
     return docs.select("doc_id", "content").mapInPandas(run, BLOCKS)
 
 
+def text_of(content: Column) -> Column:
+    """A file's text, line ends as line feeds; null if it isn't UTF-8."""
+    return F.replace(F.try_validate_utf8(content.cast("string")), F.lit("\r\n"), F.lit("\n"))
+
+
 def blocks(docs: DataFrame) -> DataFrame:
-    """Blocks of files as ``documents`` gives them, boilerplate left out."""
-    text = docs.withColumn("text", F.replace(F.decode("content", "UTF-8"), F.lit("\r\n"), F.lit("\n")))
+    """Blocks of files as ``documents`` gives them, boilerplate left out. Files that can't be read give none."""
+    text = docs.withColumn("text", text_of(F.col("content"))).where("text is not null")
     of = lambda kind: text.where(F.col("reader") == kind)
     plain = of("text").withColumn("text", F.when(T.mentions(F.col("text")) > 5, T.without_boilerplate(F.col("text"))).otherwise(F.col("text"))).where("text is not null")
     out = B.plain_blocks(plain).unionByName(B.markdown_blocks(of("markdown"))).unionByName(B.html_blocks(of("html"))).unionByName(epub_blocks(docs.where(F.col("reader") == "epub")))
     return B.without_boilerplate(out)
 
 
-def rejected(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Files that gave nothing to speak: path, reason."""
-    speaking = found.where(T.spoken(F.col("kind"), F.col("text"))).select("doc_id").distinct().withColumn("_ok", F.lit(True))
-    out = docs.select("doc_id", "path", "reader").join(speaking, "doc_id", "left").where("_ok is null")
-    return out.select("path", F.when(F.col("reader").isNull(), "unsupported suffix").otherwise("nothing to speak").alias("reason"))
+def _archive_error(content: Column) -> Column:
+    @F.pandas_udf("string")
+    def errors(contents: pd.Series) -> pd.Series:
+        def tried(data: bytes) -> str | None:
+            try:
+                epub_items(data)
+            except Exception as error:  # told, not raised
+                return f"unreadable archive: {type(error).__name__}: {error}"
+            return None
 
+        return contents.map(tried)
 
-def page_range(pages: DataFrame, first: int | None, last: int | None) -> DataFrame:
-    """Pages first to last, counted from 1, both included."""
-    return pages.where(F.col("page").between(max(1, first or 1), last if last is not None else 2**31 - 1))
+    return errors(content)
+
+
+def rejected(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Files that gave nothing to speak: path, reason, error (what keeps a file from being read). Errors are looked into for these only."""
+    speaking = found.where(T.spoken(F.col("kind"), F.col("text"))).select("doc_id").distinct()
+    out = docs.join(speaking, "doc_id", "left_anti").withColumn("reason", F.when(F.col("reader").isNull(), "unsupported suffix").otherwise("nothing to speak"))
+    coded = F.col("reader").isin("text", "markdown", "html") & text_of(F.col("content")).isNull()
+    error = F.when(coded, "not UTF-8 text").when(F.col("reader") == "pdf", "needs an extractor")
+    epubs = out.where("reader <=> 'epub'").select("path", "reason", _archive_error(F.col("content")).alias("error"))
+    return out.where("not (reader <=> 'epub')").select("path", "reason", error.alias("error")).unionByName(epubs)
 
 
 def voice_catalogue(spark: SparkSession, path: str) -> DataFrame:
@@ -108,6 +126,19 @@ def catalogue(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("id", T.strip(F.coalesce("title", F.lit(""))).alias("title"), authors.alias("authors"), F.coalesce("languages", F.array().cast("array<string>")).alias("languages"), F.coalesce("download_count", F.lit(0)).alias("download_count"), F.col("copyright").alias("copyrighted"), formats.alias("formats"), F.col("id").alias("ord"))
 
 
-def write_texts(rows: DataFrame, folder: str, column: str) -> None:
-    """One text per document, in folders by document."""
-    rows.select("doc_id", F.col(column).alias("value")).write.partitionBy("doc_id").text(folder, lineSep="\x00")
+def write_texts(rows: DataFrame, folder: str, column: str, buckets: int = 64) -> None:
+    """Texts as JSON lines (doc_id, text) in ``buckets`` folders by hash of the document: files don't grow with documents."""
+    out = rows.select("doc_id", F.col(column).alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"))
+    out.write.partitionBy("bucket").json(folder)
+
+
+def write_voice_list(voices: DataFrame, path: str) -> None:
+    """The voice list as one sorted file without header (some hundred lines)."""
+    from lectern.operators.library import voice_list
+
+    voice_list(voices).orderBy("place").select("line").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_files(files: DataFrame, folder: str) -> None:
+    """Files (path, content) as one text each under ``folder``, in folders named by path: for reports, not for corpora."""
+    files.select(F.regexp_replace("path", r"[^A-Za-z0-9._-]+", "_").alias("file"), F.col("content").alias("value")).write.partitionBy("file").text(folder, lineSep="\x00")

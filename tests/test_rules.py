@@ -78,6 +78,47 @@ def test_html_closes_paragraphs_and_skips_scripts():
     assert B.html_items("<div>just text</div>") == [("paragraph", "just text", 0)]
 
 
+def told_by_tokens(page):
+    """The blocks of a page by its tags in a row, another way than the reader's: a stack of open block tags as a string."""
+    import html
+    import re
+
+    kinds = {**{f"h{n}": ("heading", n) for n in range(1, 7)}, "p": ("paragraph", 0), "blockquote": ("quote", 0), "li": ("list", 0), "table": ("table", 0), "pre": ("code", 0), "figcaption": ("figure", 0)}
+    page = re.sub(r"(?is)<!--.*?-->|<!doctype[^>]*>|<(script|style|nav)\b.*?</\1\s*>", " ", page)
+    body = re.split(r"(?i)<body[^>]*>", page)[-1]
+    out, kind, text, inside = [], None, "", ""
+    for tag in re.split(r"(<[^>]*>)", body) + ["<end>"]:
+        name = re.match(r"</?\s*([a-z0-9]*)", tag.lower())
+        if not tag.startswith("<"):
+            text += html.unescape(tag)
+            continue
+        text += " "
+        block, opens = name[1] in kinds, not tag.startswith("</")
+        holder = kind in ("quote", "list", "table", "code") if kind else False
+        if not holder and block and opens:
+            if kind and kind != "paragraph":
+                continue  # a block inside a heading is its text
+            out.append((kind, text, kinds[inside][1])) if kind else None
+            kind, inside, text = kinds[name[1]][0], name[1], ""
+        elif kind and not opens and name[1] == inside:
+            out.append((kind, text, kinds[inside][1]))
+            kind, inside, text = None, "", ""
+        elif not kind:
+            text = ""
+    out += [(kind, text, kinds[inside][1])] if kind else []
+    return [(k, " ".join(t.split()), n) for k, t, n in out if t.split()]
+
+
+def test_html_of_the_pages_equals_another_reading(spark, sf):
+    rows = spark.read.parquet(f"{sf}/pages.parquet").selectExpr("page_id AS doc_id", "html AS text")
+    got = {}
+    for r in B.html_blocks(rows).orderBy("doc_id", "block_idx").collect():
+        got.setdefault(r.doc_id, []).append((r.kind, r.text, r.level))
+    pages = {r.doc_id: r.text for r in rows.collect()}
+    assert len(got) > 40 and {k for b in got.values() for k, _, _ in b} >= {"heading", "paragraph"}
+    assert all(told_by_tokens(t) == got.get(i, []) or not told_by_tokens(t) for i, t in pages.items())
+
+
 def greedy(text, limit):
     """The packing rule, told as a loop."""
     import re
@@ -198,3 +239,133 @@ def test_long_leaders_before_prose_are_no_page_number(spark):
     rows = [(1, 10 * page + i, "paragraph", t, page) for page, edge in texts.items() for i, t in enumerate((f"opening {page}", "body", edge))]
     b = spark.createDataFrame(rows, "doc_id long, block_idx int, kind string, text string, page int")
     assert {r.block_idx for r in A.marked(b).where("kind = 'page_artifact'").collect()} == {32, 42}
+
+
+def test_a_folder_with_damaged_files_is_read_to_the_end(spark, tmp_path):
+    from lectern.sources import files
+
+    (tmp_path / "a.txt").write_text("CHAPTER ONE\n\nIt was so.")
+    (tmp_path / "latin.txt").write_bytes("Caf\xe9 au lait".encode("latin-1"))
+    (tmp_path / "latin.md").write_bytes(b"# Caf\xe9")
+    (tmp_path / "empty.txt").write_text(" \n")
+    (tmp_path / "p.pdf").write_bytes(b"%PDF")
+    epub(tmp_path / "good.epub")
+    whole = (tmp_path / "good.epub").read_bytes()
+    (tmp_path / "cut.epub").write_bytes(whole[: len(whole) // 2])
+    at = whole.index(b"OPS/a.xhtml") + 20
+    (tmp_path / "bits.epub").write_bytes(whole[:at] + bytes(b ^ 255 for b in whole[at : at + 12]) + whole[at + 12 :])
+    with zipfile.ZipFile(tmp_path / "bare.epub", "w") as z:
+        z.writestr("META-INF/container.xml", "<container/>")
+    docs = files.documents(spark, str(tmp_path))
+    found = files.blocks(docs)
+    name = lambda path: path.rpartition("/")[2]
+    speaking = {name(r.path) for r in docs.join(found, "doc_id").collect()}
+    assert {"a.txt", "good.epub"} <= speaking and not speaking & {"latin.txt", "latin.md", "cut.epub", "bare.epub"}
+    reasons = {name(r.path): r.error for r in files.rejected(docs, found).collect()}
+    assert reasons["latin.txt"] == reasons["latin.md"] == "not UTF-8 text" and reasons["empty.txt"] is None and reasons["p.pdf"] == "needs an extractor"
+    assert reasons["cut.epub"].startswith("unreadable archive: BadZipFile") and reasons["bare.epub"].startswith("unreadable archive: StopIteration")
+    assert reasons.get("bits.epub", "unreadable archive").startswith("unreadable archive")
+
+
+def test_each_text_is_spoken_once(spark, tmp_path):
+    from lectern.plans.narration import media_plan, narrated, preview
+
+    calls = tmp_path / "calls"
+
+    class Counting:
+        name, concurrency = "counting", 2
+
+        def is_available(self):
+            return True, ""
+
+        def synthesize(self, text, name):
+            with open(calls, "a") as f:
+                f.write(".")
+            return f"{name}.mp3", len(text), 10
+
+    u = spark.createDataFrame([(1, 0, "c", k, f"text {k}") for k in range(6)], "doc_id long, chapter_idx int, chapter_title string, utt_idx int, text string")
+    segments, marks = media_plan(u, Counting())
+    assert segments.count() == 6 and marks.first().end_ms == 60 and segments.agg(F.sum("duration_ms")).first()[0] == 60
+    assert calls.read_text() == "." * 6
+
+    class Absent(Counting):
+        def is_available(self):
+            return False, "no key"
+
+    with pytest.raises(RuntimeError, match="no key"):
+        media_plan(u, Absent())
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "b.txt").write_text("CHAPTER ONE\n\nIt was so.")
+    plan = narrated(spark, str(tmp_path / "in"), Counting(), model=str.upper, container="m4b", minimum=0)
+    assert [r.text for r in plan["utterances"].collect()] == ["CHAPTER ONE.\n\nIT WAS SO."]
+    assert plan["complete"].first().complete and [(r.output.rpartition("/")[2], r.codec) for r in plan["outputs"].collect()] == [("b.m4b", "aac")]
+    shown = preview(spark, ["af_heart", "a b/c"], Counting(), "hello", "/tmp/p").orderBy("voice").collect()
+    assert [(r.path, r.duration_ms) for r in shown] == [("/tmp/p/counting-a-b-c.mp3", 10), ("/tmp/p/counting-af_heart.mp3", 10)]
+
+
+def test_batches_of_rewrites(spark):
+    from lectern.plugins import candidates
+
+    class Model:
+        def rewrite_all(self, texts):
+            if any(t == "bad" for t in texts):
+                raise ValueError
+            return [t + "!" for t in texts]
+
+        def __call__(self, text):
+            if text == "bad":
+                raise ValueError
+            return text + "?"
+
+    run = lambda texts: apply(spark.newSession(), lambda x: candidates(x, Model()), texts)
+    assert [tuple(r) for r in run(["a"])] == [("a!", False)]
+    assert {tuple(r) for r in run(["a", "bad"])} <= {("a!", False), ("a?", False), (None, True)}
+
+
+def test_unequal_numbers_of_rows_are_an_error(spark):
+    from lectern.operators.library import zipped
+
+    a, b = spark.createDataFrame([(1, 0), (1, 1)], "doc_id long, idx int"), spark.createDataFrame([(1, 0, 5)], "doc_id long, idx int, ms int")
+    with pytest.raises(Exception, match="as many rows"):
+        zipped(a, b).collect()
+    assert zipped(a.where("idx = 0"), b).collect()[0].ms == 5
+
+
+def test_pages_from_three_backends(spark):
+    from lectern.operators.pages import page_range, tiers
+    from lectern.plugins import page_texts
+
+    def ocr(content):
+        if content == b"2":
+            raise RuntimeError("no reader")
+        return "scanned"
+
+    pages = spark.createDataFrame([(1, p, bytes(str(p % 4), "ascii")) for p in range(1, 6)], "doc_id long, page int, content binary")
+    got = tiers(page_texts(pages, plain=lambda c: "plain" if c == b"1" else " ", ocr=ocr)).orderBy("page").collect()
+    assert [(r.page, r.tier, r.text, r.ocr_error) for r in got] == [(1, "text", "plain", None), (2, "none", None, "no reader"), (3, "none", None, None), (4, "none", None, None), (5, "text", "plain", None)]
+    got = tiers(page_texts(pages, layout=lambda c: "# md" if c == b"3" else "", plain=lambda c: "plain", ocr=lambda c: "scan")).orderBy("page").collect()
+    assert [r.tier for r in got] == ["ocr", "ocr", "layout", "ocr", "ocr"]
+    assert [r.page for r in page_range(pages, 0, 2).collect()] == [1, 2] and page_range(pages, 3, 0).count() == 3 and page_range(pages, -4, -1).count() == 0
+
+
+def test_texts_go_to_a_fixed_number_of_folders(spark, tmp_path):
+    from lectern.sources.files import write_texts, write_voice_list
+
+    write_texts(spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("a\nb"), "id").alias("t")), str(tmp_path / "o"), "t", 4)
+    assert len(list((tmp_path / "o").glob("bucket=*"))) == 4
+    assert spark.read.json(str(tmp_path / "o")).where("text = concat('a\\nb', doc_id)").count() == 200
+    write_voice_list(spark.createDataFrame([("b-B-x", "Male", None), ("a-A-y", "Female", ["W", "V"])], "name string, gender string, personalities array<string>"), str(tmp_path / "v"))
+    (file,) = (tmp_path / "v").glob("part-*")
+    assert file.read_text() == 'a-A-y,a,A,Female,"W,V"\nb-B-x,b,B,Male,""\n'
+
+
+def test_entry_without_the_libraries_of_the_training_data_part():
+    import os
+    import subprocess
+    import sys
+
+    if not os.path.exists("lectern/llm/queries.py"):
+        pytest.skip("the part is not there")
+    code = "import sys, warnings; sys.modules['xxhash'] = None; warnings.simplefilter('error', ImportWarning); import __spark_entry__ as e; q = e.queries(); assert 'script_utterances' in q and not any(k.startswith('op') and k[2:3].isdigit() for k in q) and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q)"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True)
+    assert done.returncode == 0 and "left out" in done.stderr, done.stderr
