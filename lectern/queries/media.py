@@ -53,7 +53,7 @@ def _playlist(spark, sf):
 def _chapter_of(spark, sf):
     s = _segments(spark, sf)
     counts = s.groupBy("doc_id", "chapter_idx").agg(F.count("*").alias("n_utterances"))
-    wanted = s.where(F.col("event_id") % 7 == 0).select("doc_id", (F.col("idx") + F.when(F.col("event_id") % 21 == 0, 1000).otherwise(0)).cast("long").alias("n"))
+    wanted = s.select("doc_id", (F.col("idx") + F.when(F.col("event_id") % 21 == 0, 1000).otherwise(0)).cast("long").alias("n"))
     return O.chapter_of(counts, wanted)
 
 
@@ -94,7 +94,7 @@ def _failures(spark, sf):
 
 
 def _backoff(spark, sf):
-    a = table(spark, sf, "orders").where(F.col("o_orderkey") % 10 == 0).select("o_orderkey", F.explode(F.sequence(F.lit(1), (2 + F.col("o_orderkey") % 3).cast("int"))).alias("attempt"))
+    a = table(spark, sf, "orders").select("o_orderkey", F.explode(F.sequence(F.lit(1), (2 + F.col("o_orderkey") % 3).cast("int"))).alias("attempt"))
     upto = Window.partitionBy("o_orderkey").orderBy("attempt")
     return a.select("o_orderkey", F.col("attempt").cast("long").alias("attempt"), M.backoff_s(F.col("attempt")).alias("delay_s"), F.sum(M.backoff_s(F.col("attempt"))).over(upto).alias("waited_s"))
 
@@ -129,7 +129,7 @@ NUMBER = r"regexp_replace(regexp_replace(printf('%.9f', {0}), '0+$', ''), '\.$',
 
 QUERIES = {
     "chapter_marks": (lambda spark, sf: O.chapter_marks(_segments(spark, sf)), f"WITH {MARK_CTE} SELECT doc_id, chapter_idx, start_ms, start_ms + ms AS end_ms FROM m"),
-    "chapter_of": (_chapter_of, f"WITH {SEG_CTE}, w AS (SELECT doc_id, CAST(idx + CASE WHEN event_id % 21 = 0 THEN 1000 ELSE 0 END AS BIGINT) AS n FROM s WHERE event_id % 7 = 0) SELECT w.doc_id, w.n, s.chapter_idx FROM w LEFT JOIN s ON s.doc_id = w.doc_id AND s.idx = w.n"),
+    "chapter_of": (_chapter_of, f"WITH {SEG_CTE}, w AS (SELECT doc_id, CAST(idx + CASE WHEN event_id % 21 = 0 THEN 1000 ELSE 0 END AS BIGINT) AS n FROM s) SELECT w.doc_id, w.n, s.chapter_idx FROM w LEFT JOIN s ON s.doc_id = w.doc_id AND s.idx = w.n"),
     "srt_cues": (lambda spark, sf: _long(_cues(spark, sf), "seg_idx", "cue_idx"), f"WITH RECURSIVE {STEP_CTE} SELECT doc_id, CAST(seg_idx AS BIGINT) AS seg_idx, CAST(cue_idx AS BIGINT) AS cue_idx, CAST(n AS BIGINT) AS cue_no, CAST(b AS BIGINT) AS begin_ms, CAST(f AS BIGINT) AS finish_ms FROM step"),
     "srt_text": (_srt, f"WITH RECURSIVE {STEP_CTE} SELECT doc_id, string_agg(CAST(n AS VARCHAR) || chr(10) || {SRT_TIME.format('b')} || ' --> ' || {SRT_TIME.format('f')} || chr(10) || text || chr(10), chr(10) ORDER BY n) AS srt FROM step GROUP BY doc_id"),
     "ffmetadata_text": (
@@ -154,7 +154,7 @@ QUERIES = {
     "resume_anti_join": (_outstanding, f"WITH {SEG_CTE} SELECT doc_id, idx, event_id FROM s WHERE event_id % 3 = 0 OR event_id % 5 = 0"),
     "completeness_check": (lambda spark, sf: R.completeness(*_resume(spark, sf)), f"WITH {SEG_CTE} SELECT doc_id, count(*) AS n_utterances, count(*) FILTER (event_id % 3 <> 0 AND event_id % 5 <> 0) AS n_segments, count(*) = count(*) FILTER (event_id % 3 <> 0 AND event_id % 5 <> 0) AS complete FROM s GROUP BY doc_id"),
     "failure_summary": (_failures, f"WITH {SEG_CTE}, f AS (SELECT *, CASE WHEN event_id % 4 = 0 THEN 'segment ' || CAST(event_id AS VARCHAR) END AS error FROM s) SELECT doc_id, count(error) AS n_failed, array_to_string(coalesce((list(error ORDER BY idx) FILTER (error IS NOT NULL))[1:10], []), '|') AS messages FROM f GROUP BY doc_id"),
-    "backoff_schedule": (_backoff, "WITH a AS (SELECT o_orderkey, unnest(range(1, 3 + o_orderkey % 3)) AS attempt FROM orders WHERE o_orderkey % 10 = 0) SELECT o_orderkey, attempt, 2.0::DOUBLE * 2 ** (attempt - 1) AS delay_s, sum(2.0::DOUBLE * 2 ** (attempt - 1)) OVER (PARTITION BY o_orderkey ORDER BY attempt) AS waited_s FROM a"),
+    "backoff_schedule": (_backoff, "WITH a AS (SELECT o_orderkey, unnest(range(1, 3 + o_orderkey % 3)) AS attempt FROM orders) SELECT o_orderkey, attempt, 2.0::DOUBLE * 2 ** (attempt - 1) AS delay_s, sum(2.0::DOUBLE * 2 ** (attempt - 1)) OVER (PARTITION BY o_orderkey ORDER BY attempt) AS waited_s FROM a"),
     "pcm_clip": (_clip, "SELECT event_id, CAST(trunc(greatest(-1.0, least(1.0, (value - 250) / 200)) * 32767) AS BIGINT) AS pcm FROM events"),
     "media_text": (
         _meta,

@@ -105,7 +105,7 @@ def _sentences(spark, sf):
 
 
 def _slugs(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.concat(F.substring("text", 1, 80), F.lit(" And THE end")).alias("t"))
+    d = table(spark, sf, "documents").select("doc_id", F.concat("text", F.lit(" And THE end")).alias("t"))
     t = F.col("t")
     return d.select("doc_id", T.slug(t).alias("book"), T.topic_slug(t).alias("topic"), T.title_key(t).alias("title_key"), T.clean_stem(F.concat(t, F.lit(".PDF"))).alias("stem"))
 
@@ -201,7 +201,7 @@ SELECT doc_id, CASE WHEN trim(report, {WS}) = '' THEN '' ELSE trim(regexp_replac
 """
 TOPIC_STOP = ", ".join(f"'{w}'" for w in T.TOPIC_STOPWORDS)
 SLUG_SQL = rf"""
-WITH d AS (SELECT doc_id, substr(text, 1, 80) || ' And THE end' AS t FROM documents),
+WITH d AS (SELECT doc_id, text || ' And THE end' AS t FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(lower(t), '[^a-z0-9]+'), lambda x: x <> '') AS f FROM d),
 v AS (SELECT *, list_filter(f, lambda x: x NOT IN ({TOPIC_STOP})) AS telling FROM w)
 SELECT doc_id,
