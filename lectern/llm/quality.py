@@ -9,8 +9,9 @@ so that unseen words still count. A network of two layers in numpy turns the poo
 logit, and a temperature fitted on held-back training rows calibrates the probability.
 
 Only labels and texts of training rows are learned from; the score sees the text alone. Training is
-bounded: at most ``TRAIN_ROWS`` labelled documents, those with the smallest hash of the doc_id,
-are brought to the driver, whatever the size of the corpus. Scoring reads every whole text once.
+bounded: at most ``TRAIN_ROWS`` labelled documents, those with the smallest hash of the doc_id, and
+about ``TRAIN_BYTES`` of text are brought to the driver, whatever the size of the corpus; word
+vectors come from these rows too. Scoring reads every whole text once.
 
 Behaviour at the edges: a null text counts as empty and gets the score of an empty text; labels
 that are null or have no document are not used, of conflicting labels of a document the majority
@@ -193,18 +194,38 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], np.ndarray]:
-    """At most TRAIN_ROWS labelled texts outside the held-out fold, by smallest hash of their id."""
+    """At most TRAIN_ROWS labelled texts outside the held-out fold and about TRAIN_BYTES of them, by smallest hash of their id.
+
+    Ids without a document take no place. A text that would exceed what is left of the bytes is
+    passed over, but a class that would have none keeps its shortest. Of the texts of a repeated id
+    the one of smallest hash is taken, so the rows are the same every time.
+    """
     folds, held = HELD_OUT
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("q")).where("id is not null and q in (0, 1)")
-    known = known.where(fold(F.col("id"), folds) != held).groupBy("id").agg((F.avg("q") > 0.5).cast("int").alias("q"))
-    chosen = known.orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS)
-    # at most TRAIN_ROWS rows of two numbers
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("t")).join(F.broadcast(chosen), "id")
-    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    if size > TRAIN_BYTES:
-        rows = rows.where(F.pmod(F.xxhash64(F.col("id"), F.lit(1)), F.lit(1 << 20)) < int((1 << 20) * TRAIN_BYTES / size))
-    found = rows.dropDuplicates(["id"]).toPandas().sort_values("id") if size else pd.DataFrame({"t": [], "q": []})
-    return [bytes(t) for t in found["t"]], found["q"].to_numpy(np.int64)
+    known = known.where(fold(F.col("id"), folds) != held).groupBy("id").agg((F.avg("q") > 0.5).cast("int").alias("q")).withColumn("r", F.xxhash64("id"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("t"))
+    asked, found = 0, pd.DataFrame({"id": [], "q": [], "r": [], "h": [], "n": []})
+    total = known.count()
+    # as many labels as it takes until enough of them have a document; they are sent to all tasks
+    while len(found) < TRAIN_ROWS and asked < total:
+        asked = min(total, max(2 * TRAIN_ROWS, 4 * asked))
+        own = texts.join(F.broadcast(known.orderBy("r", "id").limit(asked)), "id")
+        least = own.groupBy("id", "q", "r").agg(F.min(F.struct(F.xxhash64("t").alias("h"), F.octet_length("t").alias("n"))).alias("x"))
+        found = least.orderBy("r", "id").limit(TRAIN_ROWS).select("id", "q", "r", "x.h", "x.n").toPandas()
+    taken, left = [], TRAIN_BYTES
+    for k, n in enumerate(found["n"].tolist()):
+        if n <= left:
+            taken.append(k)
+            left -= n
+    for q in (0, 1):
+        own = found[found["q"] == q]
+        if len(own) and not set(own.index) & set(taken):
+            taken.append(own["n"].astype(int).idxmin())
+    if not taken:
+        return [], np.zeros(0, np.int64)
+    chosen = docs.sparkSession.createDataFrame(found.loc[taken, ["id", "q", "h"]].astype("int64"), "id long, q long, h long")
+    rows = texts.join(F.broadcast(chosen), "id").where(F.xxhash64("t") == F.col("h")).dropDuplicates(["id"]).select("id", "t", "q").toPandas().sort_values("id")
+    return [bytes(t) for t in rows["t"]], rows["q"].to_numpy(np.int64)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:

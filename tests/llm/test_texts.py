@@ -600,3 +600,19 @@ def test_items_are_partitioned_by_size():
             lacking = text.split(" ")[: 4 + decontam.needed(n - 4)]
             assert [x[0] for x in block.find(f"{long} {' '.join(lacking)} {long}")] == [n]
             assert block.find(f"{long} {' '.join(lacking[:-1])} {long}") == []
+
+
+def test_training_rows_are_the_same_every_time_and_of_both_classes(spark, monkeypatch):
+    ids = [i for i in range(300) if zlib.crc32(str(i).encode()) % 3 != 1][:60]
+    rows = [(i, f"text {i} " * (1 if i % 2 else 400)) for i in ids] + [(ids[0], "another text"), (ids[0], "a third")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in ids] + [(10_000 + i, 1) for i in range(500)], "doc_id long, quality int")
+    first = quality.training_rows(docs, labels)
+    assert len(first[0]) == len(ids) and {0, 1} == set(first[1].tolist())
+    again = quality.training_rows(docs.repartition(3, "text"), labels)
+    assert first[0] == again[0] and (first[1] == again[1]).all()
+    monkeypatch.setattr(quality, "TRAIN_ROWS", 20)
+    assert len(quality.training_rows(docs, labels)[0]) == 20
+    monkeypatch.setattr(quality, "TRAIN_BYTES", 200)
+    texts, marks = quality.training_rows(docs, labels)
+    assert set(marks.tolist()) == {0, 1} and sum(len(t) < 100 for t in texts) > 5 and sum(len(t) > 100 for t in texts) == 1
