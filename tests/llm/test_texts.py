@@ -604,7 +604,9 @@ def test_items_are_partitioned_by_size():
 
 def test_training_rows_are_the_same_every_time_and_of_both_classes(spark, monkeypatch):
     ids = [i for i in range(300) if zlib.crc32(str(i).encode()) % 3 != 1][:60]
-    rows = [(i, f"text {i} " * (1 if i % 2 else 400)) for i in ids] + [(ids[0], "another text"), (ids[0], "a third")]
+    rows = [(i, f"text {i} " * (1 if i % 2 else 400)) for i in ids]
+    odd = next(i for i in ids if i % 2)
+    rows += [(odd, "another text"), (odd, "a third")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     labels = spark.createDataFrame([(i, i % 2) for i in ids] + [(10_000 + i, 1) for i in range(500)], "doc_id long, quality int")
     first = quality.training_rows(docs, labels)
