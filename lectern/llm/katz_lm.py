@@ -1,27 +1,30 @@
-r"""Katz back-off language model (bigrams), trained on and applied to a whole corpus.
+r"""Katz back-off language model of any order, trained on and applied to a whole corpus.
 
-Good-Turing discounts apply to counts up to ``K``; back-off weights make every history's
-distribution sum to one exactly over the training vocabulary and one unknown word. A token's
-probability is looked up recursively: the discounted bigram if it was seen in training, else the
-history's back-off weight times the word's unigram probability, which itself backs off to the
-unknown word's share.
+Good-Turing discounts apply to counts up to ``K``, order by order; back-off weights make every
+history's distribution sum to one exactly over the training vocabulary and one unknown word. A
+token's probability is looked up recursively: the discounted gram of the highest order if it was
+seen in training, else its history's back-off weight times the probability of the gram without its
+first word, and so on down to the unigram, which itself backs off to the unknown word's share. A
+text starts with one sign of its own: its first token is told from that alone.
 
 Counts come from all training documents and the tables grow with them, so nothing of the model is
-broadcast but global sums and the few hot histories. Unigram and bigram tables are partitioned by
-hash and written to the shared folder. The plan has four passes:
+broadcast but global sums and the few hot histories. The tables of each order are partitioned by
+hash and written to the shared folder. The plan:
 
 1. Documents become chunks of bounded size. A chunk asks each partition for its distinct words.
 2. A word partition adds up the training counts and answers every chunk with counts and word
    numbers (position in the partition times the number of partitions, plus the partition).
-3. Chunks ask for their distinct bigrams of known histories; a bigram partition holds all bigrams of a
-   history, adds up counts, computes the back-off weight and answers every chunk. Hot histories
-   (more than a share ``HOT`` of all tokens, and the start of a text) are dealt out by their next
-   word instead; their partial sums, one row per history and partition, are added up at the end.
+3. Order by order, chunks ask for their distinct grams whose history was seen in training; a
+   partition holds all grams of a history, adds up counts, computes the back-off weight and answers
+   every chunk, with numbers for the seen grams, which are histories of the next order. Hot
+   histories (more than a share ``HOT`` of all tokens, and the start of a text) are dealt out by
+   their next word instead; their partial sums, one row per history and partition, are added up at
+   the end.
 4. Chunks evaluate their tokens with the answers; documents that span chunks are added up.
 
-A bigram is sent once per chunk however often it occurs, so very common bigrams load no task.
-Requests and answers are packed arrays, one row per chunk and partition. Words are told apart by
-their 64-bit XXH64.
+A gram is sent once per chunk however often it occurs, so very common grams load no task. Requests
+and answers are packed arrays, one row per chunk and partition; numbers have 64 bits. Each word or
+gram partition is a task of its own. Words are told apart by their 64-bit XXH64.
 
 Behaviour at the edges: a null text counts as empty, an empty text is the one token end; rows
 without doc_id are scored, not learned from, and have a null held_out; repeated rows each count
@@ -43,13 +46,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import new_path, words_of, written
+from lectern.llm.common import new_path, scratch, settled, words_of
 
+#: Order of the model that the query uses.
+ORDER = 3
 #: Greatest count that is discounted, share of tokens from which a history is hot, tokens in a chunk, text in a partition.
-K, HOT, CHUNK_TOKENS, PART_BYTES = 5, 0.002, 1 << 21, 16 << 20
+K, HOT, CHUNK_TOKENS, PART_BYTES = 5, 0.002, 1 << 20, 16 << 20
 HELD_OUT = (5, 1)
 END, START = b"\n", b"\n\n"  # no words, which hold no white space
-START_ID = (1 << 32) - 1
+START_ID = 1 << 62
 ROW = "chunk long, part int, kind string, data binary, stats array<long>"
 NAMES = ["chunk", "part", "kind", "data", "stats"]
 _SCHEMA = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("kind", pa.string()), ("data", pa.binary()), ("stats", pa.list_(pa.int64()))])
@@ -140,22 +145,20 @@ class Chunk:
     def __init__(self) -> None:
         self.known: dict[bytes, int] = {}
         self.ids: list[np.ndarray] = []
-        self.pieces: list[tuple[int, int, int, int, int]] = []  # row, doc_id, fold, word before, tokens
+        self.pieces: list[tuple[int, int, int, int, int]] = []  # row, doc_id, fold, words before, tokens
         self.size = 0
 
-    def add(self, row: int, doc_id: int, kind: int, before: bytes, words: list[bytes]) -> None:
+    def add(self, row: int, doc_id: int, kind: int, before: list[bytes], words: list[bytes]) -> None:
         known = self.known
-        first = known.setdefault(before, len(known))
-        self.ids.append(np.array([known.setdefault(w, len(known)) for w in words], np.uint32))
-        self.pieces.append((row, doc_id, kind, first, len(words)))
+        self.ids.append(np.array([known.setdefault(w, len(known)) for part in (before, words) for w in part], np.uint32))
+        self.pieces.append((row, doc_id, kind, len(before), len(words)))
         self.size += len(words)
 
     def rows(self, chunk: int, parts: int) -> list[tuple]:
         ids = np.concatenate(self.ids)
         table = np.array(self.pieces, np.int64)
         words = np.array([xxhash.xxh64_intdigest(w) for w in self.known], np.uint64)
-        learned = np.repeat(table[:, 2] == 0, table[:, 4])
-        counts = np.bincount(ids[learned], minlength=len(words))
+        counts = np.bincount(ids[learned_tokens(*table.T[2:])], minlength=len(words))
         part = (words % np.uint64(parts)).astype(np.int64)
         order = np.lexsort((words, part))
         start = self.known.get(START, -1)
@@ -165,6 +168,16 @@ class Chunk:
         return out
 
 
+def places_in_pieces(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """How far each token is into its piece, the words before it included."""
+    size = before + tokens
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+
+
+def learned_tokens(kind: np.ndarray, before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    return np.repeat(kind == 0, before + tokens) & (places_in_pieces(before, tokens) >= np.repeat(before, before + tokens))
+
+
 def _ended(lists: Iterator[list[bytes]]) -> Iterator[list[bytes]]:
     """The lists that hold words, the last one followed by END."""
     last: list[bytes] = []
@@ -175,7 +188,7 @@ def _ended(lists: Iterator[list[bytes]]) -> Iterator[list[bytes]]:
     yield [*last, END]
 
 
-def _chunks(parts: int):
+def _chunks(parts: int, order: int):
     folds, held = HELD_OUT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,10 +197,10 @@ def _chunks(parts: int):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 # 0: learned from, 1: held out, 2: no id
                 kind = 2 if doc_id is None else int(zlib.crc32(str(doc_id).encode()) % folds == held)
-                before = START
+                before = [START]
                 for words in _ended(words_of((text.as_py() or b"").lower())):
                     chunk.add(row, doc_id or 0, kind, before, words)
-                    before = words[-1]
+                    before = [*before, *words[1 - order :]][1 - order :]
                     if chunk.size >= CHUNK_TOKENS:
                         yield from (_rows([r]) for r in chunk.rows(n, parts))
                         n, chunk = n + 1, Chunk()
@@ -205,7 +218,7 @@ def _asked(table: pa.Table, kind: str) -> list[tuple[int, list[np.ndarray]]]:
     """(chunk or partition, arrays) of the rows of a kind, in order, so that sums have one order."""
     which = table["kind"].to_pylist()
     found = [(table["chunk"][i].as_py(), table["part"][i].as_py(), i) for i, k in enumerate(which) if k == kind]
-    return [(c if kind != "told" and kind != "answer" else p, unpack(table["data"][i].as_py())) for c, p, i in sorted(found)]
+    return [(c if kind in ("ask", "chunk") else p, unpack(table["data"][i].as_py())) for c, p, i in sorted(found)]
 
 
 def _spectrum(counts: np.ndarray) -> list[int]:
@@ -219,8 +232,6 @@ def _words(parts: int):
         words, at = np.unique(np.concatenate([a[0] for _, a in asked]), return_inverse=True)
         counts = np.zeros(len(words), np.int64)
         np.add.at(counts, at, np.concatenate([a[1] for _, a in asked]))
-        if len(words) * parts >= START_ID:
-            raise ValueError("more distinct words than word numbers")
         seen = counts > 0
         number = np.arange(len(words)) * parts + part
         rows = [(0, part, "words", pack(words[seen], counts[seen], number[seen]), [int(counts.sum()), int(seen.sum()), *_spectrum(counts)])]
@@ -228,122 +239,220 @@ def _words(parts: int):
         for chunk, (own, _) in asked:
             mine = at[begin : begin + len(own)]
             begin += len(own)
-            rows.append((chunk, part, "answer", pack(counts[mine], mine.astype(np.uint32)), None))
+            rows.append((chunk, part, "answer", pack(counts[mine], mine), None))
         return pa.Table.from_batches([_rows(rows)])
 
     return run
 
 
-# -- pass 3: bigram partitions -----------------------------------------------------------------
+# -- pass 3: partitions of grams, order by order -----------------------------------------------
+
+
+class Hot:
+    """The hot histories of an order, by number, and, once known, their weights and denominators."""
+
+    def __init__(self, numbers: list[int]):
+        self.numbers = np.array(sorted(numbers), np.int64)
+        self.weight, self.total = np.ones(len(numbers)), np.ones(len(numbers))
+
+    def find(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of ``numbers`` are hot, where they are among the hot)."""
+        at = np.searchsorted(self.numbers, numbers)
+        at[at == len(self.numbers)] = 0
+        return (self.numbers[at] == numbers if len(self.numbers) else np.zeros(len(numbers), bool)), at
+
+
+class Grams:
+    """A chunk's distinct grams of one order: places of their parts, then what partitions tell of them."""
+
+    def __init__(self, of_token: np.ndarray, number: np.ndarray, counts: np.ndarray, p: np.ndarray):
+        self.of_token, self.number, self.counts, self.p = of_token, number, counts, p
+        self.total = np.zeros(len(counts))  # denominator of each gram's history
+
+
+class Asking:
+    """The grams of the next order, before anything is told of them; those of seen histories are asked for."""
+
+    def __init__(self, chunk: Chunked, prev: Grams, parts: int, hot: Hot):
+        valid = np.flatnonzero((chunk.place > 0) & (prev.of_token >= 0))
+        valid = valid[prev.of_token[valid - 1] >= 0]
+        history, word = prev.of_token[valid - 1].astype(np.int64), chunk.ids[valid].astype(np.int64)
+        code, first, inverse = np.unique(history * len(chunk.words.number) + word, return_index=True, return_inverse=True)
+        self.history, self.word = code // len(chunk.words.number), code % len(chunk.words.number)
+        self.lower = prev.of_token[valid[first]]
+        self.of_token = np.full(len(chunk.ids), -1, np.int32)
+        self.of_token[valid] = inverse
+        self.learned = np.bincount(inverse[chunk.learned[valid]], minlength=len(code))
+        h, w = prev.number[self.history], chunk.words.number[self.word]
+        self.is_hot, self.hot_at = hot.find(h)
+        part = (mixed(np.where(self.is_hot, w, h)) % np.uint64(parts)).astype(np.int64)
+        at = np.flatnonzero(h >= 0)
+        self.at = at[np.lexsort((w[at], h[at], part[at]))]
+        self.heads_of, self.words_of, self.parts, self.part = h, w, parts, part[self.at]
+        self.prev, self.hot = prev, hot
+
+    def parted(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(partition, grams asked of it, by history and word, where histories begin among them)."""
+        ends = np.searchsorted(self.part, np.arange(self.parts + 1))
+        for p, (a, b) in enumerate(zip(ends, ends[1:])):
+            if b > a:
+                at = self.at[a:b]
+                yield p, at, np.flatnonzero(np.diff(self.heads_of[at], prepend=-1))
+
+    def rows(self, chunk: int) -> list[tuple]:
+        out = []
+        for p, at, heads in self.parted():
+            h, lower = self.heads_of[at][heads], self.lower[at]
+            lengths = np.diff(heads, append=len(at))
+            data = pack(np.diff(h, prepend=0), lengths.astype(np.uint32), self.words_of[at], self.learned[at].astype(np.uint32), self.prev.counts[lower], self.prev.total[lower].astype(np.int64))
+            out.append((chunk, p, "ask", data, None))
+        return out
 
+    def told(self, told: dict[int, list[np.ndarray]], discount: Discounts) -> Grams:
+        n = len(self.word)
+        counts, number, p = np.zeros(n, np.int64), np.full(n, -1, np.int64), self.prev.p[self.lower].copy()
+        # a history without training counts backs off whole
+        weight, total = np.ones(n), np.ones(n)
+        for part, at, heads in self.parted():
+            c, steps, totals, weights = told[part]
+            counts[at] = c
+            some = at[c > 0]
+            number[some] = np.cumsum(steps) * self.parts + part
+            of = np.repeat(np.arange(len(heads)), np.diff(heads, append=len(at)))
+            unseen = np.zeros(len(heads), bool)
+            unseen[of[c == 0]] = True
+            own = np.ones(len(heads))
+            own[unseen] = weights
+            weight[at], total[at] = own[of], totals[of]
+        asked = self.heads_of >= 0
+        weight[self.is_hot], total[self.is_hot] = self.hot.weight[self.hot_at[self.is_hot]], self.hot.total[self.hot_at[self.is_hot]]
+        seen = counts > 0
+        p[asked] *= weight[asked]
+        p[seen] = discount(counts[seen]) * counts[seen] / total[seen]
+        grams = Grams(self.of_token, number, counts, p)
+        grams.total = total
+        return grams
 
-class Bigrams:
-    """A chunk's words with counts and numbers, and its distinct bigrams, from the chunk and the answers."""
 
-    def __init__(self, table: pa.Table, parts: int, hot: np.ndarray):
+class Chunked:
+    """A chunk's tokens and words, from the chunk and the answers of the word partitions."""
+
+    def __init__(self, table: pa.Table, parts: int, unigrams: Unigrams):
         (_, stored), *_ = _asked(table, "chunk")
-        ids, order, (start,), *pieces = stored
-        self.row, self.doc_id, self.kind, first, self.tokens = pieces
-        self.counts, number = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        self.ids, order, (start,), self.row, self.doc_id, self.kind, self.before, self.tokens = stored
+        counts, number = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
         begin = 0
-        for part, (counts, mine) in _asked(table, "answer"):
-            own = order[begin : begin + len(counts)]
-            self.counts[own], number[own] = counts, mine.astype(np.int64) * parts + part
-            begin += len(counts)
-        known = self.counts > 0
+        for part, (c, mine) in _asked(table, "answer"):
+            own = order[begin : begin + len(c)]
+            counts[own], number[own] = c, mine * parts + part
+            begin += len(c)
+        self.words = Grams(self.ids.astype(np.int32), number, counts, unigrams.p(counts))
+        if start >= 0:
+            number[start] = START_ID
+        self.place = places_in_pieces(self.before, self.tokens)
+        self.learned = learned_tokens(self.kind, self.before, self.tokens)
+        self.known = np.where(counts > 0, number, -1)
         if start >= 0:
-            number[start], known[start] = START_ID, True
-        starts = np.cumsum(self.tokens) - self.tokens
-        before = np.empty_like(ids)
-        before[1:] = ids[:-1]
-        before[starts] = first
-        # distinct bigrams; those of known histories are asked for, by partition, then number of history and word
-        code, self.of_token = np.unique(before.astype(np.int64) * len(order) + ids, return_inverse=True)
-        self.of_token = self.of_token.astype(np.int32)
-        self.history, self.word = (code // len(order)).astype(np.int32), (code % len(order)).astype(np.int32)
-        del ids, before
-        self.number = number
-        h, w = number[self.history], number[self.word]
-        self.askable = np.flatnonzero(known[self.history])
-        is_hot = np.isin(h, hot)
-        part = np.where(is_hot, w, h) % parts
-        self.askable = self.askable[np.lexsort((w[self.askable], h[self.askable], part[self.askable]))]
-        self.part = part[self.askable]
-        learned = np.repeat(self.kind == 0, self.tokens)
-        self.learned = np.bincount(self.of_token[learned], minlength=len(code))
-
-    def asks(self, parts: int) -> Iterator[tuple[int, np.ndarray]]:
-        ends = np.searchsorted(self.part, np.arange(parts + 1))
-        yield from ((p, self.askable[a:b]) for p, (a, b) in enumerate(zip(ends, ends[1:])) if b > a)
-
-
-def _ask_bigrams(parts: int, hot: np.ndarray):
+            self.known[start] = START_ID
+
+    def grams(self, table: pa.Table, parts: int, hot: list[Hot], discounts: list[Discounts]) -> tuple[list[Grams], Grams]:
+        """Grams of the orders told so far, words first, and the last of them."""
+        # as histories, words count only if they were seen
+        prev = Grams(self.words.of_token, self.known, self.words.counts, self.words.p)
+        out = [prev]
+        for order, discount in enumerate(discounts, 2):
+            prev = Asking(self, prev, parts, hot[order - 2]).told(dict(_asked(table, f"told{order}")), discount)
+            out.append(prev)
+        return out, prev
+
+
+def mixed(numbers: np.ndarray) -> np.ndarray:
+    x = numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(32))
+
+
+def _ask(parts: int, unigrams: Unigrams, hot: list[Hot], discounts: list[Discounts]):
+    """Requests for the order after those that ``discounts`` are of."""
+
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        own, chunk = Bigrams(table, parts, hot), key[0].as_py()
-        rows = []
-        for p, at in own.asks(parts):
-            h, w = own.number[own.history[at]], own.number[own.word[at]]
-            heads = np.flatnonzero(np.diff(h, prepend=-1))
-            rows.append((chunk, p, "ask", pack(h[heads].astype(np.uint32), np.diff(heads, append=len(h)), w.astype(np.uint32), own.learned[at], own.counts[own.word[at]]), None))
-        return pa.Table.from_batches([_rows(rows)])
+        chunk = Chunked(table, parts, unigrams)
+        _, prev = chunk.grams(table, parts, hot, discounts)
+        return pa.Table.from_batches([_rows(Asking(chunk, prev, parts, hot[len(discounts)]).rows(key[0].as_py()))])
 
     return run
 
 
-def _bigrams(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """One row for a partition: its table of bigrams, and for each chunk the counts and histories asked for."""
+def _grams(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """One row for a partition: its table of grams, and for each chunk what it asked for."""
     asked = _asked(table, "ask")
-    h = np.concatenate([np.repeat(a[0], a[1]) for _, a in asked]).astype(np.uint64)
-    w = np.concatenate([a[2] for _, a in asked]).astype(np.uint64)
-    code, first, at = np.unique((h << np.uint64(32)) | w, return_index=True, return_inverse=True)
+    heads, of_head = np.unique(np.concatenate([np.cumsum(a[0]) for _, a in asked]), return_inverse=True)
+    words, of_word = np.unique(np.concatenate([a[2] for _, a in asked]), return_inverse=True)
+    lengths = np.concatenate([a[1] for _, a in asked])
+    code, first, at = np.unique((np.repeat(of_head, lengths).astype(np.uint64) << np.uint64(32)) | of_word.astype(np.uint64), return_index=True, return_inverse=True)
     counts = np.zeros(len(code), np.int64)
     np.add.at(counts, at, np.concatenate([a[3] for _, a in asked]))
-    of_word = np.concatenate([a[4] for _, a in asked])[first]
+    lower, lower_total = (np.concatenate([a[k] for _, a in asked])[first] for k in (4, 5))
     seen = counts > 0
+    rank = np.cumsum(seen) - 1
     chunks = np.array([(c, len(a[2]), len(a[0])) for c, a in asked], np.int64)
-    data = pack(code[seen], counts[seen], of_word[seen], *chunks.T, counts[at], np.concatenate([a[0] for _, a in asked]))
-    return pa.Table.from_batches([_rows([(0, key[0].as_py(), "bigrams", data, _spectrum(counts))])])
+    steps, begin = [], 0
+    for n in chunks[:, 1]:
+        own = at[begin : begin + n]
+        steps.append(np.diff(rank[own[seen[own]]], prepend=0))
+        begin += n
+    data = pack(heads, words, code[seen], counts[seen], lower[seen], lower_total[seen], *chunks.T, counts[at], np.concatenate(steps), of_head.astype(np.uint32), lengths)
+    return pa.Table.from_batches([_rows([(0, key[0].as_py(), "grams", data, _spectrum(counts))])])
+
+
+def lower_p(counts: np.ndarray, total: np.ndarray, unigrams: Unigrams, below: Discounts | None) -> np.ndarray:
+    """Probabilities of grams seen in training: discounted by their own order, or unigrams (``below``: none)."""
+    return unigrams.p(counts) if below is None else below(counts) * counts / total
 
 
-def history_sums(code: np.ndarray, counts: np.ndarray, of_word: np.ndarray, unigrams: Unigrams, discount: Discounts) -> tuple[np.ndarray, ...]:
-    """Per history: number, discounted counts, unigram probability of the words seen, counts."""
+def history_sums(data: list[np.ndarray], unigrams: Unigrams, below: Discounts | None, discount: Discounts) -> tuple[np.ndarray, ...]:
+    """Per history of a partition with seen grams: place, discounted counts, probability by the order below of the words seen, counts."""
+    _, _, code, counts, lower, lower_total = data[:6]
     if not len(code):
         return (np.zeros(0, np.int64), *(np.zeros(0) for _ in range(3)))
     history = (code >> np.uint64(32)).astype(np.int64)
-    heads = np.flatnonzero(np.diff(history, prepend=-1))
-    return history[heads], np.add.reduceat(discount(counts) * counts, heads), np.add.reduceat(unigrams.p(of_word), heads), np.add.reduceat(counts, heads).astype(float)
+    at = np.flatnonzero(np.diff(history, prepend=-1))
+    return history[at], np.add.reduceat(discount(counts) * counts, at), np.add.reduceat(lower_p(lower, lower_total, unigrams, below), at), np.add.reduceat(counts, at).astype(float)
 
 
-def _hot_sums(unigrams: Unigrams, discount: Discounts, hot: np.ndarray):
+def _hot_sums(unigrams: Unigrams, below: Discounts | None, discount: Discounts, hot: Hot):
     """A partition's sums for hot histories."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column(0):
-                sums = history_sums(*unpack(data.as_py())[:3], unigrams, discount)
-                mine = np.isin(sums[0], hot)
-                yield pa.RecordBatch.from_arrays([pa.array(x[mine]) for x in sums], ["history", "kept", "lower", "total"])
+            for row in batch.column(0):
+                data = unpack(row.as_py())
+                place, *sums = history_sums(data, unigrams, below, discount)
+                number = data[0][place]
+                mine, _ = hot.find(number)
+                yield pa.RecordBatch.from_arrays([pa.array(x[mine]) for x in (number, *sums)], ["history", "kept", "lower", "total"])
 
     return run
 
 
-def _told(unigrams: Unigrams, discount: Discounts):
-    """A partition's answers: to each chunk its counts, and weight and denominator of each history."""
+def _told(order: int, unigrams: Unigrams, below: Discounts | None, discount: Discounts):
+    """A partition's answers: to each chunk its counts and numbers, each history's denominator, and
+    the weight of histories with a gram that wasn't seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                code, counts, of_word, chunks, sizes, n_heads, told, heads = unpack(data.as_py())
-                sums = history_sums(code, counts, of_word, unigrams, discount)
-                history, (weight, total) = sums[0], backoff(*sums[1:])
-                at = np.searchsorted(history, heads)
-                at[at == len(history)] = 0
-                ok = history[at] == heads if len(history) else np.zeros(len(heads), bool)
-                weight, total = (np.where(ok, x[at], 1.0) if len(history) else np.ones(len(heads)) for x in (weight, total))
-                a, b = np.cumsum(sizes) - sizes, np.cumsum(n_heads) - n_heads
-                for k, chunk in enumerate(chunks.tolist()):
-                    own = slice(b[k], b[k] + n_heads[k])
-                    yield _rows([(chunk, part, "told", pack(told[a[k] : a[k] + sizes[k]], weight[own], total[own]), None)])
+            for part, row in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = unpack(row.as_py())
+                heads, (chunks, sizes, n_heads, told, steps, of_head, lengths) = data[0], data[6:]
+                place, *sums = history_sums(data, unigrams, below, discount)
+                weight, total = np.ones(len(heads)), np.ones(len(heads))
+                weight[place], total[place] = backoff(*sums)
+                a, b, c = 0, 0, 0
+                for chunk, n, m in zip(chunks.tolist(), sizes.tolist(), n_heads.tolist()):
+                    own, mine = told[a : a + n], of_head[b : b + m]
+                    unseen = np.add.reduceat(own == 0, np.cumsum(lengths[b : b + m], dtype=np.int64) - lengths[b : b + m], dtype=np.int64) > 0
+                    s = int((own > 0).sum())
+                    yield _rows([(chunk, part, f"told{order}", pack(own, steps[c : c + s], total[mine].astype(np.int64), weight[mine][unseen]), None)])
+                    a, b, c = a + n, b + m, c + s
 
     return run
 
@@ -353,45 +462,34 @@ def _told(unigrams: Unigrams, discount: Discounts):
 SCORES = "row long, doc_id long, kind long, n_tokens long, n_known long, base_score double, score double"
 
 
-def bigram_logs(counts: np.ndarray, weight: np.ndarray, total: np.ndarray, of_word: np.ndarray, unigrams: Unigrams, discount: Discounts) -> np.ndarray:
-    """log10 P(word | history): the discounted bigram, or the back-off to the unigram."""
-    seen = counts > 0
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.log10(np.where(seen, discount(counts) * counts / total, weight * unigrams.p(of_word)))
-
-
-def _scores(parts: int, hot: np.ndarray, hot_weights: tuple[np.ndarray, np.ndarray], unigrams: Unigrams, discount: Discounts):
+def _scores(parts: int, unigrams: Unigrams, hot: list[Hot], discounts: list[Discounts]):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        own = Bigrams(table, parts, hot)
-        counts = np.zeros(len(own.word), np.int64)
-        # a history without training counts backs off whole
-        weight, total = np.ones(len(own.number)), np.ones(len(own.number))
-        told = dict(_asked(table, "told"))
-        for p, at in own.asks(parts):
-            c, w, t = told[p]
-            counts[at] = c
-            h = own.history[at]
-            first = np.flatnonzero(np.diff(own.number[h], prepend=-1))
-            weight[h[first]], total[h[first]] = w, t
-        k = np.searchsorted(hot, own.number)
-        k[k == len(hot)] = 0
-        is_hot = hot[k] == own.number
-        weight[is_hot], total[is_hot] = hot_weights[0][k[is_hot]], hot_weights[1][k[is_hot]]
-        of_word = own.counts[own.word]
-        logs = bigram_logs(counts, weight[own.history], total[own.history], of_word, unigrams, discount)
-        starts = np.cumsum(own.tokens) - own.tokens
-        add = lambda v: np.add.reduceat(v[own.of_token], starts)
-        out = {"row": own.row, "doc_id": own.doc_id, "kind": own.kind, "n_tokens": own.tokens, "n_known": add((of_word > 0).astype(np.int64)), "base_score": add(unigrams.base(of_word)), "score": add(logs)}
+        chunk = Chunked(table, parts, unigrams)
+        levels, _ = chunk.grams(table, parts, hot, discounts)
+        p = levels[0].p[levels[0].of_token]
+        for grams in levels[1:]:  # the highest order that a token has
+            own = grams.of_token >= 0
+            p[own] = grams.p[grams.of_token[own]]
+        size = chunk.before + chunk.tokens
+        starts, scored = np.cumsum(size) - size, chunk.place >= np.repeat(chunk.before, size)
+        counts = chunk.words.counts[chunk.ids]
+        add = lambda v: np.add.reduceat(np.where(scored, v, 0), starts)
+        with np.errstate(divide="ignore"):
+            logs = np.log10(p)
+        out = {"row": chunk.row, "doc_id": chunk.doc_id, "kind": chunk.kind, "n_tokens": chunk.tokens, "n_known": add((counts > 0).astype(np.int64)), "base_score": add(unigrams.base(counts)), "score": add(logs)}
         return pa.table(out)
 
     return run
 
 
-def _hot_words(least: float):
+def _hot_numbers(least: float, parts: int):
+    """Numbers of the words or grams with at least so many occurrences, from rows of either."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column(0):
-                _, counts, number = unpack(data.as_py())
+            for part, kind, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                own = unpack(data.as_py())
+                counts, number = (own[1], own[2]) if kind == "words" else (own[3], np.arange(len(own[3])) * parts + part)
                 yield pa.RecordBatch.from_arrays([pa.array(number[counts >= least])], ["number"])
 
     return run
@@ -409,29 +507,44 @@ def _sums(rows: DataFrame, n: int) -> list[int]:
     return [int(x or 0) for x in found]
 
 
-def scored(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def scored(docs: DataFrame, order: int = 2) -> DataFrame:
+    """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    ``order`` is that of the model, 2 or more. The result is a written table, the model's are removed.
+    """
+    if order < 2:
+        raise ValueError("the order is 2 or more")
+    with scratch(docs.sparkSession):
+        return settled(_scored(docs, order), "scores")
+
+
+def _scored(docs: DataFrame, order: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     parts = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
-    first = _by_kind(rows.mapInArrow(_chunks(parts), ROW), "chunks")
-    words = _by_kind(first.where("kind = 'ask'").groupBy("part").applyInArrow(_words(parts), ROW), "words")
-    unigram_rows = words.where("kind = 'words'")
-    tokens, types, *spectrum = _sums(unigram_rows, K + 3)
+    by_part = lambda df: df.repartitionById(parts, F.col("part")).groupBy("part")
+    first = _by_kind(rows.mapInArrow(_chunks(parts, order), ROW), "chunks")
+    n_chunks = max(1, first.where("kind = 'chunk'").count())
+    by_chunk = lambda df: df.repartition(n_chunks, "chunk").groupBy("chunk")
+    words = _by_kind(by_part(first.where("kind = 'ask'")).applyInArrow(_words(parts), ROW), "words")
+    held = words.where("kind = 'words'")
+    tokens, types, *spectrum = _sums(held, K + 3)
     unigrams = Unigrams(tokens, types, spectrum)
-    # at most 1 / HOT of them
-    frequent = unigram_rows.select("data").mapInArrow(_hot_words(max(1.0, HOT * tokens)), "number long").collect()
-    hot = np.array(sorted({START_ID, *(r[0] for r in frequent)}), np.int64)
-    chunks = first.where("kind = 'chunk'").unionByName(words.where("kind = 'answer'"))
-    asked = chunks.groupBy("chunk").applyInArrow(_ask_bigrams(parts, hot), ROW)
-    bigrams = written(asked.groupBy("part").applyInArrow(_bigrams, ROW), "bigrams")
-    discount = Discounts(np.array(_sums(bigrams, K + 1)))
-    partial = bigrams.select("data").mapInArrow(_hot_sums(unigrams, discount, hot), "history long, kept double, lower double, total double")
-    weight, total = np.ones(len(hot)), np.ones(len(hot))
-    for r in partial.groupBy("history").agg(*[F.sum(c).alias(c) for c in ("kept", "lower", "total")]).collect():  # hot ones only
-        k = int(np.searchsorted(hot, r["history"]))
-        (weight[k],), (total[k],) = backoff(np.array([r["kept"]]), np.array([r["lower"]]), np.array([r["total"]]))
-    told = bigrams.select("part", "data").mapInArrow(_told(unigrams, discount), ROW)
-    pieces = chunks.unionByName(told).groupBy("chunk").applyInArrow(_scores(parts, hot, (weight, total), unigrams, discount), SCORES)
+    known = first.where("kind = 'chunk'").unionByName(words.where("kind = 'answer'"))
+    hot: list[Hot] = []
+    discounts: list[Discounts] = []
+    for m in range(2, order + 1):
+        # at most 1 / HOT of them
+        frequent = held.select("part", "kind", "data").mapInArrow(_hot_numbers(max(1.0, HOT * tokens), parts), "number long").collect()
+        hot.append(Hot([*([START_ID] if m == 2 else []), *(r[0] for r in frequent)]))
+        held = _by_kind(by_part(by_chunk(known).applyInArrow(_ask(parts, unigrams, hot, discounts[:]), ROW)).applyInArrow(_grams, ROW), f"grams{m}")
+        below, discount = discounts[-1] if discounts else None, Discounts(np.array(_sums(held, K + 1)))
+        discounts.append(discount)
+        partial = held.select("data").mapInArrow(_hot_sums(unigrams, below, discount, hot[-1]), "history long, kept double, lower double, total double")
+        for r in partial.groupBy("history").agg(*[F.sum(c).alias(c) for c in ("kept", "lower", "total")]).collect():  # hot ones only
+            k = int(np.searchsorted(hot[-1].numbers, r["history"]))
+            (hot[-1].weight[k],), (hot[-1].total[k],) = backoff(np.array([r["kept"]]), np.array([r["lower"]]), np.array([r["total"]]))
+        known = known.unionByName(held.select("part", "data").mapInArrow(_told(m, unigrams, below, discount), ROW))
+    pieces = by_chunk(known).applyInArrow(_scores(parts, unigrams, hot, discounts), SCORES)
     whole = pieces.groupBy("row", "doc_id", "kind").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     return whole.select(
         F.when(F.col("kind") < 2, F.col("doc_id")).alias("doc_id"), F.when(F.col("kind") < 2, F.col("kind") == 1).alias("held_out"), "n_tokens", "n_known",
@@ -440,4 +553,4 @@ def scored(docs: DataFrame) -> DataFrame:
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return scored(spark.read.parquet(f"{sf_dir}/documents.parquet"), ORDER)

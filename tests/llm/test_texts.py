@@ -618,3 +618,79 @@ def test_training_rows_are_the_same_every_time_and_of_both_classes(spark, monkey
     monkeypatch.setattr(quality, "TRAIN_BYTES", 200)
     texts, marks = quality.training_rows(docs, labels)
     assert set(marks.tolist()) == {0, 1} and sum(len(t) < 100 for t in texts) > 5 and sum(len(t) > 100 for t in texts) == 1
+
+
+class PlainKatz:
+    """A model of any order in dictionaries, evaluated by recursion."""
+
+    def __init__(self, docs, order):
+        self.order, self.n = order, 0
+        self.counts = [Counter() for _ in range(order + 1)]
+        for i, t in docs:
+            if i is not None and zlib.crc32(str(i).encode()) % 5 != 1:
+                w = self.tokens(t)
+                self.n += len(w)
+                padded = [b"\n\n", *w]
+                for k in range(1, len(padded)):
+                    for m in range(1, order + 1):
+                        if m == 1 or k - m + 1 >= 0:
+                            self.counts[m][tuple(padded[k - m + 1 : k + 1])] += 1
+        spectrum = [[sum(v == r for v in c.values()) for r in range(1, 7)] for c in self.counts]
+        self.uni = katz_lm.Unigrams(self.n, len(self.counts[1]), spectrum[1])
+        self.discounts = [katz_lm.Discounts(np.array(s)) for s in spectrum]
+        self.after = [defaultdict(list) for _ in range(order + 1)]
+        for m in range(2, order + 1):
+            for g in self.counts[m]:
+                self.after[m][g[:-1]].append(g[-1])
+        self.weights = {}
+
+    @staticmethod
+    def tokens(text):
+        return (text or "").encode().lower().split() + [b"\n"]
+
+    def kept(self, gram):
+        c = self.counts[len(gram)][gram]
+        return float(self.discounts[len(gram)](np.array([c]))[0]) * c
+
+    def weight(self, h):
+        if h not in self.weights:
+            own = self.after[len(h) + 1].get(h)
+            if not own:
+                return 1.0, 1.0
+            total = float(sum(self.counts[len(h) + 1][(*h, w)] for w in own))
+            a, d = katz_lm.backoff(np.array([sum(self.kept((*h, w)) for w in own)]), np.array([sum(self.p(w, h[1:]) for w in own)]), np.array([total]))
+            self.weights[h] = float(a[0]), float(d[0])
+        return self.weights[h]
+
+    def p(self, w, h):
+        if not h:
+            return float(self.uni.p(np.array([self.counts[1].get((w,), 0)]))[0])
+        a, d = self.weight(h)
+        return self.kept((*h, w)) / d if self.counts[len(h) + 1].get((*h, w)) else a * self.p(w, h[1:])
+
+    def scores(self, docs):
+        out = []
+        for i, t in docs:
+            w = self.tokens(t)
+            padded = [b"\n\n", *w]
+            score = sum(math.log10(self.p(x, tuple(padded[max(0, k + 2 - self.order) : k + 1]))) for k, x in enumerate(w))
+            base = sum(math.log10((self.counts[1].get((x,), 0) + 0.5) / (self.n + 0.5 * (len(self.counts[1]) + 1))) for x in w)
+            out.append((str(i), None if i is None else zlib.crc32(str(i).encode()) % 5 == 1, len(w), sum((x,) in self.counts[1] for x in w), self.n, round(base, 6), round(score, 6)))
+        return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_katz_of_any_order_equals_the_recursion(spark, sf, monkeypatch, order):
+    docs = documents(sf, "doc_id < 40") + [(None, "the of the of the"), (900, None), (901, ""), (902, " \n"), (1, "the of the of"), (903, "of the of the of the of")]
+    plain = PlainKatz(docs, order)
+    for m in range(2, order + 1):  # every history's distribution sums to one
+        for h in list(plain.after[m])[:12]:
+            assert sum(plain.p(w, h) for (w,) in plain.counts[1]) + plain.p(b"never \n seen", h) == pytest.approx(1, abs=1e-9)
+    want = plain.scores(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = lambda: sorted(((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in katz_lm.scored(df, order).collect()), key=str)
+    assert got() == want
+    monkeypatch.setattr(katz_lm, "PART_BYTES", 20_000)
+    monkeypatch.setattr(katz_lm, "CHUNK_TOKENS", 400)
+    monkeypatch.setattr("lectern.llm.common.SEGMENT_BYTES", 1500)
+    assert got() == want
