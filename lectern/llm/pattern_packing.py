@@ -250,17 +250,15 @@ def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int =
         counts[row.length] = row.n
     slots = Slots(plan(counts), length)
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = per_part.select("part", F.struct("length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")).alias("at"))
-    # a row per task that cut pieces, of a number per length, joined by merging: nothing here is broadcast
-    ranks = before.groupBy("part").agg(F.map_from_entries(F.collect_list("at")).alias("ranks")).hint("merge")
+    # a number per task that cut pieces and length, joined by merging: nothing here is broadcast
+    before = per_part.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")).hint("merge")
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(size: pd.Series, rank: pd.Series) -> pd.DataFrame:
         sequence, offset = slots.place(size.to_numpy(), rank.to_numpy())
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
-    known = pieces.join(ranks, "part").withColumn("rank", F.col("nth") + F.element_at("ranks", F.col("length"))).drop("ranks")
-    out = known.withColumn("slot", place("length", "rank"))
+    out = pieces.join(before, ["part", "length"]).withColumn("slot", place("length", F.col("nth") + F.col("before")))
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "slot.sequence_id", "slot.offset")
 
 
