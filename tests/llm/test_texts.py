@@ -694,3 +694,25 @@ def test_katz_of_any_order_equals_the_recursion(spark, sf, monkeypatch, order):
     monkeypatch.setattr(katz_lm, "CHUNK_TOKENS", 400)
     monkeypatch.setattr("lectern.llm.common.SEGMENT_BYTES", 1500)
     assert got() == want
+
+
+def test_pipeline_on_odd_rows(spark, sf, tmp_path):
+    """Nulls, repeated rows, clashing columns and an empty table go through all stages."""
+    import shutil
+
+    import corpus_pipeline
+
+    for name in ("labels", "benchmark"):
+        shutil.copy(f"{sf}/{name}.parquet", tmp_path)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    odd = docs.limit(3).union(docs.limit(3)).union(docs.limit(1).withColumn("text", F.lit(None).cast("string"))).union(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    rows = docs.union(odd).withColumns({"id": F.lit(1), "base": F.lit("b"), "fp": F.lit(2), "score": F.lit(0.5), "slot": F.lit("s"), "part": F.lit(3)})
+    for given in (rows, rows.limit(0)):
+        shutil.rmtree(tmp_path / "documents.parquet", ignore_errors=True)
+        given.write.parquet(str(tmp_path / "documents.parquet"))
+        stage = spark.read.parquet(str(tmp_path / "documents.parquet"))
+        for _, fn in corpus_pipeline.STAGES[:-1]:
+            stage = fn(spark, stage, str(tmp_path))
+            assert stage.columns == rows.columns
+        n = corpus_pipeline.run(spark, str(tmp_path)).count()
+        assert (n > 0) == (given is rows)
