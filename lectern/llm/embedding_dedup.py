@@ -21,7 +21,8 @@ decides. Blocks return sums per vector and a spanning star per group, never pair
 
 Behaviour at the edges: vectors that are null, empty, zero or hold null or non-finite components
 link with nothing and are groups of their own; vectors of different length don't link; repeated
-rows are vectors of their own, so a row repeated once has a link to its repetition; rows without
+rows are vectors of their own, so a row repeated once has a link to its repetition, and different
+vectors of one vec_id have each their own links and component; rows without
 vec_id link with nothing, have a null component and aren't kept; other columns are ignored; an
 empty table gives an empty result.
 """
@@ -97,7 +98,7 @@ def _assigned(centres: dict[int, np.ndarray]):
             for at, x in by_length(batch.column(2)):
                 for k in range(0, len(x), 512):
                     cell[at[k : k + 512]] = x.shape[1] * _KEY + np.argmax(x[k : k + 512] @ _centres(centres, x.shape[1]).T, axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], ["vec_id", "n", "embedding", "cell"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], ["node", "n", "embedding", "cell"])
 
     return run
 
@@ -170,7 +171,7 @@ def _counted(centres: dict[int, np.ndarray], bundles: Bundles):
 
 def _routed(centres: dict[int, np.ndarray], bundles: Bundles, slices: np.ndarray):
     """Vectors at home, in every slice of their bundle, and as visitors, in one slice of each other's."""
-    names = ["bundle", "slice", "visitor", "vec_id", "n", "embedding", "cell"]
+    names = ["bundle", "slice", "visitor", "node", "n", "embedding", "cell"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,7 +218,7 @@ def _compared(centres: dict[int, np.ndarray]):
     """Links inside a bundle (once, in its first slice) and with its visitors: sums per vector, then stars."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, n, cell, visitor = (table[c].to_numpy() for c in ("vec_id", "n", "cell", "visitor"))
+        ids, n, cell, visitor = (table[c].to_numpy() for c in ("node", "n", "cell", "visitor"))
         _, x = next(by_length(table["embedding"]))
         own, centre = cell % _KEY, _centres(centres, x.shape[1])
         total, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
@@ -262,21 +263,25 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     sound = F.coalesce(sound, F.lit(False))
     kind = rows.schema["embedding"].dataType.simpleString()
     with scratch(rows.sparkSession):
-        classes = rows.where(sound).groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")).select("vec_id", "n", "embedding")
-        classes = written(classes, "vectors")
+        classes = rows.where(sound).groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"))
+        # numbers tell vectors apart, for an id may have several; written, they stay as they are
+        classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "vectors")
         centres = centres_of(classes, classes.count())
-        assigned = written(classes.mapInArrow(_assigned(centres), f"vec_id long, n long, embedding {kind}, cell long"), "cells")
+        assigned = written(classes.select("node", "n", "embedding").mapInArrow(_assigned(centres), f"node long, n long, embedding {kind}, cell long"), "cells")
         # a row per cell and per bundle
         bundles = Bundles({r["cell"]: r["count"] for r in assigned.groupBy("cell").count().collect()})
         slices = np.ones(max(1, bundles.count), np.int64)
         for r in assigned.mapInArrow(_counted(centres, bundles), "bundle long, n long").groupBy("bundle").agg(F.sum("n").alias("n")).collect():
             slices[r["bundle"]] = -(-r["n"] // BLOCK)
-        pairs = assigned.mapInArrow(_routed(centres, bundles, slices), f"bundle long, slice long, visitor boolean, vec_id long, n long, embedding {kind}, cell long")
+        pairs = assigned.mapInArrow(_routed(centres, bundles, slices), f"bundle long, slice long, visitor boolean, node long, n long, embedding {kind}, cell long")
         found = written(pairs.groupBy("bundle", "slice").applyInArrow(_compared(centres), OUT), "links")
-        direct = found.where("other is null").groupBy(F.col("node").alias("rep")).agg(F.sum("links").alias("direct"))
+        direct = found.where("other is null").groupBy("node").agg(F.sum("links").alias("direct"))
         root = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
-        told = classes.withColumnRenamed("vec_id", "rep").join(direct, "rep", "left").join(root.withColumnRenamed("node", "rep"), "rep", "left")
-        told = told.select(F.col("embedding").alias("e"), (F.col("n") - 1 + F.coalesce("direct", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"), "n")
+        member = written(classes.select("node", "vec_id").join(root, "node"), "member")
+        least = member.groupBy("root").agg(F.min("vec_id").alias("component_id"))
+        labels = spread_join(member, least, "root", member.count()).select("node", "component_id")
+        told = classes.join(direct, "node", "left").join(labels, "node", "left")
+        told = told.select(F.col("embedding").alias("e"), (F.col("n") - 1 + F.coalesce("direct", F.lit(0))).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), "n")
         told = settled(told, "told")
     return _joined(rows, told, sound)
 

@@ -137,6 +137,12 @@ def test_repeated_vectors_are_linked(spark):
     assert [(r.vec_id, r.n_links, r.component_id) for r in E.near_duplicates(df).orderBy("vec_id").collect()] == [(1, 2, 1), (1, 2, 1), (2, 2, 1)]
 
 
+def test_different_vectors_of_one_id(spark):
+    rows = [(3, [1.0, 0.0, 0.0]), (3, [0.0, 1.0, 0.0]), (2, [1.0, 0.01, 0.0]), (5, [0.0, 1.0, 0.01]), (3, [0.0, 0.0, 1.0])]
+    got = E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got.collect()) == [(2, 1, 2, True), (3, 0, 3, True), (3, 1, 2, False), (3, 1, 3, True), (5, 1, 3, False)]
+
+
 def test_components_of_a_star_and_a_long_chain(spark):
     star = spark.range(1, 1_000_001).select(F.lit(7_000_000).alias("a"), F.col("id").alias("b"))
     chain = spark.range(2_000_000, 2_000_700).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
