@@ -1,7 +1,8 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a small network.
 
 Every word has a sparse ternary index vector derived from its hash. A word's context vector is the
-sum of the index vectors of its neighbours in the training texts; a document is the mean of its
+sum of the index vectors of its neighbours in all documents outside the held-out fold, labelled or
+not, added up task by task; a document is the mean of its
 words' context vectors, with the share of distinct words beside it. A text's length is no input,
 so short texts aren't held against. Words are known by themselves if frequent in training, and
 always by their shape (runs of capitals, small letters and digits, other characters as they are),
@@ -10,8 +11,11 @@ logit, and a temperature fitted on held-back training rows calibrates the probab
 
 Only labels and texts of training rows are learned from; the score sees the text alone. Training is
 bounded: at most ``TRAIN_ROWS`` labelled documents, those with the smallest hash of the doc_id, and
-about ``TRAIN_BYTES`` of text are brought to the driver, whatever the size of the corpus; word
-vectors come from these rows too. Scoring reads every whole text once.
+about ``TRAIN_BYTES`` of text are brought to the driver, whatever the size of the corpus. Which
+words and shapes have vectors follows from these rows, the vectors from the corpus: sums are whole
+numbers, so they are the same however rows are dealt out; a task's are a table of constant size,
+and tables are added up in two steps, of about the root of their number each. Scoring reads every
+whole text once, as the contexts do those outside the held-out fold.
 
 Behaviour at the edges: a null text counts as empty and gets the score of an empty text; labels
 that are null or have no document are not used, of conflicting labels of a document the majority
@@ -24,18 +28,24 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import words_of
+from lectern.llm.common import scratch, words_of, written
 
 #: Most labelled documents learned from, and most bytes of text among them.
 TRAIN_ROWS, TRAIN_BYTES = 4000, 24 << 20
 WORDS, SHAPES, DIM, NONZERO, REACH = 16_000, 400, 64, 8, 2
+#: Words whose contexts are summed at once, and pieces that a task's sums travel in.
+CONTEXT_WORDS, SLABS = 1 << 20, 16
 HIDDEN, EPOCHS, RATE, DECAY, MEMO = 32, 300, 0.01, 1e-4, 400_000
 HELD_OUT = (3, 1)
 
@@ -74,6 +84,10 @@ class Model:
         self.temperature = 1.0
         self._rows: Rows | None = None
 
+    def names(self) -> list[bytes]:
+        """What has a vector: other shapes, shapes, words, in the order of the rows."""
+        return [b"\x00other", *(b"\x00" + s for s in self.shapes), *self.words]
+
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_rows": None}
 
@@ -120,43 +134,103 @@ def index_vectors(names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return places, signs
 
 
-def context_vectors(docs: list[np.ndarray], names: list[bytes]) -> np.ndarray:
-    """Unit sums of the neighbours' index vectors over all training texts."""
-    places, signs = index_vectors(names)
-    out = np.zeros(len(names) * DIM)
-    flat = np.concatenate([np.concatenate([d, np.full(REACH, -1)]) for d in docs]) if docs else np.zeros(0, np.int64)
-    for reach in range(1, REACH + 1):
-        a, b = flat[:-reach], flat[reach:]
-        ok = (a >= 0) & (b >= 0)
-        for x, y in ((a[ok], b[ok]), (b[ok], a[ok])):
-            for k in range(NONZERO):
-                out += np.bincount(x * DIM + places[y, k], weights=signs[y, k], minlength=len(out))
-    out = out.reshape(-1, DIM)
+class Contexts:
+    """Sums of the neighbours' index vectors, by row of ``names``, over the texts added."""
+
+    def __init__(self, names: list[bytes]):
+        self.places, self.signs = index_vectors(names)
+        self.sums = np.zeros(len(names) * DIM)  # whole numbers, exact far beyond any corpus
+        self.tail, self.waiting, self.n = np.full(REACH, -1), [], 0
+
+    def add(self, rows: np.ndarray) -> None:
+        """The next words of a text, as rows."""
+        self.waiting.append(rows)
+        self.n += len(rows)
+        if self.n >= CONTEXT_WORDS:
+            self.flush()
+
+    def end(self) -> None:
+        """The text is over: its words are no neighbours of the next one's."""
+        self.add(np.full(REACH, -1))
+
+    def flush(self) -> None:
+        flat = np.concatenate([self.tail, *self.waiting])
+        for reach in range(1, REACH + 1):
+            a, b = flat[REACH - reach : -reach], flat[REACH:]  # pairs whose second word is new
+            ok = (a >= 0) & (b >= 0)
+            for x, y in ((a[ok], b[ok]), (b[ok], a[ok])):
+                for k in range(NONZERO):
+                    self.sums += np.bincount(x * DIM + self.places[y, k], weights=self.signs[y, k], minlength=len(self.sums))
+        self.tail, self.waiting, self.n = flat[-REACH:], [], 0
+
+
+def _summed(model: Model):
+    """The context sums of a task's texts, in slabs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Contexts(model.names())
+        rows_of, width = Rows(model.words, model.shapes), len(model.shapes) + 1
+        for batch in batches:
+            for text in batch.column(0):
+                for words in words_of(text.as_py() or b""):
+                    rows = np.fromiter(map(rows_of.__getitem__, words), np.int64, len(words))
+                    # a word stands in the contexts as itself if known, else as its shape
+                    own.add(np.where(rows >= width, width + (rows - width) // width, rows))
+                own.end()
+        own.flush()
+        yield _slabs(TaskContext.get().partitionId(), dict(enumerate(np.array_split(own.sums.astype(np.int64), SLABS))))
+
+    return run
+
+
+def _slabs(part: int, sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+    data = [zstandard.compress(x.tobytes()) for x in sums.values()]
+    return pa.RecordBatch.from_arrays([pa.array([part] * len(sums), pa.int64()), pa.array(list(sums), pa.int64()), pa.array(data, pa.binary())], ["part", "slab", "data"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per slab that the task has rows of, read one by one."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for slab, data in zip(batch.column(1).to_pylist(), batch.column(2)):
+            x = np.frombuffer(zstandard.decompress(data.as_py()), np.int64)
+            sums[slab] = sums[slab] + x if slab in sums else x
+    yield _slabs(TaskContext.get().partitionId(), sums)
+
+
+def context_vectors(texts: DataFrame, model: Model) -> np.ndarray:
+    """Unit vectors of the rows of ``model.names()`` from their contexts in ``texts`` (one binary column)."""
+    kind = "part long, slab long, data binary"
+    with scratch(texts.sparkSession):
+        each = written(texts.mapInArrow(_summed(model), kind), "contexts")
+        deal = max(1, int(each.where("slab = 0").count() ** 0.5))
+        for by in ([F.col("slab"), F.col("part") % deal], [F.col("slab")]):
+            each = each.repartition(SLABS * deal if len(by) > 1 else SLABS, *by).mapInArrow(_added, kind)
+        found = {r["slab"]: np.frombuffer(zstandard.decompress(r["data"]), np.int64) for r in each.collect()}  # a row per slab
+    if not found:
+        return np.zeros((len(model.names()), DIM), np.float32)
+    out = np.concatenate([found[k] for k in range(SLABS)]).reshape(-1, DIM).astype(float)
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
-def train(texts: list[bytes], labels: np.ndarray) -> Model:
-    """A model from labelled texts (UTF-8) and labels 0 or 1."""
+def train(texts: list[bytes], labels: np.ndarray, corpus: DataFrame) -> Model:
+    """A model from labelled texts (UTF-8) and labels 0 or 1; ``corpus`` (one binary column) gives words their contexts."""
     model, n = Model(), len(texts)
     model.share = (float(labels.sum()) + 1) / (n + 2)
     if n < 4 or labels.min() == labels.max():
         return model
-    # texts as numbers of distinct words, so that words are held once
-    known: dict[bytes, int] = {}
-    docs = [np.array([known.setdefault(w, len(known)) for part in words_of(t) for w in part], np.int32) for t in texts]
-    counts = np.bincount(np.concatenate(docs), minlength=len(known))
-    lower, shapes = pd.Series([w.lower() for w in known]), pd.Series([shape(w) for w in known])
-    of_lower, of_shape = pd.Series(counts).groupby(lower).sum(), pd.Series(counts).groupby(shapes).sum()
-    common = sorted(of_lower[of_lower > 1].items(), key=lambda x: (-x[1], x[0]))[:WORDS]
+    counts: Counter = Counter()
+    for t in texts:
+        for part in words_of(t):
+            counts.update(part)
+    of_lower, of_shape = Counter(), Counter()
+    for w, c in counts.items():
+        of_lower[w.lower()] += c
+        of_shape[shape(w)] += c
+    common = sorted(((w, c) for w, c in of_lower.items() if c > 1), key=lambda x: (-x[1], x[0]))[:WORDS]
     model.words = {w: k for k, (w, _) in enumerate(common)}
     model.shapes = {s: k + 1 for k, (s, _) in enumerate(sorted(of_shape.items(), key=lambda x: (-x[1], x[0]))[:SHAPES])}
-    # a word stands in the contexts as itself if known, else as its shape
-    width = len(model.shapes) + 1
-    row = lower.map(model.words).add(width).fillna(shapes.map(model.shapes).fillna(0)).to_numpy(np.int64)
-    docs = [row[d] for d in docs]
-    del known, lower, shapes
-    names = [b"\x00other", *(b"\x00" + s for s in model.shapes), *model.words]
-    vectors = context_vectors(docs, names)
+    vectors, width = context_vectors(corpus, model), len(model.shapes) + 1
     model.shape_vectors, model.word_vectors = vectors[:width].astype(np.float64), vectors[width:]
     x, y = np.stack([model.pooled(t) for t in texts]), labels.astype(float)
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-6
@@ -229,7 +303,9 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], np.n
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    return train(*training_rows(docs, labels))
+    folds, held = HELD_OUT
+    corpus = docs.where(fold(docs["doc_id"].cast("long"), folds) != held).select(F.coalesce(docs["text"], F.lit("")).cast("binary").alias("text"))
+    return train(*training_rows(docs, labels), corpus)
 
 
 def score_of(spark: SparkSession, model: Model, text: Column) -> Column:

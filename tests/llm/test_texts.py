@@ -620,6 +620,38 @@ def test_training_rows_are_the_same_every_time_and_of_both_classes(spark, monkey
     assert set(marks.tolist()) == {0, 1} and sum(len(t) < 100 for t in texts) > 5 and sum(len(t) > 100 for t in texts) == 1
 
 
+def test_context_vectors_come_from_all_documents(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["alpha", "Beta", "GAMMA!", "d-9", "unseen", "e"], n)) for n in (0, 1, 2, 3, 50, 400)] * 3
+    model = quality.Model()
+    model.words, model.shapes = {b"alpha": 0, b"beta": 1, b"gamma!": 2}, {b"x": 1, b"Xx": 2, b"x-9": 3}
+    names, row = model.names(), {"alpha": 4, "Beta": 5, "GAMMA!": 6, "d-9": 3, "unseen": 1, "e": 1}
+    places, signs = quality.index_vectors(names)
+    want = np.zeros((len(names), quality.DIM))
+    for t in texts:
+        w = [row[x] for x in t.split()]
+        for i in range(len(w)):
+            for j in range(max(0, i - quality.REACH), min(len(w), i + quality.REACH + 1)):
+                if i != j:
+                    np.add.at(want[w[i]], places[w[j]], signs[w[j]])
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
+    docs = spark.createDataFrame([(t.encode(),) for t in texts] + [(None,)], "text binary")
+    for parts in (1, 7, 40):
+        got = quality.context_vectors(docs.repartition(parts), model)
+        assert got.shape == want.shape and np.abs(got - want).max() < 1e-6
+    # summed few words at a time, in this process
+    monkeypatch.setattr(quality, "CONTEXT_WORDS", 5)
+    own = quality.Contexts(names)
+    for t in texts:
+        for x in t.split():
+            own.add(np.array([row[x]]))
+        own.end()
+    own.flush()
+    sums = own.sums.reshape(-1, quality.DIM)
+    assert np.abs(sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9) - want).max() < 1e-9
+    assert not quality.context_vectors(docs.limit(0), model).any()
+
+
 class PlainKatz:
     """A model of any order in dictionaries, evaluated by recursion."""
 
