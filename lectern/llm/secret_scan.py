@@ -47,6 +47,8 @@ KINDS = ("assign", "access", "hex", "markov")
 RUN = rf"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}"
 SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SAMPLE_DOCS, RANDOM_STRINGS = 1000, 4000
+#: Tasks that the sampled documents are dealt out to: few bytes, so Spark would give them to one or two.
+SAMPLE_TASKS = 32
 THRESHOLD, SMOOTHING = 8.0, 0.5
 SPAN, SPAN_OF_TEXT = "struct<start:int,rank:int,end:int>", "struct<start:int,rank:int,end:int,m:string>"
 #: Characters of a run that are scored at once.
@@ -108,7 +110,7 @@ def identifiers(docs: DataFrame, n_docs: int = SAMPLE_DOCS) -> DataFrame:
     """Ordinary identifiers from the words of at most ``n_docs`` documents."""
     hashed = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("h"), "text").where("text is not null")
     last = hashed.select("h").distinct().orderBy("h").limit(n_docs).agg(F.max("h")).first()[0]  # a number
-    some = hashed.where(F.col("h") <= last).dropDuplicates(["h"])
+    some = hashed.where(F.col("h") <= last).repartition(SAMPLE_TASKS, "h").dropDuplicates(["h"])
     words = F.regexp_extract_all(F.col("text"), F.lit("[A-Za-z]{2,}"), F.lit(0))
     pairs = some.select(words.alias("w")).where("size(w) > 1").select(F.explode(F.arrays_zip(F.slice("w", 1, F.size("w") - 1).alias("a"), F.slice("w", 2, F.size("w") - 1).alias("b"))).alias("p")).select("p.a", "p.b")
     forms = F.array("a", F.concat("a", F.lit("_"), "b"), F.concat(F.lower("a"), F.initcap("b")), F.concat("a", F.lit("-"), "b"), F.concat(F.upper("a"), F.lit("_"), F.upper("b")), F.concat("a", "b"))
