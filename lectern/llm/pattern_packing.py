@@ -81,15 +81,17 @@ class RunIds(dict):
         return packed
 
     def ids(self, text: str) -> bytes:
-        if self.split_at is None or not self.split_at.search(text):
-            return self._ordinary(text)
-        if not self.plain:
-            return np.array(self.untouched.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        parts = self.split_at.split(text)
-        return b"".join([self.of_added[x] if k % 2 else self._ordinary(x) for k, x in enumerate(parts)])
+        return b"".join(self.stream(text))
 
-    def _ordinary(self, text: str) -> bytes:
-        return b"".join(self._segment(x) for x in segments(text))
+    def stream(self, text: str) -> Iterator[bytes]:
+        """The ids of ``text``, segment by segment."""
+        if self.split_at is None or not self.split_at.search(text):
+            yield from map(self._segment, segments(text))
+        elif not self.plain:
+            yield np.array(self.untouched.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        else:
+            for k, x in enumerate(self.split_at.split(text)):
+                yield from [self.of_added[x]] if k % 2 else map(self._segment, segments(x))
 
     def _segment(self, text: str) -> bytes:
         # a space between white space is no border of pre-tokens: such texts are taken whole
@@ -122,9 +124,14 @@ def segments(text: str) -> Iterator[str]:
 _RUNS: dict[tuple[str, bool], RunIds] = {}
 
 
+def run_ids(path: str, added: bool) -> RunIds:
+    """The worker's memo for a vocabulary file."""
+    return _RUNS[path, added] if (path, added) in _RUNS else _RUNS.setdefault((path, added), RunIds(path, added))
+
+
 def _pieces(path: str, length: int, end_id: int, added: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = _RUNS[path, added] if (path, added) in _RUNS else _RUNS.setdefault((path, added), RunIds(path, added))
+        runs = run_ids(path, added)
         part, seen, end = TaskContext.get().partitionId(), np.zeros(length + 1, np.int64), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "nth")}

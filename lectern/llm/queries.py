@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import chat_format, decontam, embedding_dedup, katz_lm, pattern_packing, pii, quality, secret_scan, simhash_dedup, warc
+from lectern.llm import best_fit, chat_format, decontam, embedding_dedup, katz_lm, lexical_search, pattern_packing, pii, product_codes, quality, secret_scan, simhash_dedup, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": pii.op8,
         "op9_decontam": decontam.op9,
         "op10_quality": quality.op10,
+        "op11_lexical_search": lexical_search.op11,
+        "op12_best_fit": best_fit.op12,
+        "op13_product_codes": product_codes.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_dedup": embedding_dedup.OP1_SQL, "op2_chat_format": chat_format.OP2_SQL, "op9_decontam": decontam.OP9_SQL}
+    return {"op1_embedding_dedup": embedding_dedup.OP1_SQL, "op2_chat_format": chat_format.OP2_SQL, "op9_decontam": decontam.OP9_SQL, "op11_lexical_search": lexical_search.OP11_SQL, "op13_product_codes": product_codes.OP13_SQL}
