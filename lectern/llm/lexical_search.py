@@ -43,7 +43,7 @@ from lectern.llm.common import scratch, settled, words_of, written
 
 BEST = 10
 #: Postings and documents of a shard (the document that reaches a bound is its last), bytes of the terms of a block of queries.
-POSTINGS, DOCUMENTS, BLOCK_BYTES = 2_000_000, 1 << 17, 8 << 20
+POSTINGS, DOCUMENTS, BLOCK_BYTES = 1_000_000, 1 << 17, 8 << 20
 #: Part of a query's postings that is worked through before the first look at the bounds; doubled each time.
 FIRST_PART = 1 / 16
 #: Tasks that shards are dealt out to, at most.
@@ -70,6 +70,22 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([sum(k > 0 for k in n)]), pa.array([sum(n)])], ["docs", "terms"])
 
 
+#: Bits of an impact, which is below a million, and of a document's number.
+IMPACT_BITS, DOCUMENT_BITS = 20, DOCUMENTS.bit_length()
+
+
+def in_order(term: np.ndarray, impact: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Postings by term, impact (descending) and document: as one number each, if that has room."""
+    low = IMPACT_BITS + DOCUMENT_BITS
+    if int(term.max()) >> (63 - low):
+        order = np.lexsort((doc, -impact, term))
+        return term[order], impact[order], doc[order]
+    most = (1 << IMPACT_BITS) - 1
+    key = (term << low) | ((most - impact) << DOCUMENT_BITS) | doc
+    key.sort()
+    return key >> low, most - (key >> DOCUMENT_BITS & most), key & ((1 << DOCUMENT_BITS) - 1)
+
+
 class Shard:
     """Documents as they are read, made into rows of the index when there are enough."""
 
@@ -78,7 +94,7 @@ class Shard:
         self.number: dict[bytes, int] = {}
         self.ids: list[int | None] = []
         self.measures: list[int] = []
-        self.terms, self.tf, self.held = array("q"), array("q"), array("q")
+        self.terms, self.tf, self.held = array("i"), array("i"), array("i")
 
     def add(self, doc_id: int | None, counts: Counter) -> None:
         self.ids.append(doc_id)
@@ -101,12 +117,10 @@ class Shard:
         names = sorted(self.number)
         rank = np.empty(len(names), np.int64)
         rank[[self.number[t] for t in names]] = np.arange(len(names))
-        term, tf = rank[np.frombuffer(self.terms, np.int64)], np.frombuffer(self.tf, np.int64)
-        held = np.frombuffer(self.held, np.int64)
+        term, tf = rank[np.frombuffer(self.terms, np.int32)], np.frombuffer(self.tf, np.int32).astype(np.int64)
+        held = np.frombuffer(self.held, np.int32)
         doc, m = np.repeat(place, held), np.repeat(np.array(self.measures, np.int64), held)
-        impact = 1_000_000_000 * tf // (1000 * tf + 8 * m)
-        order = np.lexsort((doc, -impact, term))
-        term, impact, doc = term[order], impact[order], doc[order]
+        term, impact, doc = in_order(term, 1_000_000_000 * tf // (1000 * tf + 8 * m), doc)
         first = np.searchsorted(term, np.arange(len(names) + 1))
         new = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(impact, prepend=-1))  # where a level begins
         ends = np.append(new[1:], len(term)) - first[term[new]]
