@@ -88,7 +88,8 @@ def between(text: Column, spans: Column, told: Callable[[Column, Column], Column
     """``text`` with each of its spans (by start, at least one) replaced by ``told(span, reached)``,
     reached being the end of all spans before it; what no span covers stays."""
     wide = F.encode(text, "UTF-32")  # four bytes per code point, so that cutting need not count from the start
-    cut = lambda w, a, b: F.decode(F.substring(w, 4 * a + 1, 4 * F.greatest(b - a, F.lit(0))), "UTF-32")
+    mark = F.encode(F.lit("\ufeff"), "UTF-32")  # decoding takes one off the front, so each slice gets one that isn't the text's
+    cut = lambda w, a, b: F.decode(F.concat(mark, F.substring(w, 4 * a + 1, 4 * F.greatest(b - a, F.lit(0)))), "UTF-32")
 
     def of(s: Column) -> Column:
         reached = running(F.transform(s, lambda x: x["end"]), lambda a, b: F.greatest(a, b))

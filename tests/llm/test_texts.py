@@ -560,6 +560,33 @@ def test_recall_of_planted_random_tokens(spark, sf):
     assert plain.where("spans like '%markov%'").count() <= 0.05 * docs.count()
 
 
+MARK = "\ufeff"
+
+
+def test_spans_and_redaction_with_byte_order_marks_anywhere(spark, sf):
+    import random
+
+    rng = random.Random(12)
+    pieces = [MARK, MARK, "token=abcdef1", "0f" * 16, "q7Rz0KfW3xLp9VbT2mYc8HdNs5JgE1uA", " ", " ", "plain words ", "AKIA" + "Z9" * 9, "é🙂", "x"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 12))) for _ in range(300)] + [MARK + "q7Rz0KfW3xLp9VbT2mYc8HdNs5JgE1uA end", "token=abcdef1" + MARK + "q7Rz0KfW3xLp9VbT2mYc8HdNs5JgE1uA e", MARK]
+    # the same with a mark replaced by another sign that no rule takes
+    rows = [(k, t) for k, t in enumerate(texts)] + [(1000 + k, t.replace(MARK, "§")) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    samples = secret_scan.labelled_samples(spark.read.parquet(f"{sf}/documents.parquet"))
+    spans = {r.doc_id: r.spans for r in secret_scan.secrets(df, samples).collect()}
+    clean = {r.doc_id: r.text for r in secret_scan.redacted(df, samples).collect()}
+    assert sum("markov" in spans[k] for k in range(len(texts))) > 50
+    for k, text in enumerate(texts):
+        assert spans[k] == spans[1000 + k]
+        assert clean[k].replace(MARK, "§") == clean[1000 + k] and clean[k].count(MARK) == text.count(MARK)
+        at, want = 0, ""
+        for _, a, b in (s.split(":") for s in spans[k].split(",") if s):
+            want += (text[at : int(a)] + "[SECRET]") if int(a) >= at else ""
+            at = max(at, int(b))
+        assert clean[k] == want + text[at:]
+    assert clean[300] == MARK + "[SECRET] end" and clean[301] == "[SECRET]" + MARK + "[SECRET] e"
+
+
 def test_redaction_keeps_columns_of_any_name(spark):
     df = spark.createDataFrame([(1, "token=abcdef x", 14, "s", "b", "r")], "doc_id long, text string, n_chars int, _spans string, base string, spans string")
     samples = secret_scan.random_strings(spark, 50)
