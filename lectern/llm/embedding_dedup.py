@@ -43,6 +43,8 @@ THRESHOLD = 0.95
 CELL, MOST_CELLS, SAMPLE, PER_CELL, BLOCK, ROUNDS = 1024, 16_384, 4096, 4, 16_384, 8
 #: Components of a block at most, so that long vectors make smaller blocks.
 BLOCK_SIZE = 1 << 21
+#: Components of all centres, and of the vectors that k-means learns from, at most: the driver holds both.
+CENTRE_SIZE, SAMPLE_SIZE = 1 << 22, 1 << 23
 #: The distance of unit vectors at the threshold, and what is added to the bound, far above its rounding errors.
 CHORD, SLACK = float(np.sqrt(2 - 2 * THRESHOLD)), 1e-6
 _KEY = 1 << 16  # cells of one length of vectors
@@ -57,7 +59,7 @@ def spherical_kmeans(x: np.ndarray, k: int) -> np.ndarray:
     """Centres of ``k`` cells of unit vectors; starts from evenly spaced rows."""
     centres = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
     for _ in range(ROUNDS):
-        own = np.argmax(x @ centres.T, axis=1)
+        own = np.concatenate([np.argmax(x[at : at + 512] @ centres.T, axis=1) for at in range(0, len(x), 512)])
         sums = np.zeros_like(centres)
         np.add.at(sums, own, x)
         size = np.linalg.norm(sums, axis=1)
@@ -78,8 +80,14 @@ def by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def centres_of(classes: DataFrame, n: int) -> dict[int, np.ndarray]:
-    cells = int(np.clip(-(-n // CELL), 1, MOST_CELLS))
-    sample = classes.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(SAMPLE, PER_CELL * cells)).select("embedding").toArrow()
+    """Cell centres for each length of vectors, learned from vectors of small hash: about as many as asked for."""
+    length = (classes.agg(F.sum(F.size("embedding"))).first()[0] or 0) // max(n, 1) + 1
+    cells = int(np.clip(-(-n // CELL), 1, min(MOST_CELLS, max(1, CENTRE_SIZE // length))))
+    wanted = min(max(SAMPLE, PER_CELL * cells), max(1, SAMPLE_SIZE // length))
+    few = F.pmod(F.xxhash64("vec_id", "node"), F.lit(1 << 31)) < (1 << 31) * wanted // max(n, 1)
+    sample = classes.where(few).select("embedding").toArrow()
+    if not sample.num_rows:  # few vectors, by chance none of small hash
+        sample = classes.limit(1).select("embedding").toArrow()
     out = {}
     if sample.num_rows:
         for at, x in by_length(sample["embedding"]):
