@@ -225,26 +225,34 @@ def _marked(text: Column) -> Column:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near copies: the one with the smallest doc_id.
 
-    Rows without doc_id stay. A doc_id that several rows have is decided row by row: of each group
-    whose smallest doc_id it is, one row stays, that of the smallest fingerprint; so a text that is
-    nobody's copy stays, whatever other texts its id has. Other columns, of any name, are carried
-    along. Whole rows are shuffled only if a bit map of the ids to look at (rejected or repeated
-    ones) doesn't clear them.
+    A doc_id that several rows have is decided row by row: of each group whose smallest doc_id it is,
+    one row stays, that of the smallest fingerprint (of equal ones, of the least text); so a text that
+    is nobody's copy stays, whatever other texts its id has. Rows without doc_id are copies of any
+    row of their group that has one; of a group where none has, one row stays, chosen in the same way.
+    Other columns, of any name, are carried along. Whole rows are shuffled only if they have no
+    doc_id, or if a bit map of the ids to look at (rejected or repeated ones) doesn't clear them.
     """
     key, low, mark = (unused(docs, c) for c in ("id", "low", "mark"))
-    found = _grouped(docs).where("doc_id is not null").select(F.col("doc_id").cast("long").alias(key), "fp", "component_id", "root")
+    grouped = _grouped(docs)
+    found = grouped.where("doc_id is not null").select(F.col("doc_id").cast("long").alias(key), "fp", "component_id", "root")
     again = written(found.groupBy(key).count().where("count > 1").select(key), "repeated")
     apart = written(found.where(F.col(key) != F.col("component_id")).select(key).unionByName(again).distinct(), "apart")
     is_id = docs["doc_id"].cast("long")
     suspect = possible(apart, is_id)
-    kept = docs.where(~suspect).unionByName(docs.where(suspect).join(apart, is_id == F.col(key), "left_anti"))
-    if again.isEmpty():
-        return kept
-    # a row of each group, and each text of it once: equal fingerprints of an id are one text as far as copies go
-    first = found.where(F.col(key) == F.col("component_id")).join(again, key, "left_semi").groupBy("root", key).agg(F.min("fp").alias(low)).drop("root")
-    rows = docs.where(possible(again, is_id)).withColumn(mark, _marked(docs["text"]))
-    rows = rows.join(first, (is_id == F.col(key)) & (F.col(mark) == F.col(low)), "left_semi")
-    return kept.unionByName(rows.dropDuplicates(["doc_id", mark]).drop(mark))
+    kept = docs.where(is_id.isNotNull() & ~suspect).unionByName(docs.where(suspect).join(apart, is_id == F.col(key), "left_anti"))
+    least = lambda rows, *by: rows.groupBy(*by).agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias(low)).select(f"{low}.*")
+    if not again.isEmpty():
+        # a row of each group, and each text of it once: equal fingerprints of an id are one text as far as copies go
+        first = found.where(F.col(key) == F.col("component_id")).join(again, key, "left_semi").groupBy("root", key).agg(F.min("fp").alias(low)).drop("root")
+        rows = docs.where(possible(again, is_id)).withColumn(mark, _marked(docs["text"]))
+        kept = kept.unionByName(least(rows.join(first, (is_id == F.col(key)) & (F.col(mark) == F.col(low)), "left_semi"), "doc_id", mark))
+    nameless = grouped.where("doc_id is null and component_id is null").groupBy("root").agg(F.min("fp").alias(key)).drop("root")
+    if not nameless.isEmpty():
+        # copies of one text are brought down to a row in the tasks that read them
+        rows = least(docs.where(is_id.isNull()).withColumn(mark, _marked(docs["text"])), mark)
+        rows = rows.withColumn(mark, _marked(F.col("text")))
+        kept = kept.unionByName(rows.join(written(nameless, "nameless"), F.col(mark) == F.col(key), "left_semi").drop(mark))
+    return kept
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,13 +91,13 @@ def test_simhash_groups_and_edges(spark):
 
 
 def test_one_row_of_each_group_where_ids_repeat(spark):
-    a, b, c, z = (" ".join(f"{sign}{k}" for k in range(300)) for sign in "abcz")
-    fps = [S.fingerprint(x.encode()) for x in (a, b, c, z)]
+    a, b, c, z, d = (" ".join(f"{sign}{k}" for k in range(300)) for sign in "abczd")
+    fps = [S.fingerprint(x.encode()) for x in (a, b, c, z, d)]
     assert all((x ^ y).bit_count() > S.RADIUS for k, x in enumerate(fps) for y in fps[:k])
-    rows = [(3, a), (5, a), (5, b), (5, b.upper()), (5, c), (6, c), (3, z), (7, z), (8, "single text of one row only"), (None, a), (None, a)]
+    rows = [(3, a), (5, a), (5, b), (5, b.upper()), (5, c), (6, c), (3, z), (7, z), (8, "single text of one row only"), (None, a), (None, a), (None, d), (None, d.upper()), (None, d)]
     kept = S.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     got = sorted(((r.doc_id, r.text.lower()) for r in kept), key=str)
-    assert got == sorted([(3, a), (5, b), (5, c), (3, z), (8, "single text of one row only"), (None, a), (None, a)], key=str)
+    assert got == sorted([(3, a), (5, b), (5, c), (3, z), (8, "single text of one row only"), (None, d)], key=str)
 
 
 def brute_vectors(x):
@@ -187,6 +187,29 @@ def test_tiny_and_huge_components(spark):
     assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5)}
 
 
+def test_many_centres_take_bounded_memory(spark):
+    """16,384 centres of short vectors: no matrix of sample times centres, no more vectors than asked for."""
+    import tracemalloc
+
+    x = np.random.default_rng(8).normal(size=(65_536, 4))
+    tracemalloc.start()
+    centres = E.spherical_kmeans(E.unit(x), 16_384)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert centres.shape == (16_384, 4) and most < 200 << 20
+
+
+def test_the_sample_of_k_means_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(E, "CELL", 10)
+    monkeypatch.setattr(E, "SAMPLE", 500)
+    rows = spark.range(20_000).selectExpr("7L AS vec_id", "id AS node", "array(cos(id), sin(id), 1.0D) AS embedding")
+    assert len(E.centres_of(rows, 20_000)[3]) == 2000
+    monkeypatch.setattr(E, "CENTRE_SIZE", 400)
+    monkeypatch.setattr(E, "SAMPLE_SIZE", 4000)
+    assert len(E.centres_of(rows, 20_000)[3]) == 100
+    assert len(E.centres_of(rows.limit(1), 1)[3]) == 1 and E.centres_of(rows.limit(0), 0) == {}
+
+
 @pytest.mark.parametrize("block", [16, 200])
 def test_bundles_of_cells_lose_no_link(spark, monkeypatch, block):
     monkeypatch.setattr(E, "BLOCK", block)
