@@ -2,9 +2,13 @@ r"""Text rules. White space is Unicode white space, as speech texts carry more t
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lectern.functions.arrays import let
+
 SPOKEN = ("heading", "paragraph", "quote", "list")
 
 # Word lists and phrases that decide results.
@@ -151,3 +155,44 @@ def clean_stem(name: Column) -> Column:
     """A file name's stem in a-z, 0-9 and underscores."""
     stem = sub(name, r"(?<=.)\.[^.]*\z")
     return sub(F.replace(F.lower(stem), F.lit(" "), F.lit("_")), "[^a-z0-9_]")
+
+
+# -- character references ----------------------------------------------------------------------
+
+#: The names of the standard's table, and those that need no semicolon, longest first.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]{1,31};?)"
+_BARE = r"\A(?:" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)) + ")"
+#: What references to control characters of 0x80 to 0x9F mean: those of Windows' Latin table, where it has any.
+_WINDOWS = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(128, 160))
+
+
+def of_code_point(code: Column) -> Column:
+    """The character of a number as a reference gives it: null means one too large to be a number here."""
+    bad = code.isNull() | (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+    none = code.between(1, 8) | code.between(11, 11) | code.between(14, 31) | code.between(127, 127) | code.between(0xFDD0, 0xFDEF) | (F.pmod(code, F.lit(65536)) >= 65534)
+    # the decoder takes one byte-order mark off the front
+    plain = F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(code), 8, "0"))), "UTF-32")
+    return F.when(bad, "\ufffd").when(code.between(128, 159), F.substring(F.lit(_WINDOWS), (code - 127).cast("int"), F.lit(1))).when(none, "").otherwise(plain)
+
+
+def unescaped(text: Column) -> Column:
+    """Character references of HTML resolved, once; what names nothing stays."""
+    names = list(html5)
+    table = F.map_from_arrays(F.split(F.lit(" ".join(names)), " "), F.split(F.lit("\x00".join(html5[n] for n in names)), "\x00"))
+
+    def resolved(found: Column) -> Column:
+        name = F.substring(found, 2, 40)
+        bare = F.regexp_extract(name, _BARE, 0)
+        number = F.when(F.lower(F.substring(found, 3, 1)) == "x", F.conv(F.regexp_extract(found, r"[xX]([0-9a-fA-F]+)", 1), 16, 10).cast("decimal(20,0)")).otherwise(F.expr("null"))
+        digits = F.regexp_extract(found, "[0-9]+", 0)
+        code = F.coalesce(number, F.when(F.length(digits) < 19, digits).cast("decimal(20,0)"))
+        code = F.when(code <= 0x10FFFF, code).cast("long")
+        named = F.coalesce(F.try_element_at(table, name), F.when(bare != "", F.concat(F.try_element_at(table, bare), F.substring(name, F.length(bare) + 1, F.lit(40)))), found)
+        return F.when(F.substring(found, 2, 1) == "#", of_code_point(code)).when(found == "&amp;", "&").otherwise(named)
+
+    def of(t: Column) -> Column:
+        found = F.regexp_extract_all(t, F.lit(REFERENCE), F.lit(0))
+        parts = F.zip_with(F.split(t, REFERENCE, -1), F.concat(F.transform(found, resolved), F.array(F.lit(""))), lambda a, b: F.concat(a, b))
+        return F.when(F.contains(t, F.lit("&")), F.array_join(parts, "")).otherwise(t)
+
+    return let(text, of)

@@ -22,12 +22,19 @@ def chapter_marks(segments: DataFrame) -> DataFrame:
 
 
 def chapter_of(counts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The chapter that utterance n of a document is in. counts: doc_id, chapter_idx, n_utterances; wanted: doc_id, n."""
+    """The chapter that utterance n of a document is in. counts: doc_id, chapter_idx, n_utterances; wanted: doc_id, n.
+
+    Ranges and points go into one ordered row: a point takes the last range that begins at or before
+    it, if that hasn't ended. Ranges without utterances hold none.
+    """
     upto = Window.partitionBy("doc_id").orderBy("chapter_idx")
-    ranges = counts.withColumn("until", F.sum("n_utterances").over(upto)).withColumn("from", F.col("until") - F.col("n_utterances"))
-    w, r = wanted.alias("w"), ranges.alias("r")
-    hit = (F.col("w.doc_id") == F.col("r.doc_id")) & (F.col("w.n") >= F.col("r.from")) & (F.col("w.n") < F.col("r.until"))
-    return w.join(r, hit, "left").select(F.col("w.doc_id"), F.col("w.n"), F.col("r.chapter_idx"))
+    until = F.sum("n_utterances").over(upto)
+    ranges = counts.select("doc_id", (until - F.col("n_utterances")).cast("long").alias("n"), F.struct("chapter_idx", until.cast("long").alias("until")).alias("range")).where("range.until > n")
+    points = wanted.select("doc_id", F.col("n").cast("long").alias("n"), F.lit(None).cast(ranges.schema["range"].dataType).alias("range"))
+    order = Window.partitionBy("doc_id").orderBy("n", F.asc_nulls_last("range")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = F.last("range", ignorenulls=True).over(order)
+    told = ranges.unionByName(points).withColumn("at", at).where("range is null")
+    return told.select("doc_id", F.col("n").cast(wanted.schema["n"].dataType).alias("n"), F.when(F.col("n") < F.col("at.until"), F.col("at.chapter_idx")).alias("chapter_idx"))
 
 
 def cues(timings: DataFrame, offset_ms: int = 0) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +11,7 @@ from lectern.functions.catalog import MAX_CHARS
 from lectern.operators import artifacts, library, media, resume, script
 from lectern.operators import blocks as B
 from lectern.plugins import Engine, candidates, require, synthesized
+from lectern.shared import free, kept_once
 from lectern.sources import files
 
 
@@ -41,17 +40,6 @@ def rewritten(utterances: DataFrame, candidate: Column, failed: Column | None =
     return utterances.withColumns({"reason": reason, "text": text})
 
 
-def kept_once(df: DataFrame) -> DataFrame:
-    """``df``, computed now and once: written to the shared checkpoint folder, which only a local session may lack."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        at = sc.getConf().get("spark.checkpoint.dir")
-        if not at and sc.master != "local" and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="lectern-"))
-    return df.checkpoint()
-
-
 def media_plan(utterances: DataFrame, engine: Engine, done: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(segments, chapter marks): synthesizes what has no usable segment yet, each text once, however often either is read."""
     require(engine.name, engine)
@@ -74,8 +62,9 @@ def narrated(spark: SparkSession, folder: str, engine: Engine, model=None, conta
     docs = files.documents(spark, folder)
     utterances = of_folder(spark, folder, **options)
     if model is not None:
-        told = utterances.withColumn("_c", candidates(F.col("text"), model))
-        utterances = kept_once(rewritten(told, F.col("_c.candidate"), F.col("_c.failed")).drop("_c", "reason"))
+        c = free(utterances, "c")
+        told = utterances.withColumn(c, candidates(F.col("text"), model))
+        utterances = kept_once(rewritten(told, F.col(f"{c}.candidate"), F.col(f"{c}.failed")).drop(c, "reason"))
     segments, marks = media_plan(utterances, engine)
     indexed = utterances.withColumn("idx", (F.row_number().over(Window.partitionBy("doc_id").orderBy("chapter_idx", "utt_idx")) - 1).cast("int"))
     by_doc = segments.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)))).alias("suffixes"))

@@ -20,7 +20,6 @@ CASE WHEN turn % 4 = 1 THEN ' ' ELSE text END AS plain, CASE WHEN (conv_id + tur
 MARKS = """SELECT conv_id AS doc_id, CAST(turn + 1 AS INT) AS page, CAST(8 + turn % 3 AS INT) AS kind, CASE turn % 3 WHEN 0 THEN 'Highlight' WHEN 1 THEN 'Underline' ELSE 'Note' END AS name, ' ' || text || ' ' AS text, 'yellow' AS color, role AS note FROM {conversations}"""
 JOBS = """SELECT o_custkey AS queue, o_orderkey AS seq, '/out/' || CAST(o_orderkey % 500 AS STRING) || '.m4b' AS output_path, CASE WHEN o_orderkey % 9 = 0 THEN 'running' WHEN o_orderkey % 9 = 1 THEN 'done' ELSE 'pending' END AS state FROM {orders}"""
 TAGS = """SELECT c_custkey, '/a/' || c_name || CASE c_custkey % 5 WHEN 0 THEN '.mp3' WHEN 1 THEN '.M4B' WHEN 2 THEN '.mp4' WHEN 3 THEN '.wav' ELSE '.m4a' END AS path, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END AS title, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_mktsegment END AS author, CASE WHEN c_custkey % 6 < 3 THEN 'c.png' END AS image, c_custkey % 6 = 1 AS image_exists FROM {customer}"""
-ENGINES = [("edge", "Edge", True, "x"), ("gemini", "Gemini", False, "no key"), ("google-cloud", "Cloud", None, None), ("mlx", "Apple", True, None)]
 REPORTS = """SELECT 'r' || CAST(doc_id AS STRING) AS name, lang AS topic, source AS agent, doc_id % 7 AS searches, chr(10) || text || ' ' AS report, text AS narration FROM {documents}"""
 
 
@@ -56,9 +55,12 @@ def _downloads(spark, sf):
 
 
 def _choices(spark, sf):
-    known = spark.createDataFrame([(n, label) for n, label, _, _ in ENGINES] + [("broken", "Broken")], "name string, label string")
-    states = spark.createDataFrame([(n, ok, why) for n, _, ok, why in ENGINES], "name string, available boolean, reason string")
-    return L.choices(L.availability(known, states)).withColumn("place", F.col("place").cast("long"))
+    """Each nation's suppliers stand for the engines of a list; some report no state and are left out."""
+    e = table(spark, sf, "supplier")
+    known = e.select(F.col("s_name").alias("name"), F.concat(F.lit("Engine "), F.col("s_suppkey") % 7).alias("label"), F.col("s_nationkey").alias("nation"))
+    k = F.col("s_suppkey") % 5
+    states = e.where(k != 4).select(F.col("s_name").alias("name"), F.when(k == 3, F.lit(None).cast("boolean")).otherwise(F.col("s_acctbal") > 3000).alias("available"), F.when(k != 1, F.concat(F.lit("no key "), k)).alias("reason"))
+    return L.choices(L.availability(known, states), "nation").withColumns({"place": F.col("place").cast("long"), "nation": F.col("nation").cast("long")})
 
 
 def _agents(spark, sf):
@@ -67,8 +69,10 @@ def _agents(spark, sf):
 
 
 def _static(spark, sf):
-    v = L.static_voices(spark)
-    return v.groupBy("engine", "language", "locale", "gender").agg(F.count("*").alias("n"), F.min("name").alias("first_name"))
+    """Every customer asks for a voice by its number, beyond the known ones too."""
+    ids = F.array(*[F.lit(v) for v in (*L.KOKORO, *(n for n, _ in L.GEMINI))])
+    asked = table(spark, sf, "customer").select("c_custkey", F.get(ids, (F.col("c_custkey") % 90).cast("int")).alias("id"))
+    return asked.join(F.broadcast(L.static_voices(spark)), "id", "left").select("c_custkey", "id", "engine", "name", "language", "locale", "gender", "tags")
 
 
 def _cloud(spark, sf):
@@ -96,7 +100,7 @@ def _removed(spark, sf):
 
 
 def _held(spark, sf):
-    jobs = put_in(spark, sf, JOBS).where("queue % 11 < 3")
+    jobs = put_in(spark, sf, JOBS)
     asked = table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("/out/"), F.col("c_custkey").cast("string"), F.lit(".m4b")).alias("output_path"))
     return L.holds_output(jobs, asked).select("c_custkey", "held")
 
@@ -125,8 +129,8 @@ SOME = "trim(coalesce({0}, ''), " + WS + ") <> ''"
 PRINT = "regexp_replace(translate(replace(replace(translate({0}, '—–', '  '), '\xad' || chr(10), ''), '-' || chr(10), ''), '\xa0', ' '), '[^\\x20-\\x7E\\n]', '', 'g')"
 ERROR = "nothing matched '{}'{}; try fewer words, or drop the author".replace("'", "''")
 AGENTS = "CASE x WHEN 'standard' THEN 'deep-research-preview-04-2026' WHEN 'max' THEN 'deep-research-max-preview-04-2026' WHEN 'pro' THEN 'deep-research-pro-preview-12-2025' ELSE CASE WHEN starts_with(x, 'deep-research') THEN x END END"
-KOKORO_SQL = "SELECT unnest(string_split('" + L.KOKORO + "', ' ')) AS id"
-GEMINI_SQL = "SELECT unnest(string_split('" + L.GEMINI + "', ', ')) AS p"
+KOKORO_SQL = "SELECT unnest([" + ", ".join(f"'{v}'" for v in L.KOKORO) + "]) AS id"
+GEMINI_SQL = "VALUES " + ", ".join(f"('{n}', '{t}')" for n, t in L.GEMINI)
 
 QUERIES = {
     "pages_in_range": (_range, f"SELECT doc_id, CAST(page AS BIGINT) AS page FROM ({_d(PAGES)}) WHERE page BETWEEN greatest(1, CASE WHEN doc_id % 5 - 1 = 0 THEN 1 ELSE doc_id % 5 - 1 END) AND doc_id % 4 + 1"),
@@ -153,7 +157,8 @@ QUERIES = {
     ),
     "engine_choices": (
         _choices,
-        "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'mlx', 'Apple', true, '', 'Apple'), (2, 'edge', 'Edge', true, '', 'Edge'), (3, 'google-cloud', 'Cloud', false, '', 'Cloud — needs setup'), (4, 'gemini', 'Gemini', false, 'no key', 'Gemini — needs setup')) AS t(place, name, label, available, reason, display)",
+        """WITH e AS (SELECT s_name AS name, 'Engine ' || s_suppkey % 7 AS label, CAST(s_nationkey AS BIGINT) AS nation, s_suppkey % 5 AS k, coalesce(s_suppkey % 5 <> 3 AND s_acctbal > 3000, false) AS available FROM supplier WHERE s_suppkey % 5 <> 4)
+        SELECT row_number() OVER (PARTITION BY nation ORDER BY available DESC, label, name) AS place, name, label, nation, available, CASE WHEN available OR k = 1 THEN '' ELSE 'no key ' || k END AS reason, CASE WHEN available THEN label ELSE label || ' — needs setup' END AS display FROM e""",
     ),
     "agent_choices": (
         _agents,
@@ -161,10 +166,11 @@ QUERIES = {
     ),
     "static_voices": (
         _static,
-        f"""WITH k AS ({KOKORO_SQL}), p AS (SELECT 'mlx' AS engine, CASE id[1] WHEN 'a' THEN 'en' WHEN 'b' THEN 'en' WHEN 'e' THEN 'es' WHEN 'f' THEN 'fr' WHEN 'h' THEN 'hi' WHEN 'i' THEN 'it' WHEN 'j' THEN 'ja' WHEN 'p' THEN 'pt' WHEN 'z' THEN 'zh' END AS language,
-            CASE id[1] WHEN 'a' THEN 'US' WHEN 'b' THEN 'GB' WHEN 'p' THEN 'BR' ELSE '' END AS locale, CASE id[2] WHEN 'f' THEN 'Female' ELSE 'Male' END AS gender, upper(id[4]) || substr(id, 5) AS name FROM k
-            UNION ALL SELECT 'gemini', 'en', '', '', string_split(p, ' ')[1] FROM ({GEMINI_SQL}))
-        SELECT engine, language, locale, gender, count(*) AS n, min(name) AS first_name FROM p GROUP BY ALL""",
+        f"""WITH k AS ({KOKORO_SQL}), p AS (SELECT id, 'mlx' AS engine, upper(id[4]) || substr(id, 5) AS name, CASE id[1] WHEN 'a' THEN 'en' WHEN 'b' THEN 'en' WHEN 'e' THEN 'es' WHEN 'f' THEN 'fr' WHEN 'h' THEN 'hi' WHEN 'i' THEN 'it' WHEN 'j' THEN 'ja' WHEN 'p' THEN 'pt' WHEN 'z' THEN 'zh' END AS language,
+            CASE id[1] WHEN 'a' THEN 'US' WHEN 'b' THEN 'GB' WHEN 'p' THEN 'BR' ELSE '' END AS locale, CASE id[2] WHEN 'f' THEN 'Female' ELSE 'Male' END AS gender, 'Kokoro' AS tags FROM k
+            UNION ALL SELECT n, 'gemini', n, 'en', '', '', t FROM ({GEMINI_SQL}) AS g(n, t)),
+        c AS (SELECT c_custkey, ([{", ".join(f"'{v}'" for v in (*L.KOKORO, *(n for n, _ in L.GEMINI)))}])[c_custkey % 90 + 1] AS id FROM customer)
+        SELECT c_custkey, c.id, engine, name, language, locale, gender, tags FROM c LEFT JOIN p ON p.id = c.id""",
     ),
     "cloud_voices": (
         _cloud,
@@ -186,7 +192,7 @@ QUERIES = {
         SELECT * FROM j WHERE seq NOT IN (SELECT seq FROM p JOIN customer ON c_custkey = queue WHERE place = c_custkey % 4 - 1)""",
     ),
     "queue_cleared": (lambda spark, sf: L.cleared(put_in(spark, sf, JOBS)), f"SELECT * FROM ({_d(JOBS)}) WHERE state <> 'pending'"),
-    "output_held": (_held, f"SELECT c_custkey, '/out/' || CAST(c_custkey AS VARCHAR) || '.m4b' IN (SELECT output_path FROM ({_d(JOBS)}) WHERE queue % 11 < 3 AND state IN ('pending', 'running')) AS held FROM customer"),
+    "output_held": (_held, f"SELECT c_custkey, '/out/' || CAST(c_custkey AS VARCHAR) || '.m4b' IN (SELECT output_path FROM ({_d(JOBS)}) WHERE state IN ('pending', 'running')) AS held FROM customer"),
     "output_paths": (
         _outputs,
         """SELECT c_custkey, '/tmp/p/edge-' || trim(regexp_replace('#' || c_name || ' (' || c_mktsegment || ')', '[^A-Za-z0-9._-]+', '-', 'g'), '-') || '.mp3' AS preview,
@@ -194,8 +200,8 @@ QUERIES = {
     ),
     "report_files": (
         _reports,
-        f"""WITH r AS ({_d(REPORTS)}) SELECT '/notes/' || name || '.md' AS path, narration AS content FROM r UNION ALL SELECT '/notes/' || name || '.notes.md', concat_ws(chr(10), '# Research notes: ' || name, '', '- **Topic:** ' || topic, '- **Agent:** ' || agent,
-        '- **Web searches:** ' || CAST(searches AS VARCHAR), '', 'The full report below keeps its citations. The narrated version (`' || name || '.md`) has them stripped.', '', '---', '', trim(report, {WS}), '') FROM r""",
+        f"""WITH r AS ({_d(REPORTS)}) SELECT '/notes/' || name || '.md' AS path, narration AS content FROM r UNION ALL SELECT '/notes/' || name || '.notes.md', concat_ws(chr(10), '# ' || name || ': research as delivered', '', 'Topic: ' || topic, 'Researched by: ' || agent,
+        'Searches made: ' || CAST(searches AS VARCHAR), '', 'Citations are kept here; what is read aloud is in ' || name || '.md.', '', trim(report, {WS}), '') FROM r""",
     ),
     "tag_plan": (
         _tags,

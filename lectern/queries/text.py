@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import blocks as B
+from lectern.operators.html import html_blocks
 from lectern.queries.base import duck, put_in, table
 
 SPEECH = """SELECT doc_id, replace(replace(replace(text, '. ', '.' || CAST(1 + doc_id % 120 AS STRING) || '  — '), ', ', ' .... “so” ‘it’ '), 'an ', 'a\xadn\xa0--- ') AS text FROM {documents}"""
@@ -116,9 +117,19 @@ def _sparse(spark, sf):
     return B.sparse(b)
 
 
+#: HTML put into the pages after their title: nested lists, tables, quotes and navigation, blocks inside headings, captions.
+HTML_ENDS = (
+    "<ul><li>a <b>b</b><ul><li>c</li></ul>d</li><li>e<p>f</p></li></ul>loose<p>g<ol><li>h</li></ol>",
+    "<table><tr><td>1<table><tr><td>2</table><p>3</table><blockquote>q<p>r</p><blockquote>s</blockquote>t</blockquote></blockquote>u<p>v",
+    "<h2>t<p>u</h2><pre>x  y" + "  z</pre><nav><nav><p>no</p></nav>n</nav></nav><h3>v</h4><p>w</h3><p>x</p>y",
+    "<p>z<figure><figcaption>cap</figcaption></figure><!-- <p>no --><script>\"<p>\"</script><p>",
+)
+PAGES = "SELECT page_id, replace(html, '</h1>', '</h1>' || CASE page_id % 5 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(HTML_ENDS)) + " ELSE '' END) AS html FROM {pages}"
+
+
 def _html(spark, sf):
-    p = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
-    return B.html_blocks(p).select("doc_id", F.col("block_idx").cast("long").alias("block_idx"), "kind", "text", F.col("level").cast("long").alias("level"))
+    p = put_in(spark, sf, PAGES).select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    return html_blocks(p).select("doc_id", F.col("block_idx").cast("long").alias("block_idx"), "kind", "text", F.col("level").cast("long").alias("level"))
 
 
 #: Markdown put into the texts: what each sort of line does after each other.
@@ -211,6 +222,34 @@ SELECT doc_id,
     regexp_replace(replace(lower(regexp_replace(t || '.PDF', '\.[^.]*$', '')), ' ', '_'), '[^a-z0-9_]', '', 'g') AS stem FROM v
 """
 
+HTML_SQL = "WITH put AS (" + duck(PAGES) + r"""), cut AS (
+    SELECT page_id AS doc_id, list_concat([''], regexp_extract_all(html, '{tag}')) AS tags, string_split_regex(html, '{tag}') AS texts FROM put
+), t AS (SELECT doc_id, unnest(range(1, len(tags) + 1)) AS i, unnest(tags) AS tag, unnest(texts) AS text FROM cut),
+named AS (SELECT doc_id, i, text, lower(regexp_extract(tag, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS name, tag LIKE '</%' AS closes FROM t),
+body AS (SELECT * FROM (SELECT *, min(i) FILTER (name = 'body' AND NOT closes) OVER w AS first, min(i) FILTER (name = 'body' AND closes) OVER w AS last FROM named WINDOW w AS (PARTITION BY doc_id)) WHERE i >= coalesce(first, 1) AND i < coalesce(last, 1e9)),
+navs AS (SELECT *, sum(CASE WHEN name <> 'nav' THEN 0 WHEN closes THEN -1 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM body),
+seen AS (SELECT * EXCLUDE (s) FROM (SELECT *, s - least(0, min(s) OVER (PARTITION BY doc_id ORDER BY i)) AS depth FROM navs) WHERE depth = 0),
+steps AS (SELECT *, [CASE WHEN name <> h THEN 0 WHEN closes THEN -1 ELSE 1 END FOR h IN ['blockquote', 'table', 'pre', 'li']] AS step FROM seen),
+sums AS (SELECT *, [sum(step[1]) OVER w, sum(step[2]) OVER w, sum(step[3]) OVER w, sum(step[4]) OVER w] AS s FROM steps WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+depths AS (SELECT *, s[1] + s[2] + s[3] + s[4] - least(0, min(s[1]) OVER w) - least(0, min(s[2]) OVER w) - least(0, min(s[3]) OVER w) - least(0, min(s[4]) OVER w) AS after FROM sums WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+kinds(name, kind, level) AS (VALUES ('p', 'paragraph', 0), ('h1', 'heading', 1), ('h2', 'heading', 2), ('h3', 'heading', 3), ('h4', 'heading', 4), ('h5', 'heading', 5), ('h6', 'heading', 6), ('figcaption', 'figure', 0), ('blockquote', 'quote', 0), ('table', 'table', 0), ('pre', 'code', 0), ('li', 'list', 0)),
+-- tags of blocks outside holders: those that begin where no holder is open, and those that end where none is left
+top AS (
+    SELECT d.doc_id, d.i, d.name, d.closes, k.kind, k.level FROM (SELECT *, coalesce(lag(after) OVER (PARTITION BY doc_id ORDER BY i), 0) AS before FROM depths) d JOIN kinds k USING (name)
+    WHERE CASE WHEN closes THEN after = 0 ELSE before = 0 END
+), ends AS (SELECT a.doc_id, a.i, a.name, a.kind, a.level, min(b.i) AS own FROM top a LEFT JOIN top b ON b.doc_id = a.doc_id AND b.i > a.i AND b.name = a.name AND b.closes WHERE NOT a.closes GROUP BY ALL),
+begins AS (SELECT * FROM ends a WHERE NOT EXISTS (FROM ends h WHERE h.doc_id = a.doc_id AND h.kind IN ('heading', 'figure') AND h.i < a.i AND a.i < h.own)),
+spans AS (SELECT *, least(coalesce(own, 1e9), coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i), 1e9)) AS until FROM begins),
+joined AS (
+    SELECT p.doc_id, p.i, kind, level, string_agg(x.text, ' ' ORDER BY x.i) AS text FROM spans p JOIN seen x ON x.doc_id = p.doc_id AND x.i >= p.i AND x.i < p.until GROUP BY ALL
+    UNION ALL SELECT doc_id, 1000000000, 'paragraph', 0, string_agg(text, ' ' ORDER BY i) FROM seen GROUP BY doc_id
+), plain AS (
+    SELECT doc_id, i, kind, level, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '[\s\p{Z}\x1c-\x1f\x85]+', ' ', 'g')) AS text FROM joined
+), filled AS (SELECT *, count(*) FILTER (i < 1000000000) OVER (PARTITION BY doc_id) AS n FROM plain WHERE text <> '')
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS block_idx, kind, text, CAST(level AS BIGINT) AS level FROM filled WHERE i < 1000000000 OR n = 0
+""".replace("{tag}", r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|</?[a-z][^>]*>|<[!?/][^>]*>".replace("'", "''"))
+
+
 QUERIES = {
     "footnote_strip": (_simple(SPEECH, T.drop_footnote_refs), f"SELECT doc_id, {FOOT.format('text')} AS spoken FROM ({_d(SPEECH)})"),
     "speech_normalize": (_simple(SPEECH, T.speakable), f"SELECT doc_id, {SPEAK_SQL} AS spoken FROM ({_d(SPEECH)})"),
@@ -228,7 +267,7 @@ QUERIES = {
     "slug_variants": (_slugs, SLUG_SQL),
     "sparse_escalation": (_sparse, f"WITH a AS (SELECT conv_id AS doc_id, count(DISTINCT turn) AS pages, CAST(coalesce(sum(length(text)) FILTER (role <> 'system' AND trim(text, {WS}) <> ''), 0) AS BIGINT) AS spoken_chars FROM conversations GROUP BY conv_id) SELECT *, pages > 0 AND spoken_chars / pages < 200 AS escalate FROM a"),
     "markdown_blocks": (_markdown, MD_SQL),
-    "html_blocks": (_html, None),
+    "html_blocks": (_html, HTML_SQL),
     "html_h1": (
         lambda spark, sf: table(spark, sf, "pages").select("page_id", B.first_h1(F.col("html")).alias("h1")),
         r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS h1 FROM pages",

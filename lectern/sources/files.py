@@ -133,12 +133,7 @@ def write_texts(rows: DataFrame, folder: str, column: str, buckets: int = 64) ->
 
 
 def write_voice_list(voices: DataFrame, path: str) -> None:
-    """The voice list as one sorted file without header (some hundred lines)."""
+    """The voice list as sorted lines without header, in files whose names sort as their lines do."""
     from lectern.operators.library import voice_list
 
-    voice_list(voices).orderBy("place").select("line").coalesce(1).write.mode("overwrite").text(path)
-
-
-def write_files(files: DataFrame, folder: str) -> None:
-    """Files (path, content) as one text each under ``folder``, in folders named by path: for reports, not for corpora."""
-    files.select(F.regexp_replace("path", r"[^A-Za-z0-9._-]+", "_").alias("file"), F.col("content").alias("value")).write.partitionBy("file").text(folder, lineSep="\x00")
+    voice_list(voices).orderBy("place").select("line").write.mode("overwrite").text(path)
