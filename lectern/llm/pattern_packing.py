@@ -36,7 +36,7 @@ from lectern.llm.common import written
 
 LENGTH, END_ID = 1024, 2
 #: Runs kept in a worker's memo, and bytes of the longest run that tiktoken merges.
-MEMO, LONG_RUN = 500_000, 512
+MEMO, LONG_RUN = 250_000, 512
 #: Characters of a text that are tokenized at once.
 SEGMENT = 2 << 20
 #: Sweeps of coordinate descent, and the grid of the patterns of three.
