@@ -12,7 +12,7 @@ from lectern.operators import artifacts, library, media, resume, script
 from lectern.operators import blocks as B
 from lectern.plugins import Engine, candidates, require, synthesized
 from lectern.shared import free, kept_once
-from lectern.sources import files
+from lectern.sources import epub, files
 
 
 def document_blocks(blocks: DataFrame) -> DataFrame:
@@ -28,10 +28,14 @@ def script_of(blocks: DataFrame, titles: DataFrame | None = None, engine: str =
 def of_folder(spark: SparkSession, folder: str, **options) -> DataFrame:
     """Utterances of all files of a folder; a document's title is its first level-1 heading or file stem."""
     docs = files.documents(spark, folder)
-    blocks = files.blocks(docs)
+    blocks = files.blocks(docs, epub.chapters_of_folder(spark, folder, docs.where("reader = 'epub'")))
+    return script_of(blocks, titles_of(docs, blocks), **options)
+
+
+def titles_of(docs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """doc_id, title: a document's first level-1 heading, or else its file's stem."""
     stems = docs.select("doc_id", files.stem(F.col("path")).alias("stem"))
-    titles = stems.join(B.title_of(blocks), "doc_id", "left").select("doc_id", F.coalesce("title", "stem").alias("title"))
-    return script_of(blocks, titles, **options)
+    return stems.join(B.title_of(blocks), "doc_id", "left").select("doc_id", F.coalesce("title", "stem").alias("title"))
 
 
 def rewritten(utterances: DataFrame, candidate: Column, failed: Column | None = None) -> DataFrame:

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import io
-import posixpath
 import zipfile
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +11,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import blocks as B
-from lectern.schema import BLOCKS
+from lectern.operators.html import html_blocks
+from lectern.sources import epub
 
 #: What a suffix is read as.
 READERS = {".txt": "text", ".text": "text", ".md": "markdown", ".markdown": "markdown", ".html": "html", ".htm": "html", ".epub": "epub", ".pdf": "pdf"}
@@ -37,48 +36,21 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.xxhash64("path").alias("doc_id"), "path", reader_of(F.col("path")).alias("reader"), "content")
 
 
-def epub_items(content: bytes) -> list[tuple[str, str, int]]:
-    """Blocks of an EPUB's chapters in the order of its spine."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        root = next(x.get("full-path") for x in ElementTree.fromstring(z.read("META-INF/container.xml")).iter() if x.tag.endswith("rootfile"))
-        package = ElementTree.fromstring(z.read(root))
-        name = lambda x: x.tag.rpartition("}")[2]
-        files = {x.get("id"): x.get("href") for x in package.iter() if name(x) == "item"}
-        spine = [x.get("idref") for x in package.iter() if name(x) == "itemref" and x.get("idref") in files]
-        out: list[tuple[str, str, int]] = []
-        for ref in spine:
-            path = posixpath.normpath(posixpath.join(posixpath.dirname(root), files[ref]))
-            out += B.html_items(z.read(path).decode("utf-8", "replace"))
-    return out
-
-
-def epub_blocks(docs: DataFrame) -> DataFrame:
-    """Blocks of EPUBs (doc_id, content); an archive that can't be read, for whatever reason, gives none."""
-
-    def run(parts):
-        for part in parts:
-            rows = []
-            for doc_id, content in zip(part["doc_id"], part["content"]):
-                try:
-                    rows += [(doc_id, k, *item, None) for k, item in enumerate(epub_items(content))]
-                except Exception:  # a damaged archive is data; ``rejected`` tells why
-                    continue
-            yield pd.DataFrame(rows, columns=["doc_id", "block_idx", "kind", "text", "level", "page"]).astype({"page": "Int32"})
-
-    return docs.select("doc_id", "content").mapInPandas(run, BLOCKS)
-
-
 def text_of(content: Column) -> Column:
     """A file's text, line ends as line feeds; null if it isn't UTF-8."""
     return F.replace(F.try_validate_utf8(content.cast("string")), F.lit("\r\n"), F.lit("\n"))
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """Blocks of files as ``documents`` gives them, boilerplate left out. Files that can't be read give none."""
+def blocks(docs: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
+    """Blocks of files as ``documents`` gives them, boilerplate left out. Files that can't be read give none.
+
+    ``chapters`` (of ``epub.chapters_of_folder``) saves reading EPUBs whole.
+    """
     text = docs.withColumn("text", text_of(F.col("content"))).where("text is not null")
     of = lambda kind: text.where(F.col("reader") == kind)
     plain = of("text").withColumn("text", F.when(T.mentions(F.col("text")) > 5, T.without_boilerplate(F.col("text"))).otherwise(F.col("text"))).where("text is not null")
-    out = B.plain_blocks(plain).unionByName(B.markdown_blocks(of("markdown"))).unionByName(B.html_blocks(of("html"))).unionByName(epub_blocks(docs.where(F.col("reader") == "epub")))
+    books = epub.blocks(epub.chapters_of_content(docs.where(F.col("reader") == "epub")) if chapters is None else chapters)
+    out = B.plain_blocks(plain).unionByName(B.markdown_blocks(of("markdown"))).unionByName(html_blocks(of("html"))).unionByName(books)
     return B.without_boilerplate(out)
 
 
@@ -87,10 +59,12 @@ def _archive_error(content: Column) -> Column:
     def errors(contents: pd.Series) -> pd.Series:
         def tried(data: bytes) -> str | None:
             try:
-                epub_items(data)
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    damaged = z.testzip()
+                    packaged = epub.CONTAINER in z.namelist() and b"full-path" in z.read(epub.CONTAINER)
             except Exception as error:  # told, not raised
                 return f"unreadable archive: {type(error).__name__}: {error}"
-            return None
+            return f"unreadable archive: damaged entry {damaged}" if damaged else None if packaged else "unreadable archive: no package"
 
         return contents.map(tried)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lectern.plans.narration import script_of
+from lectern.plans.narration import script_of, titles_of
 from lectern.sources import files
 
 FILE = "path string, modificationTime timestamp, length long, content binary"
@@ -19,6 +19,7 @@ def follow(spark: SparkSession, folder: str, out: str, checkpoint: str, **option
 
     def batch(rows: DataFrame, number: int) -> None:
         docs = rows.select(F.xxhash64("path").alias("doc_id"), "path", files.reader_of(F.col("path")).alias("reader"), "content")
-        script_of(files.blocks(docs), **options).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        blocks = files.blocks(docs)
+        script_of(blocks, titles_of(docs, blocks), **options).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
