@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import catalog as C
+from lectern.operators import batch_search
 from lectern.operators import catalog as O
 from lectern.queries.base import duck, put_in, table
 
@@ -45,6 +46,24 @@ def _search(author):
     return run
 
 
+#: Of every title some words, so that few, some or no books hold them all; every seventh asks for none.
+ASKED = "SELECT p_partkey AS asked, CASE p_partkey % 7 WHEN 0 THEN 'of the' WHEN 1 THEN p_name WHEN 2 THEN p_name || ' unseen' ELSE split_part(p_name, ' ', 1) || ' AND ' || split_part(p_name, ' ', CAST(2 + p_partkey % 3 AS INT)) END AS title FROM {part}"
+
+
+def _batch(spark, sf):
+    found = batch_search.searched(batch_search.built(_books(spark, sf)), put_in(spark, sf, ASKED), 5)
+    return found.select("asked", F.col("rank").cast("long").alias("rank"), F.col("relevance").cast("long").alias("relevance"), "book.id")
+
+
+WORDS_OF = "list_filter(string_split(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda t: t NOT IN ('', 'the', 'a', 'an', 'of', 'and', 'or', 'on', 'in', 'to', 'for'))"
+BATCH_SQL = f"""WITH b AS (SELECT p_partkey AS id, CAST(p_size AS BIGINT) AS downloads, p_partkey % 4 <> 0 AS no_epub, {WORDS_OF.format('p_name')} AS w FROM part WHERE p_partkey % 4 <> 3),
+q AS (SELECT asked, list_distinct({WORDS_OF.format('title')}) AS w FROM ({duck(ASKED)})), s AS (SELECT DISTINCT list_sort(w) AS w FROM q),
+hits AS (SELECT s.w AS asked_w, b.*, len(list_intersect(s.w, b.w)) AS n FROM s, b),
+r AS (SELECT *, CASE WHEN len(asked_w) = 0 OR n = 0 THEN 0 WHEN n = len(asked_w) THEN 2 ELSE 1 END AS relevance FROM hits),
+k AS (SELECT *, row_number() OVER (PARTITION BY asked_w ORDER BY relevance DESC, no_epub, downloads DESC, id) AS rank FROM r QUALIFY rank <= 5)
+SELECT asked, rank, CAST(relevance AS BIGINT) AS relevance, id FROM q JOIN k ON k.asked_w = list_sort(q.w)"""
+
+
 def _formats(spark, sf):
     b = _books(spark, sf)
     return b.select("id", *[C.url_of(F.col("formats"), k).alias(k) for k in C.FORMATS], F.array_join(C.available(F.col("formats")), ",").alias("available"))
@@ -106,6 +125,7 @@ EPITHETS = ", ".join(f"'{w}'" for w in C.EPITHETS)
 ALIAS = "CASE x " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.ALIASES.items()) + " ELSE x END"
 
 QUERIES = {
+    "title_relevance_batch": (_batch, BATCH_SQL),
     "author_normalize": (
         lambda spark, sf: put_in(spark, sf, NAMES).select("c_custkey", C.author_name(F.col("name")).alias("author")),
         f"""WITH n AS (SELECT c_custkey, trim(name) AS name FROM ({_d(NAMES)})), p AS (SELECT *, string_split(name, ',') AS s FROM n),
