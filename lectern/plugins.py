@@ -2,24 +2,40 @@
 
 from __future__ import annotations
 
+import contextlib
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from lectern.operators.blocks import parsed_blocks
+from lectern.schema import VOICES
 
 SEGMENT = "doc_id long, idx int, path string, size long, duration_ms long, error string"
 
 
 class Engine(Protocol):
-    """Speaks one text: (path, size, duration_ms)."""
+    """Speaks one text: (path, size, duration_ms).
+
+    It also tells what it can: whether it runs here, with which voices (rows of VOICES) and which of
+    them it takes if none is named, and how long a text may be. ``local`` and ``profile`` are
+    optional (see ``plans.ledger``).
+    """
 
     name: str
     concurrency: int
+    max_chars: int
+    default_voice: str
+
+    def is_available(self) -> tuple[bool, str]: ...
+
+    def voices(self) -> list[tuple]: ...
 
     def synthesize(self, text: str, name: str) -> tuple[str, int, int]: ...
 
@@ -27,11 +43,17 @@ class Engine(Protocol):
 class SilentEngine:
     """Plans without sound: a fixed pace, no files."""
 
-    name, concurrency = "silent", 4
+    name, concurrency, max_chars, default_voice = "silent", 4, 4000, "none"
 
     def __init__(self, ms_per_char: int = 60):
         self.ms_per_char = ms_per_char
 
+    def is_available(self) -> tuple[bool, str]:
+        return True, ""
+
+    def voices(self) -> list[tuple]:
+        return [("none", self.name, "None", "", "", "", "")]
+
     def synthesize(self, text: str, name: str) -> tuple[str, int, int]:
         return f"{name}.wav", len(text), max(1, len(text) * self.ms_per_char)
 
@@ -41,6 +63,52 @@ def extracted(docs: DataFrame, extractor: Callable[[object], list[tuple[str, str
     return parsed_blocks(docs, extractor)
 
 
+def voices_of(spark: SparkSession, engines: list[Engine]) -> DataFrame:
+    """The voices of the engines that can run, as VOICES; one whose list fails has none."""
+    rows: list[tuple] = []
+    for engine in engines:
+        with contextlib.suppress(Exception):
+            rows += engine.voices() if engine.is_available()[0] else []
+    return spark.createDataFrame(rows, VOICES)
+
+
+def limit_of(engine: Engine, asked: int) -> int:
+    """How long an utterance may be: as asked, within what the engine takes."""
+    return min(asked, getattr(engine, "max_chars", None) or asked)
+
+
+def register_extractor(spark: SparkSession, name: str, extractor: Callable[..., Iterable[tuple]], returns: str = "kind string, text string, level int") -> None:
+    """Makes an extractor a table function of SQL: a row (place, then ``returns``) per item, in order.
+
+    ``extractor(content, ...)`` may take more arguments than the content. Its columns are told by
+    ``returns``, or by its own ``returns(arguments)`` (a StructType) if it has one, which is asked
+    with the types and constant values of a call. What it raises is a row without values whose
+    ``error`` says so.
+    """
+    usual = StructType.fromDDL(returns)
+
+    def columns(arguments: tuple[AnalyzeArgument, ...]) -> StructType:
+        own = extractor.returns(arguments) if hasattr(extractor, "returns") else usual
+        return StructType([StructField("place", IntegerType()), *own.fields, StructField("error", StringType())])
+
+    class Extractor:
+        def __init__(self, told: AnalyzeResult):
+            self.width = len(told.schema.fields)
+
+        @staticmethod
+        def analyze(*arguments: AnalyzeArgument) -> AnalyzeResult:
+            return AnalyzeResult(schema=columns(arguments))
+
+        def eval(self, *arguments: object) -> Iterator[tuple]:
+            try:
+                for place, item in enumerate(extractor(*arguments)):
+                    yield (place, *item, None)
+            except Exception as error:  # a document's fault is data
+                yield (*(None,) * (self.width - 1), f"{type(error).__name__}: {error}")
+
+    spark.udtf.register(name, udtf(Extractor))
+
+
 def candidates(text: Column, model: Callable[[str], str | None]) -> Column:
     """A model's rewrites (struct candidate, failed), in Arrow batches.
 

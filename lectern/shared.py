@@ -5,21 +5,32 @@ from __future__ import annotations
 import tempfile
 
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def kept_once(df: DataFrame) -> DataFrame:
-    """``df``, computed now and once: written to the shared checkpoint folder, which only a local session may lack."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; only a local session may lack one and gets one of its own."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         at = sc.getConf().get("spark.checkpoint.dir")
         if not at and sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="lectern-"))
+    return sc.getCheckpointDir()
+
+
+def kept_once(df: DataFrame) -> DataFrame:
+    """``df``, computed now and once: written to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def free(df: DataFrame, name: str) -> str:
     """``name``, or a longer one, that no column of ``df`` has."""
     have = {c.lower() for c in df.columns}
