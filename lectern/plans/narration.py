@@ -10,6 +10,7 @@ from lectern.functions import text as T
 from lectern.functions.catalog import MAX_CHARS
 from lectern.operators import artifacts, library, media, resume, script
 from lectern.operators import blocks as B
+from lectern.plans import ledger
 from lectern.plugins import Engine, candidates, require, synthesized
 from lectern.shared import free, kept_once
 from lectern.sources import epub, files
@@ -25,13 +26,23 @@ def script_of(blocks: DataFrame, titles: DataFrame | None = None, engine: str =
     return script.utterances(document_blocks(blocks), titles, min(chunk, MAX_CHARS[engine]), level, minimum)
 
 
-def of_folder(spark: SparkSession, folder: str, **options) -> DataFrame:
-    """Utterances of all files of a folder; a document's title is its first level-1 heading or file stem."""
+def of_folder(spark: SparkSession, folder: str, strict: bool = False, **options) -> DataFrame:
+    """Utterances of all files of a folder; a document's title is its first level-1 heading or file stem.
+
+    A strict run fails where a file gives nothing to speak; others leave such files to ``rejected``.
+    """
     docs = files.documents(spark, folder)
     blocks = files.blocks(docs, epub.chapters_of_folder(spark, folder, docs.where("reader = 'epub'")))
+    blocks = files.required(docs, blocks) if strict else blocks
     return script_of(blocks, titles_of(docs, blocks), **options)
 
 
+def of_texts(texts: DataFrame, **options) -> DataFrame:
+    """Utterances of plain texts (doc_id, text, and title if there are any) that come from no file."""
+    titles = texts.select("doc_id", "title") if "title" in texts.columns else None
+    return script_of(B.plain_blocks(texts.select("doc_id", "text")), titles, **options)
+
+
 def titles_of(docs: DataFrame, blocks: DataFrame) -> DataFrame:
     """doc_id, title: a document's first level-1 heading, or else its file's stem."""
     stems = docs.select("doc_id", files.stem(F.col("path")).alias("stem"))
@@ -44,11 +55,17 @@ def rewritten(utterances: DataFrame, candidate: Column, failed: Column | None =
     return utterances.withColumns({"reason": reason, "text": text})
 
 
-def media_plan(utterances: DataFrame, engine: Engine, done: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(segments, chapter marks): synthesizes what has no usable segment yet, each text once, however often either is read."""
+def media_plan(utterances: DataFrame, engine: Engine, done: DataFrame | None = None, book: str | None = None, voice: str = "") -> tuple[DataFrame, DataFrame]:
+    """(segments, chapter marks): synthesizes what has no usable segment yet, each text once, however often either is read.
+
+    With a ledger's folder (``book``) only texts that no earlier run spoke are spoken, by content.
+    """
     require(engine.name, engine)
     order = Window.partitionBy("doc_id").orderBy("chapter_idx", "utt_idx")
     rows = utterances.withColumn("idx", (F.row_number().over(order) - 1).cast("int"))
+    if book is not None:
+        segments = kept_once(ledger.speak(rows, engine, book, voice))
+        return segments, media.chapter_marks(segments.join(rows.select("doc_id", "idx", "chapter_idx"), ["doc_id", "idx"]))
     todo = rows if done is None else resume.outstanding(rows, done)
     new = kept_once(synthesized(todo, engine))
     segments = new if done is None else new.unionByName(resume.usable(done).select(*new.columns))
@@ -56,7 +73,7 @@ def media_plan(utterances: DataFrame, engine: Engine, done: DataFrame | None = N
     return segments, marks
 
 
-def narrated(spark: SparkSession, folder: str, engine: Engine, model=None, container: str = "mp3", speed: float | None = None, **options) -> dict[str, DataFrame]:
+def narrated(spark: SparkSession, folder: str, engine: Engine, model=None, container: str = "mp3", speed: float | None = None, book: str | None = None, **options) -> dict[str, DataFrame]:
     """From a folder to all that assembling needs: utterances, segments, marks, complete, files, outputs.
 
     With a rewriting model, which must be available, utterances are rewritten where the guard accepts it.
@@ -69,7 +86,7 @@ def narrated(spark: SparkSession, folder: str, engine: Engine, model=None, conta
         c = free(utterances, "c")
         told = utterances.withColumn(c, candidates(F.col("text"), model))
         utterances = kept_once(rewritten(told, F.col(f"{c}.candidate"), F.col(f"{c}.failed")).drop(c, "reason"))
-    segments, marks = media_plan(utterances, engine)
+    segments, marks = media_plan(utterances, engine, book=book)
     indexed = utterances.withColumn("idx", (F.row_number().over(Window.partitionBy("doc_id").orderBy("chapter_idx", "utt_idx")) - 1).cast("int"))
     by_doc = segments.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)))).alias("suffixes"))
     outputs = docs.join(by_doc, "doc_id").select("doc_id", library.output_path(F.col("path"), container).alias("output"), M.codec(F.lit(container), F.col("suffixes"), F.lit(speed).cast("double")).alias("codec"))

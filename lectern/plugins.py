@@ -14,7 +14,7 @@ from pyspark.sql.functions import udtf
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
-from lectern.operators.blocks import parsed_blocks
+from lectern.operators.blocks import markdown_blocks, parsed_blocks, sparse
 from lectern.schema import VOICES
 
 SEGMENT = "doc_id long, idx int, path string, size long, duration_ms long, error string"
@@ -109,6 +109,28 @@ def register_extractor(spark: SparkSession, name: str, extractor: Callable[...,
     spark.udtf.register(name, udtf(Extractor))
 
 
+def escalated(blocks: DataFrame, docs: DataFrame, converter: Callable[[object], str | None], least: int = 200) -> DataFrame:
+    """Blocks with those of sparse documents (few spoken characters a page) read again.
+
+    The converter makes Markdown of a document's content (docs: doc_id, content), which is read like
+    any other. A document that it can't convert, or makes nothing of, keeps the blocks it had.
+    """
+
+    @F.pandas_udf("string")
+    def converted(contents: pd.Series) -> pd.Series:
+        def one(content: object) -> str | None:
+            with contextlib.suppress(Exception):  # the document keeps what it has
+                return converter(content)
+            return None
+
+        return contents.map(one).astype(object)
+
+    poor = sparse(blocks, least).where("escalate").select("doc_id")
+    again = docs.join(poor, "doc_id").select("doc_id", converted("content").alias("text"))
+    new = markdown_blocks(again)
+    return blocks.join(new.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(new.select(*blocks.columns))
+
+
 def candidates(text: Column, model: Callable[[str], str | None]) -> Column:
     """A model's rewrites (struct candidate, failed), in Arrow batches.
 

@@ -81,6 +81,15 @@ def rejected(docs: DataFrame, found: DataFrame) -> DataFrame:
     return out.where("not (reader <=> 'epub')").select("path", "reason", error.alias("error")).unionByName(epubs)
 
 
+def required(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``found``, for a run that takes no exception: raises if a file gave nothing to speak. This reads the files once more."""
+    said = F.concat("path", F.lit(": "), F.coalesce("error", "reason"))
+    bad = rejected(docs, found).agg(F.count(F.lit(1)).alias("n"), F.min(said).alias("said")).first()
+    if bad.n:
+        raise ValueError(f"nothing to speak in {bad.n} files, such as {bad.said}")
+    return found
+
+
 def voice_catalogue(spark: SparkSession, path: str) -> DataFrame:
     """A voice list (name,language,locale,gender,"tags", no header) as VOICES."""
     rows = spark.read.csv(path, schema="id string, language string, locale string, gender string, tags string", quote='"', mode="DROPMALFORMED")

@@ -58,7 +58,7 @@ class Counting:
 
     def synthesize(self, text, name):
         with open(self.notes, "a") as f:
-            f.write(f"{text}\n")
+            f.write(text.replace("\n", " ") + "\n")
         if self.dies_at and len(open(self.notes).readlines()) == self.dies_at:
             os._exit(1)
         if "bad" in text:
@@ -171,3 +171,54 @@ def test_an_extractor_as_a_table_function(spark):
     assert [tuple(r) for r in plain if r.id == 2] == [(2, None, None, "ValueError: no words")] and len(plain) == 3
     sized = spark.sql("SELECT sum(size) AS n FROM own_texts, LATERAL own_words(text, 0, true) WHERE error IS NULL").first()
     assert sized.n == 6
+
+
+# -- plans -------------------------------------------------------------------------------------
+
+
+def test_a_strict_run_takes_no_exception(spark, tmp_path):
+    from lectern.plans.narration import of_folder
+
+    (tmp_path / "a.txt").write_text("It was so.")
+    assert of_folder(spark, str(tmp_path), strict=True).count() == 1
+    (tmp_path / "b.md").write_bytes(b"# Caf\xe9")
+    assert of_folder(spark, str(tmp_path)).count() == 1
+    with pytest.raises(Exception, match="nothing to speak in 1 files, such as .*b.md: not UTF-8 text"):
+        of_folder(spark, str(tmp_path), strict=True).collect()
+
+
+def test_sparse_documents_are_read_again_as_markdown(spark):
+    rows = [(1, 0, "paragraph", "x" * 300, 0, 1), (2, 0, "paragraph", "few", 0, 1), (3, 0, "paragraph", "few", 0, 1), (4, 0, "paragraph", "few", 0, 1)]
+    blocks = spark.createDataFrame(rows, "doc_id long, block_idx int, kind string, text string, level int, page int")
+    docs = spark.createDataFrame([(k, bytes([k])) for k in range(1, 6)], "doc_id long, content binary")
+
+    def converter(content):
+        if bytes(content) == b"\x03":
+            raise OSError
+        return "# Title\n\nSome *text*." if bytes(content) == b"\x02" else ""
+
+    got = plugins.escalated(blocks, docs, converter).orderBy("doc_id", "block_idx").collect()
+    assert [(r.doc_id, r.kind, r.text[:9]) for r in got] == [(1, "paragraph", "xxxxxxxxx"), (2, "heading", "Title"), (2, "paragraph", "Some text"), (3, "paragraph", "few"), (4, "paragraph", "few")]
+
+
+def test_texts_without_files_and_media_from_a_ledger(spark, tmp_path):
+    from lectern.plans.narration import media_plan, of_texts
+
+    texts = spark.createDataFrame([(1, "CHAPTER ONE\n\nIt was.\n\nCHAPTER TWO\n\nIt went on.", "Own"), (2, "Loose words.", None)], "doc_id long, text string, title string")
+    said = of_texts(texts, minimum=0)
+    assert sorted((r.doc_id, r.chapter_title) for r in said.collect()) == [(1, "CHAPTER ONE"), (1, "CHAPTER TWO"), (2, "Chapter 1")]
+    engine = Counting(tmp_path / "n")
+    segments, marks = media_plan(said, engine, book=str(tmp_path / "ledger"))
+    assert segments.count() == 3 and marks.count() == 3 and len(engine.calls()) == 3
+    media_plan(said, engine, book=str(tmp_path / "ledger"))
+    assert len(engine.calls()) == 3
+
+
+def test_a_catalogue_from_json_lines(spark, tmp_path):
+    from lectern.sources.files import catalogue
+
+    lines = ['{"id": 7, "title": "  Odd ", "authors": [{"name": "Poe, Edgar Allan"}, {"name": null}], "languages": ["en"], "download_count": 3, "copyright": false, "formats": {"text/plain": "u"}}', '{"id": 8}', "no json"]
+    (tmp_path / "c.jsonl").write_text("\n".join(lines))
+    got = {r.id: r for r in catalogue(spark, str(tmp_path / "c.jsonl")).collect()}
+    assert (got[7].title, got[7].authors, got[7].download_count, got[7].copyrighted, [tuple(f) for f in got[7].formats]) == ("Odd", ["Edgar Allan Poe", ""], 3, False, [("text/plain", "u")])
+    assert (got[8].title, got[8].authors, got[8].languages, got[8].download_count, got[8].copyrighted, got[8].formats) == ("", [], [], 0, None, [])
