@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.arrays import let, running
-from lectern.functions.text import unescaped
+from lectern.functions.text import REFERENCE, unescaped
 from lectern.operators.blocks import exploded
 
 # What tags become.
@@ -123,7 +123,7 @@ def html_structs(page: Column) -> Column:
     compose = lambda f, g: F.call_function("translate", f, F.lit(OPEN), g)
     kind, level = ({SIGN[t]: x[k] for t, x in BLOCK_TAGS.items()} for k in (0, 1))
     among = lambda sign, values: F.get(F.array(*[F.lit(v) for v in values.values()]), F.instr(F.lit("".join(values)), sign) - 1)
-    joined = lambda tags: words(F.array_join(F.transform(tags, lambda t: t["text"]), " "))
+    joined = lambda tags: F.array_join(F.transform(tags, lambda t: t["text"]), " ")
     block = lambda kind, text, level: F.struct(kind.alias("kind"), text.alias("text"), level.cast("int").alias("level"))
 
     def sorted_(tags: Column) -> Column:
@@ -146,11 +146,18 @@ def html_structs(page: Column) -> Column:
         until = lambda ks: F.concat(F.slice(ks, 2, F.greatest(F.size(ks) - 1, F.lit(0))), F.array(F.size(tags) + 1))
         own = lambda ts: let(F.element_at(ts, 1)["now"], lambda sign: block(among(sign, kind), joined(F.filter(ts, lambda t: t["now"] == sign)), among(sign, level)))
         found = let(first, lambda ks: F.zip_with(ks, until(ks), lambda a, b: let(F.slice(tags, a, b - a), own)))
-        whole = F.array(block(F.lit("paragraph"), joined(tags), F.lit(0)))
-        full = lambda blocks: F.filter(blocks, lambda b: b["text"] != "")
-        return let(full(F.when(F.size(first) > 0, found).otherwise(F.slice(whole, 1, 0))), lambda blocks: F.when(F.size(blocks) > 0, blocks).otherwise(full(whole)))
-
-    return let(let(let(tags_of(page), sorted_), opened), cut)
+        whole = block(F.lit("paragraph"), joined(tags), F.lit(-1))
+        some = F.when(F.size(first) > 0, found).otherwise(F.slice(F.array(whole), 1, 0))
+        return let(some, lambda blocks: F.when(F.exists(blocks, lambda b: F.regexp_replace(b["text"], f"{REFERENCE}|{SPACE}", "") != ""), blocks).otherwise(F.concat(blocks, F.array(whole))))
+
+    def told(blocks: Column) -> Column:
+        """Blocks with their words; the whole page (level -1) counts if all others are empty."""
+        said = F.transform(blocks, lambda b: block(b["kind"], words(b["text"]), b["level"]))
+        own = lambda bs: F.filter(bs, lambda b: b["level"] >= 0)
+        page = lambda bs: F.transform(bs, lambda b: block(b["kind"], b["text"], F.lit(0)))
+        return let(F.filter(said, lambda b: b["text"] != ""), lambda bs: F.when(F.exists(bs, lambda b: b["level"] >= 0), own(bs)).otherwise(page(bs)))
+
+    return told(let(let(let(tags_of(page), sorted_), opened), cut))
 
 
 def html_blocks(docs: DataFrame) -> DataFrame:

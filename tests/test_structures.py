@@ -58,6 +58,8 @@ def test_html_structures(spark):
         "<p>x<!-- open <p>y": [("paragraph", "x", 0)],
         "<p>x<script>open <p>y": [("paragraph", "x", 0)],
         "<p>" + "a<b c='d>'>" * 400: [("paragraph", " ".join("a" * 400), 0)],
+        "<p>&amp;</p>x": [("paragraph", "&", 0)],
+        "<p>&nbsp;<p>&#32; </p>x &lt;": [("paragraph", "x <", 0)],
         "<p " + "a='>' " * 300 + ">z": None,
     }
     got = blocks_of(spark, list(cases))
