@@ -11,6 +11,7 @@ leaves it is an error, as is a null path. A null content is an empty file.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import posixpath
 import uuid
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -49,6 +51,10 @@ class Written(WriterCommitMessage):
 class FileWriter(DataSourceWriter):
     def __init__(self, folder: str, overwrite: bool):
         self.folder, self.overwrite, self.job = folder, overwrite, uuid.uuid4().hex
+        fs, at = filesystem(folder)  # on the driver, before any task
+        fs.create_dir(self._own(at), recursive=True)
+        with fs.open_output_stream(f"{self._own(at)}/open"):
+            pass
 
     def _own(self, at: str) -> str:
         return f"{at}/_writing-{self.job}"
@@ -56,16 +62,33 @@ class FileWriter(DataSourceWriter):
     def write(self, rows: Iterator[Row]) -> Written:
         fs, at = filesystem(self.folder)
         mine, names = f"{self._own(at)}/{uuid.uuid4().hex}", []
-        fs.create_dir(mine, recursive=True)
-        for k, row in enumerate(rows):
-            names.append(below(row["path"]))
-            content = row["content"] if row["content"] is not None else b""
-            with fs.open_output_stream(f"{mine}/{k}") as file:
-                file.write(content.encode() if isinstance(content, str) else bytes(content))
-        with fs.open_output_stream(f"{mine}/list") as file:
-            file.write(json.dumps(names).encode())
+        going = lambda: fs.get_file_info(f"{self._own(at)}/open").is_file
+        try:
+            if going():
+                fs.create_dir(mine, recursive=False)
+            for k, row in enumerate(rows):
+                names.append(below(row["path"]))
+                content = row["content"] if row["content"] is not None else b""
+                with fs.open_output_stream(f"{mine}/{k}") as file:
+                    file.write(content.encode() if isinstance(content, str) else bytes(content))
+            with fs.open_output_stream(f"{mine}/list") as file:
+                file.write(json.dumps(names).encode())
+            if not going():  # the job failed meanwhile
+                raise RuntimeError("the job was given up")
+        except BaseException:
+            self._removed(fs, mine)
+            raise
         return Written(mine)
 
+    @staticmethod
+    def _removed(fs: pafs.FileSystem, folder: str) -> None:
+        """Removes a folder that other tasks may still write to: what they make meanwhile goes with the next try, or by themselves."""
+        for _ in range(5):
+            if fs.get_file_info(folder).type.name != "Directory":
+                return
+            with contextlib.suppress(OSError):
+                fs.delete_dir(folder)
+
     def commit(self, messages: list[Written | None]) -> None:
         fs, at = filesystem(self.folder)
         try:
@@ -91,8 +114,9 @@ class FileWriter(DataSourceWriter):
 
     def abort(self, messages: list[Written | None]) -> None:
         fs, at = filesystem(self.folder)
-        if fs.get_file_info(self._own(at)).type.name == "Directory":
-            fs.delete_dir(self._own(at))
+        with contextlib.suppress(OSError):
+            fs.delete_file(f"{self._own(at)}/open")  # tasks that still run then give up
+        self._removed(fs, self._own(at))
 
 
 class FileSink(DataSource):
