@@ -6,7 +6,7 @@ DataFrame; all but the last return the columns of ``documents``, extra ones of a
 no more than one stage; what a stage wrote on its way is removed once its result is there.
 
 Behaviour at the edges, in all stages: a null text counts as empty, rows without doc_id are worked on
-like any other (but see ``keep_one_copy``), repeated rows are decided one by one unless copies are
+like any other, repeated rows are decided one by one unless copies are
 what is decided, an empty table gives an empty result.
 """
 
@@ -24,7 +24,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest doc_id, and all rows without doc_id. Texts without words are copies of each other; of rows of one doc_id, each text is decided by itself."""
+    """One document of each group of near copies, the one with the smallest doc_id; rows without doc_id are decided like others, and stay only where their group has no row with one. Texts without words are copies of each other; of rows of one doc_id, each text is decided by itself."""
     return simhash_dedup.one_of_each(docs)
 
 
