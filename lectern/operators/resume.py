@@ -27,3 +27,9 @@ def failures(attempts: DataFrame, shown: int = 10) -> DataFrame:
     """Per document: n_failed and the first messages (attempts: doc_id, idx, error)."""
     first = F.slice(F.transform(F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("idx", "error")))), lambda x: x["error"]), 1, shown)
     return attempts.groupBy("doc_id").agg(F.count("error").alias("n_failed"), first.alias("messages"))
+
+
+def releasable(complete: DataFrame, outputs: DataFrame) -> DataFrame:
+    """doc_id of documents whose segments are no longer needed: all are in an output (doc_id, size) that isn't empty."""
+    safe = outputs.where("size > 0").select("doc_id").distinct()
+    return complete.where("complete and n_utterances > 0").select("doc_id").join(safe, "doc_id", "left_semi")

@@ -11,9 +11,10 @@ from lectern.functions.catalog import MAX_CHARS
 from lectern.operators import artifacts, library, media, resume, script
 from lectern.operators import blocks as B
 from lectern.plans import ledger
-from lectern.plugins import Engine, candidates, require, synthesized
+from lectern.plugins import Engine, candidates, limit_of, require, synthesized
 from lectern.shared import free, kept_once
 from lectern.sources import epub, files
+from lectern.sources.sink import removed
 
 
 def document_blocks(blocks: DataFrame) -> DataFrame:
@@ -86,11 +87,30 @@ def narrated(spark: SparkSession, folder: str, engine: Engine, model=None, conta
         c = free(utterances, "c")
         told = utterances.withColumn(c, candidates(F.col("text"), model))
         utterances = kept_once(rewritten(told, F.col(f"{c}.candidate"), F.col(f"{c}.failed")).drop(c, "reason"))
-    segments, marks = media_plan(utterances, engine, book=book)
+    found = _spoken(utterances, docs.select("doc_id", library.output_path(F.col("path"), container).alias("output")), engine, container, speed, book, "")
+    return found | {"rejected": files.rejected(docs, files.blocks(docs))}
+
+
+def narrated_texts(texts: DataFrame, engine: Engine, speed: float | None = None, book: str | None = None, voice: str = "", chunk: int = script.CHUNK, **options) -> dict[str, DataFrame]:
+    """The same for plain texts (doc_id, text, output, and title if there are any), whose container their output's suffix tells (mp3 if it has none)."""
+    suffix = F.ltrim(files.suffix(F.col("output")), F.lit("."))
+    utterances = of_texts(texts, engine=engine.name if engine.name in MAX_CHARS else "edge", chunk=limit_of(engine, chunk), **options)
+    return _spoken(utterances, texts.select("doc_id", "output"), engine, F.when(suffix == "", "mp3").otherwise(suffix), speed, book, voice)
+
+
+def _spoken(utterances: DataFrame, outputs: DataFrame, engine: Engine, container: str | Column, speed: float | None, book: str | None, voice: str) -> dict[str, DataFrame]:
+    """What assembling the outputs (doc_id, output) needs."""
+    segments, marks = media_plan(utterances, engine, book=book, voice=voice)
     indexed = utterances.withColumn("idx", (F.row_number().over(Window.partitionBy("doc_id").orderBy("chapter_idx", "utt_idx")) - 1).cast("int"))
     by_doc = segments.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)))).alias("suffixes"))
-    outputs = docs.join(by_doc, "doc_id").select("doc_id", library.output_path(F.col("path"), container).alias("output"), M.codec(F.lit(container), F.col("suffixes"), F.lit(speed).cast("double")).alias("codec"))
-    return {"utterances": utterances, "segments": segments, "marks": marks, "complete": resume.completeness(indexed, segments), "rejected": files.rejected(docs, files.blocks(docs)), "outputs": outputs}
+    kind = F.lit(container) if isinstance(container, str) else container
+    told = outputs.join(by_doc, "doc_id").select("doc_id", "output", M.codec(kind, F.col("suffixes"), F.lit(speed).cast("double")).alias("codec"))
+    return {"utterances": utterances, "segments": segments, "marks": marks, "complete": resume.completeness(indexed, segments), "outputs": told}
+
+
+def cleaned(complete: DataFrame, outputs: DataFrame, folder: str) -> DataFrame:
+    """Removes the segments' folders of documents that are safely in their outputs (doc_id, size): doc_id, removed, error."""
+    return removed(resume.releasable(complete, outputs), folder)
 
 
 def preview(spark: SparkSession, voices: list[str], engine: Engine, text: str, folder: str) -> DataFrame:

@@ -15,12 +15,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    from lectern.queries import catalog, library, media, records, runs, script, text
+    from lectern.queries import catalog, library, media, records, remote, runs, script, text
 
-    return {k: q for m in (text, script, media, catalog, library, records, runs) for k, (q, _) in m.QUERIES.items()}
+    return {k: q for m in (text, script, media, catalog, library, records, runs, remote) for k, (q, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from lectern.queries import catalog, library, media, records, runs, script, text
+    from lectern.queries import catalog, library, media, records, remote, runs, script, text
 
-    return {k: sql for m in (text, script, media, catalog, library, records, runs) for k, (_, sql) in m.QUERIES.items() if sql}
+    return {k: sql for m in (text, script, media, catalog, library, records, runs, remote) for k, (_, sql) in m.QUERIES.items() if sql}

@@ -17,6 +17,9 @@ from lectern.sources import epub
 #: What a suffix is read as.
 READERS = {".txt": "text", ".text": "text", ".md": "markdown", ".markdown": "markdown", ".html": "html", ".htm": "html", ".epub": "epub", ".pdf": "pdf"}
 
+#: A book's record in a catalogue.
+BOOK = "id long, title string, authors array<struct<name: string>>, languages array<string>, download_count long, copyright boolean, formats map<string, string>"
+
 
 def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
@@ -100,13 +103,16 @@ def voice_catalogue(spark: SparkSession, path: str) -> DataFrame:
 
 def catalogue(spark: SparkSession, path: str) -> DataFrame:
     """Book records from JSON lines, as ``search`` takes them."""
+    return book_records(spark.read.schema(BOOK).json(path), F.col("id"))
+
+
+def book_records(rows: DataFrame, ord: Column, keep: list[str] | None = None) -> DataFrame:
+    """Records as catalogues give them (columns BOOK), in the form ``search`` takes, beside the columns ``keep``."""
     from lectern.functions.catalog import author_name
 
-    schema = "id long, title string, authors array<struct<name: string>>, languages array<string>, download_count long, copyright boolean, formats map<string, string>"
-    rows = spark.read.schema(schema).json(path)
     formats = F.transform(F.map_entries(F.coalesce("formats", F.create_map().cast("map<string,string>"))), lambda e: F.struct(e["key"].alias("mime"), e["value"].alias("url")))
     authors = F.transform(F.coalesce("authors", F.array().cast("array<struct<name:string>>")), lambda a: author_name(a["name"]))
-    return rows.select("id", T.strip(F.coalesce("title", F.lit(""))).alias("title"), authors.alias("authors"), F.coalesce("languages", F.array().cast("array<string>")).alias("languages"), F.coalesce("download_count", F.lit(0)).alias("download_count"), F.col("copyright").alias("copyrighted"), formats.alias("formats"), F.col("id").alias("ord"))
+    return rows.select(*(keep or []), "id", T.strip(F.coalesce("title", F.lit(""))).alias("title"), authors.alias("authors"), F.coalesce("languages", F.array().cast("array<string>")).alias("languages"), F.coalesce("download_count", F.lit(0)).alias("download_count"), F.col("copyright").alias("copyrighted"), formats.alias("formats"), ord.alias("ord"))
 
 
 def write_texts(rows: DataFrame, folder: str, column: str, buckets: int = 64) -> None:

@@ -19,13 +19,14 @@ from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import BinaryType, Row, StringType, StructType
 
-from lectern.shared import filesystem
+from lectern.shared import filesystem, kept_once
 
 #: Files moved at once when a job is committed.
 MOVERS = 16
@@ -147,3 +148,28 @@ def write_files(files: DataFrame, folder: str, overwrite: bool = False) -> None:
 def write_per_document(rows: DataFrame, column: str, suffix: str, folder: str, overwrite: bool = False) -> None:
     """A text column (subtitles, metadata, a manifest) as one file per document, named by doc_id."""
     write_files(rows.select(F.concat(F.col("doc_id").cast("string"), F.lit(suffix)).alias("path"), F.col(column).alias("content")), folder, overwrite)
+
+
+def removed(names: DataFrame, folder: str) -> DataFrame:
+    """Removes the folders below ``folder`` that ``names`` (doc_id) name, such as those of segments: doc_id, removed, error.
+
+    One that isn't there is none to remove, so it may be done again; what can't be removed is told.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, at = filesystem(folder)
+        for part in parts:
+            rows = []
+            for doc_id in part["doc_id"].tolist():
+                try:
+                    own = f"{at}/{below(str(doc_id))}"
+                    there = fs.get_file_info(own).type.name == "Directory"
+                    if there:
+                        fs.delete_dir(own)
+                    rows.append((doc_id, there, None))
+                except (OSError, ValueError) as error:
+                    rows.append((doc_id, False, str(error)))
+            yield pd.DataFrame(rows, columns=["doc_id", "removed", "error"])
+
+    kind = names.schema["doc_id"].dataType.simpleString()
+    return kept_once(names.where("doc_id is not null").select("doc_id").distinct().mapInPandas(run, f"doc_id {kind}, removed boolean, error string"))
