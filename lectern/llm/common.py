@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pandas as pd
@@ -36,14 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-#: Folders made since the outermost ``scratch`` began, and tables to keep beyond it.
-_MADE: list[list[str]] = []
+#: The folders made inside each ``scratch`` that is open, the innermost last; a thread has its own.
+_MADE: ContextVar[tuple[list[str], ...]] = ContextVar("made", default=())
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/lectern/{name}-{uuid.uuid4().hex}"
-    if _MADE:
-        _MADE[-1].append(path)
+    if _MADE.get():
+        _MADE.get()[-1].append(path)
     return path
 
 
@@ -62,22 +63,23 @@ def drop_path(spark: SparkSession, path: str) -> None:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Removes the tables written inside; what shall stay is written after it, or by ``settled``."""
-    _MADE.append([])
+    made: list[str] = []
+    before = _MADE.set((*_MADE.get(), made))
     try:
         yield
     finally:
-        for path in _MADE.pop():
+        _MADE.reset(before)
+        for path in made:
             drop_path(spark, path)
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
     """``written``, kept by the innermost ``scratch`` and left to the one around it, if any."""
-    own = _MADE.pop() if _MADE else None
+    before = _MADE.set(_MADE.get()[:-1])
     try:
         return written(df, name)
     finally:
-        if own is not None:
-            _MADE.append(own)
+        _MADE.reset(before)
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -222,3 +222,30 @@ def test_bundles_of_cells_lose_no_link(spark, monkeypatch, block):
     hit = brute_vectors(x)
     want = roots(list(range(len(x))), lambda k: np.flatnonzero(hit[k]).tolist())
     assert got == {k: (hit[k].sum(), want[k]) for k in range(len(x))}
+
+
+def test_threads_remove_their_own_tables_only(spark):
+    import os
+    import threading
+
+    began, ended, told = threading.Event(), threading.Event(), []
+
+    def other():
+        with scratch(spark):
+            kept = written(spark.range(3).toDF("v"), "theirs")
+            began.set()
+            ended.wait(60)
+            told.append(kept.count())
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    began.wait(60)
+    with scratch(spark):
+        with scratch(spark):
+            outer = settled(spark.range(2), "outer")
+            inner = written(spark.range(2), "inner").inputFiles()[0].removeprefix("file:")
+        assert outer.count() == 2 and not os.path.exists(inner)
+        place = outer.inputFiles()[0].removeprefix("file:")
+    ended.set()
+    thread.join()
+    assert told == [3] and not os.path.exists(place)
