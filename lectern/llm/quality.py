@@ -13,8 +13,9 @@ Only labels and texts of training rows are learned from; the score sees the text
 bounded: at most ``TRAIN_ROWS`` labelled documents, those with the smallest hash of the doc_id, and
 about ``TRAIN_BYTES`` of text are brought to the driver, whatever the size of the corpus. Which
 words and shapes have vectors follows from these rows, the vectors from the corpus: sums are whole
-numbers, so they are the same however rows are dealt out; a task's are a table of constant size,
-and tables are added up in two steps, of about the root of their number each. Scoring reads every
+numbers, so they are the same however rows are dealt out; a task's are a table of constant size, so
+of large corpora a task takes ``TASK_BYTES`` or more, and tables are added up in two steps, of about
+the root of their number each. Scoring reads every
 whole text once, as the contexts do those outside the held-out fold.
 
 Behaviour at the edges: a null text counts as empty and gets the score of an empty text; labels
@@ -46,6 +47,8 @@ TRAIN_ROWS, TRAIN_BYTES = 4000, 24 << 20
 WORDS, SHAPES, DIM, NONZERO, REACH = 16_000, 400, 64, 8, 2
 #: Words whose contexts are summed at once, and pieces that a task's sums travel in.
 CONTEXT_WORDS, SLABS = 1 << 20, 16
+#: Tables of sums are made by no more tasks than these, or than one for so many bytes of input.
+SUM_TASKS, TASK_BYTES = 256, 1 << 30
 HIDDEN, EPOCHS, RATE, DECAY, MEMO = 32, 300, 0.01, 1e-4, 400_000
 HELD_OUT = (3, 1)
 
@@ -201,8 +204,10 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def context_vectors(texts: DataFrame, model: Model) -> np.ndarray:
     """Unit vectors of the rows of ``model.names()`` from their contexts in ``texts`` (one binary column)."""
     kind = "part long, slab long, data binary"
+    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    tasks = max(SUM_TASKS, -(-size // TASK_BYTES))
     with scratch(texts.sparkSession):
-        each = written(texts.mapInArrow(_summed(model), kind), "contexts")
+        each = written(texts.coalesce(tasks).mapInArrow(_summed(model), kind), "contexts")
         deal = max(1, int(each.where("slab = 0").count() ** 0.5))
         for by in ([F.col("slab"), F.col("part") % deal], [F.col("slab")]):
             each = each.repartition(SLABS * deal if len(by) > 1 else SLABS, *by).mapInArrow(_added, kind)
