@@ -9,7 +9,9 @@ candidate, base spans included, or abstain: patterns (a strict form, a checksum)
 The first pass counts, over all documents, how often each combination of kind, votes and features
 occurs; there are a few thousand combinations, however many documents. Expectation-maximisation on
 these counts estimates each labeler's reliability and each combination's probability of being
-personal (a Dawid-Skene model with a prior per kind). The second pass labels spans with a logistic
+personal (a Dawid-Skene model with a prior per kind). For the classifier a prior counts no less
+than a stated belief: else candidates that labelers vote down would take those along on which nearly
+all labelers abstain. The second pass labels spans with a logistic
 classifier trained on those probabilities; candidates it takes for personal become spans.
 
 Patterns are written to take linear time: an e-mail is found from its ``@`` outwards and runs of
@@ -40,6 +42,8 @@ ADDED = ("spelt_email", "local_phone", "social", "account", "name")
 KINDS = BASE + ADDED
 CONTEXT = 48
 STEPS, LEAST = 60, 0.6
+#: What is believed at least of a candidate that nothing speaks for or against, of the base kinds and of others.
+BELIEF, BELIEF_ADDED = 0.9, 0.7
 #: Weight of each unseen combination of votes in training, beside a count of one per seen one.
 UNSEEN = 0.05
 
@@ -154,7 +158,8 @@ def votes(text: str, span: Span) -> tuple[int, ...]:
     elif name == "card":
         form, check, listed = int(len(digits) == 16), int(luhn(digits)), int(digits[0] in "3456")
     elif name == "social":
-        form, listed = 1, int(digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000")
+        # a reserved number is none; that one could be given says little
+        form, listed = 1, 0 if digits[:3] in ("000", "666") or digits[0] == "9" or digits[3:5] == "00" or digits[5:] == "0000" else -1
     elif name == "account":
         plain = found.replace(" ", "")
         check = int(int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1)
@@ -249,10 +254,11 @@ def train(found: dict[Pattern, int]) -> np.ndarray | None:
     if not found:
         return None
     keys = list(found)
-    p, table, prior = reliabilities(found)
+    _, table, prior = reliabilities(found)
+    prior = np.maximum(prior, np.where(np.arange(len(KINDS)) < len(BASE), BELIEF, BELIEF_ADDED))
     grid = [(k, *v, 2, 2, 1, 0) for k in range(len(KINDS)) for v in product((-1, 0, 1), repeat=LABELERS)]
     x, n = _design(keys + grid), np.array([found[k] for k in keys], float)
-    p = np.concatenate([p, probability(np.array(grid), table, prior)])
+    p = probability(np.array(keys + grid), table, prior)
     n = np.concatenate([n / n.sum() * len(keys), np.full(len(grid), UNSEEN)])
     w = np.zeros(x.shape[1])
     for _ in range(30):

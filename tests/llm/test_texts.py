@@ -612,6 +612,38 @@ def test_recall_of_planted_personal_data(spark, sf):
     assert min(share.values()) >= 0.9, share
 
 
+def test_personal_data_without_cues_beside_lookalikes(spark, sf):
+    """No cue words, names that no gazetteer holds; every other text holds what only looks like its kind."""
+    import random
+
+    rng = random.Random(6)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    check = lambda body: 98 - int(body + "131400") % 97
+    iban = lambda wrong: (lambda body: f"DE{check(body) + (wrong if check(body) < 98 - wrong else -wrong):02d}{body}")(digits(18))
+    real = {
+        "spelt_email": lambda: f"jane{digits(2)} [at] mail{digits(1)} [dot] com",
+        "local_phone": lambda: f"{rng.randint(200, 999)}-{rng.randint(200, 999)}-{digits(4)}",
+        "social": lambda: f"{rng.randint(100, 600)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}",
+        "account": lambda: iban(0),
+        "name": lambda: f"Mr. {rng.choice(['Osei', 'Tomasz', 'Yuki'])} {rng.choice(['Kuria', 'Nowak', 'Sato'])}",
+    }
+    alike = {
+        "spelt_email": lambda: f"start {rng.randint(1, 9)} (at) {rng.randint(1, 9)}.{rng.randint(1, 9)}",
+        "local_phone": lambda: f"order item {rng.randint(200, 999)} {rng.randint(200, 999)} {digits(4)} price",
+        "social": lambda: f"isbn {rng.choice(['000', '666', '912'])}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)} page",
+        "account": lambda: iban(3),
+        "name": lambda: "Mr. and Prof. alone",
+    }
+    kind, is_real = (lambda k: pii.ADDED[k % 5]), (lambda k: k // 5 % 2 == 0)
+    texts = [t for _, t in documents(sf)]
+    rows = [(k, f"{t} {(real if is_real(k) else alike)[kind(k)]()} {t[:50]}") for k, t in enumerate(texts)]
+    got = {r.doc_id: r.spans for r in pii.personal(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for name in pii.ADDED:
+        for wanted in (True, False):
+            own = [name in got[k] for k in got if kind(k) == name and is_real(k) == wanted]
+            assert len(own) > 5 and (sum(own) / len(own) >= 0.9 if wanted else sum(own) / len(own) <= 0.1), (name, wanted, sum(own), len(own))
+
+
 def test_items_are_partitioned_by_size():
     rng = np.random.default_rng(8)
     items = [(n, " ".join(f"u{n}x{k}" for k in range(n))) for n in (1, 3, 4, 5, 6, 20, 21, 23, 200, 230, 1500)]
