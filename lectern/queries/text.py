@@ -61,7 +61,7 @@ def heading_sql(x: str) -> str:
 
 def _lines(spark, sf):
     lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), T.heading_like(F.col("line")).alias("is_heading"), F.upper(F.col("line")).alias("upper_line")).withColumn("shouted", T.heading_like(F.col("upper_line"))).drop("upper_line")
+    return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), T.heading_like(F.col("line")).alias("is_heading"), T.capitals(F.col("line")).alias("upper_line")).withColumn("shouted", T.heading_like(F.col("upper_line"))).drop("upper_line")
 
 
 def _plain(spark, sf):

@@ -3,11 +3,13 @@
 import io
 import zipfile
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lectern import queries as core
 from lectern.functions import catalog as C
 from lectern.functions import media as M
 from lectern.functions import text as T
@@ -16,6 +18,7 @@ from lectern.operators import blocks as B
 from lectern.operators import media as OM
 from lectern.operators import script as S
 from lectern.operators.html import html_blocks
+from tests.oracle import rows_of, rows_of_sql
 
 
 def apply(spark, fn, values, kind="string"):
@@ -43,6 +46,19 @@ def test_text_rules(spark, rule, cases):
     assert apply(spark, rule, list(cases)) == list(cases.values())
 
 
+def test_capitals_keep_the_length_as_in_sql(spark, tmp_path):
+    long, short = "ß" + "a | " * 14 + "abc", "Maß"  # 60 and 3 characters; with two for the sharp s 61 and 4
+    assert (len(long), len(short)) == (60, 3)
+    spark.createDataFrame([(1, f"{long}\n{short}\nGroße Maße\nﬁ ᾳ ŉ ΐ ab\nplain words\n")], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got, _ = rows_of(core.queries()["heading_detect"](spark, str(tmp_path)))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want, columns = rows_of_sql(con, core.oracle_sql()["heading_detect"])
+    assert got == want and [r[columns.index("shouted")] for r in sorted(want, key=lambda r: r[columns.index("line_no")])][:3] == [True, False, True]
+    several = "".join(c for c in map(chr, range(1, 0x10000)) if len(c.upper()) > 1)
+    assert apply(spark, T.capitals, [several, "a\U00010428ß", "", None]) == [con.execute("SELECT upper(?)", [several]).fetchone()[0], "A\U00010400ẞ", "", None]
+
+
 def test_numbers(spark):
     assert apply(spark, M.srt_time, [0, -5, 3_723_004], "long") == ["00:00:00,000", "00:00:00,000", "01:02:03,004"]
     assert apply(spark, M.rate_text, [1.5, 0.5, 1.0, 0.1, 5.0], "double") == ["+50%", "-50%", "+0%", None, None]
