@@ -45,6 +45,25 @@ def test_events_in_any_order_decide_as_a_table_of_them_does(spark, tmp_path):
         assert ms == (ends[0][0] if ends else deadline) and (outcome == "timeout") == (not ends)
 
 
+def test_jobs_are_followed_in_groups_and_told_once(spark, tmp_path):
+    schema, at = "job_id long, at timestamp, status string", lambda ms: START + datetime.timedelta(milliseconds=ms)
+    # the watermark of the first run is 500,000: job 1 ends on it, job 2 before it, the one without number ends, an event has no time
+    first = [(1, at(490_000), "queued"), (1, at(500_000), "completed"), (2, at(499_999), "failed"), (None, at(100), "completed"), (3, None, "cancel"), (3, at(7), "queued")]
+    first += [(k, at(k), "queued") for k in range(100, 3100)] + [(9, at(800_000), "queued")]
+    # then job 2 is heard of again, and everything else passes
+    second = [(2, at(800_001), "completed"), (3, at(800_002), "cancel"), (10, at(2_000_000), "queued")]
+    for n, (new, seen) in enumerate([(first, first), (second, first + second)]):
+        spark.createDataFrame(new, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        got = jobs.follow(stream, str(tmp_path / "out"), str(tmp_path / "state"), 60_000, 300_000)
+        found = [tuple(r) for r in got.collect()]
+        want = [tuple(r) for r in jobs.outcomes(spark.createDataFrame(seen, schema), 60_000, 300_000).collect()]
+        assert sorted(found, key=str) == sorted(want, key=str) and len(found) == (3003, 3005)[n]
+        assert {j for j, o, _ in found if o != "timeout"} == ({2, None}, {1, 2, None})[n]
+    keys = spark.read.format("statestore").option("stateVarName", "told").load(str(tmp_path / "state"))
+    assert 0 < keys.count() <= jobs.GROUPS + 1 < len(found)
+
+
 # -- the ledger --------------------------------------------------------------------------------
 
 
